@@ -17,7 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import bound_batches
 
@@ -282,3 +283,15 @@ def scan_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
             yield pdf
 
     return kept.mapInPandas(run, f"{fields}, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string" + ", redacted string" * redact)
+
+
+def redacted_column(text: Column) -> Column:
+    """A text with its secrets replaced, as a column; null stays null."""
+    fitted = model()
+
+    @F.pandas_udf("string")
+    def redact(texts: pd.Series) -> pd.Series:
+        values = ["" if t is None else t for t in texts]
+        return pd.Series([None if t is None else redacted(t, b + a) for t, (b, a) in zip(texts, scan(values, fitted), strict=True)], dtype=object)
+
+    return redact(text)

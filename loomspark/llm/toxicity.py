@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches
@@ -239,3 +239,14 @@ def score_documents(docs: DataFrame, model: Ordinal, text: str = "text", keep: t
 
     fields += ", score double, severity double, grade int, toxic boolean"
     return kept.mapInPandas(run, fields)
+
+
+def toxic_column(model: Ordinal, text: Column) -> Column:
+    """Whether the model rejects a text, as a column: only the text goes to Python."""
+
+    @F.pandas_udf("boolean")
+    def judge(texts: pd.Series) -> pd.Series:
+        score = np.array([model.score(t) for t in texts], float)
+        return pd.Series(model.severity(score) >= model.reject if len(score) else score.astype(bool))
+
+    return judge(text)
