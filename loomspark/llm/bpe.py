@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 from .common import bound_batches
 
 #: Distinct words whose tokens a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+#: Texts that are encoded together.
+TEXTS = 1000
 #: White space as the vocabulary's normaliser sees it (fixed values).
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Pieces of text that are encoded on their own (fixed values of this vocabulary).
@@ -51,13 +53,17 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.ids | self.special).items()}
         self.longest = max(map(len, self.ids))
+        self.reach: dict[str, int] = {}
+        for t in self.ids:
+            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
         size = max(self.names) + 1
         self.size = size
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         left = np.array([self.ids[a] for a, _ in merges], np.int64)
         right = np.array([self.ids[b] for _, b in merges], np.int64)
         made = np.array([self.ids[a + b] for a, b in merges], np.int64)
-        self.rank = {(int(a), int(b)): (r, int(c)) for r, (a, b, c) in enumerate(zip(left, right, made, strict=True))}
+        self.rank = {p: r for r, p in enumerate(zip(left.tolist(), right.tolist(), strict=True))}
+        self.made, self.never = made.tolist(), len(made)
         # order of a token: its merge's rank, unmerged letters first
         self.order = np.full(size, -1, np.int64)
         self.order[made] = np.arange(len(made))
@@ -70,7 +76,8 @@ class WordBpe:
         self.table = str.maketrans({chr(b): c for b, c in enumerate(self.letters)})
         self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.space, self.pieces = regex.compile(SPACE + "+"), regex.compile(PIECES)
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.shown: dict[str, str] = {}
 
     # -- text to words -----------------------------------------------------------------
 
@@ -86,12 +93,12 @@ class WordBpe:
     # -- speculate -----------------------------------------------------------------------
 
     def greedy(self, letters: str) -> list[int]:
-        ids, out, at, end = self.ids, [], 0, len(letters)
+        ids, reach, out, at, end = self.ids, self.reach, [], 0, len(letters)
         while at < end:
             if end - at <= self.longest and (whole := ids.get(letters[at:] + self.suffix)) is not None:
                 out.append(whole)
                 break
-            for stop in range(min(end, at + self.longest) - (end - at <= self.longest), at, -1):
+            for stop in range(min(end - 1, at + reach.get(letters[at : at + 2], 1)), at, -1):
                 if (got := ids.get(letters[at:stop])) is not None:
                     out.append(got)
                     at = stop
@@ -133,14 +140,18 @@ class WordBpe:
     # -- exact ---------------------------------------------------------------------------
 
     def merged(self, letters: str) -> list[int]:
-        parts = [self.ids[c] for c in letters[:-1]] + [self.ids[letters[-1] + self.suffix]]
-        rank = self.rank
-        while len(parts) > 1:
-            best = min(((rank[p][0], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in rank), default=None)
-            if best is None:
-                break
-            made = rank[parts[best[1]], parts[best[1] + 1]][1]
-            parts[best[1] : best[1] + 2] = [made]
+        ids, rank, made, never = self.ids, self.rank, self.made, self.never
+        parts = [ids[c] for c in letters[:-1]]
+        parts.append(ids[letters[-1] + self.suffix])
+        ranks = [rank.get(p, never) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (r := min(ranks)) < never:
+            i = ranks.index(r)
+            parts[i] = new = made[r]
+            del parts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank.get((parts[i - 1], new), never)
+            if i < len(ranks):
+                ranks[i] = rank.get((new, parts[i + 1]), never)
         return parts
 
     def merged_long(self, letters: str) -> list[int]:
@@ -154,8 +165,8 @@ class WordBpe:
 
         def push(i: int) -> None:
             j = after[i]
-            if j >= 0 and (got := self.rank.get((part[i], part[j]))):
-                heappush(heap, (got[0], i, part[i], part[j]))
+            if j >= 0 and (r := self.rank.get((part[i], part[j]))) is not None:
+                heappush(heap, (r, i, part[i], part[j]))
 
         for i in range(n):
             push(i)
@@ -164,7 +175,7 @@ class WordBpe:
             j = after[i]
             if part[i] != x or j < 0 or part[j] != y:
                 continue
-            part[i], part[j] = self.rank[x, y][1], -1
+            part[i], part[j] = self.made[r], -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
@@ -193,7 +204,7 @@ class WordBpe:
         at, names = 0, self.names
         for w, g in zip(words, guess, strict=True):
             end = at + 4 * len(g)
-            self.known[w] = (raw[at:end], " ".join([names[t] for t in g]))
+            self.known[w], self.shown[w] = raw[at:end], " ".join([names[t] for t in g])
             at = end
 
     # -- whole texts ---------------------------------------------------------------------
@@ -207,20 +218,25 @@ class WordBpe:
     def encode_many(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, decoded text) of each text."""
         cut = [self.segments(t) for t in texts]
-        new = {w for parts in cut for p in parts if not isinstance(p, str) for w in p} - self.known.keys()
+        every = set().union(*[p for parts in cut for p in parts if not isinstance(p, str)])
+        new = [w for w in every if w not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-            new = {w for parts in cut for p in parts if not isinstance(p, str) for w in p}
+            self.shown.clear()
+            new = list(every)
         self.learn(new)
-        known = self.known
+        # the words of these texts alone: small tables that stay in the processor's cache
+        known, shown = {w: self.known[w] for w in every}.__getitem__, {w: self.shown[w] for w in every}.__getitem__
         for parts in cut:
-            got = []
+            ids, out = [], []
             for p in parts:
                 if isinstance(p, str):
-                    got.append((np.array([self.special[p]], "<u4").tobytes(), p))
-                else:
-                    got.extend([known[w] for w in p])
-            yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+                    ids.append(np.array([self.special[p]], "<u4").tobytes())
+                    out.append(p)
+                elif p:
+                    ids.append(b"".join(map(known, p)))
+                    out.append(" ".join(map(shown, p)))
+            yield b"".join(ids), " ".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(next(self.encode_many([text]))[0], "<u4").tolist()
@@ -251,8 +267,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
         for pdf in batches:
             texts = ["" if t is None else t for t in pdf.pop("__text")]
             n, ids_sha, text_sha, ids, decoded = [], [], [], [], []
-            for at in range(0, len(texts), 200):
-                for raw, out in bpe.encode_many(texts[at : at + 200]):
+            for at in range(0, len(texts), TEXTS):
+                for raw, out in bpe.encode_many(texts[at : at + TEXTS]):
                     n.append(len(raw) // 4)
                     ids_sha.append(hashlib.sha256(raw).hexdigest())
                     text_sha.append(hashlib.sha256(out.encode()).hexdigest())
