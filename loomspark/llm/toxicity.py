@@ -211,9 +211,11 @@ def fit_from(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Ordin
                 out["keys"].append(copy_keys(t))
             yield pd.DataFrame(out)
 
-    got = joined.mapInPandas(counts, "doc_id long, toxic long, n long, features array<int>, values array<double>, keys array<long>").collect()
-    got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["keys"]))
-    return fit([(r["toxic"], r["n"], r["features"], r["values"], r["keys"]) for r in got])
+    got = joined.mapInPandas(counts, "doc_id long, toxic long, n long, features array<int>, values array<double>, keys array<long>").toArrow()
+    columns = [got.column(c).to_numpy() for c in ("toxic", "n", "features", "values")]
+    ids, keys = got.column("doc_id").to_pylist(), got.column("keys").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], keys[i]))
+    return fit([(*(c[i] for c in columns), keys[i]) for i in order])
 
 
 def score_documents(docs: DataFrame, model: Ordinal, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
