@@ -112,3 +112,23 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = ("do
 
     out = timed.withColumn("copies", taken(0) + taken(1))
     return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+#: The registered query in DuckDB: the same order and prefix sums, without slices and ranges.
+SQL = """
+with base as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
+  md5('mix:' || coalesce(doc_id::varchar, '')) as h from documents),
+sources as (select source, sum(size)::bigint as s, row_number() over (order by source nulls last) as p from base group by source),
+weighed as (select *, [3, 1, 2][(p - 1) % 3 + 1] as w, 2.0::double * s / [3, 1, 2][(p - 1) % 3 + 1] as ratio, 1.5::double * sum(s) over () as budget from sources),
+levels as (select *, (budget - 2.0::double * coalesce(sum(s) over (order by ratio, p rows between unbounded preceding and 1 preceding), 0))
+  / sum(w) over (order by ratio, p rows between current row and unbounded following) as l from weighed),
+goals as (select *, max(case when l <= ratio then l end) over () as level from levels),
+targets as (select source, s, budget, case when level is null or ratio < level then 2.0::double * s else level * w end as target from goals),
+rows_ as (select b.*, t.s as source_size, t.target, t.budget, sum(b.size) over (partition by b.source order by b.h, b.doc_id, b.size rows between unbounded preceding and current row) as cum
+  from base b join targets t on b.source is not distinct from t.source),
+copies as (select *, (e * source_size + cum)::double / target as vt from rows_, (select unnest([0, 1]) as e) where size > 0),
+ordered as (select *, sum(size) over (order by vt, e, h, doc_id rows between unbounded preceding and current row) as upto from copies),
+taken as (select doc_id, h, count(*) as copies from ordered where upto <= budget group by doc_id, h)
+select r.doc_id, r.size, r.source_size, r.target, coalesce(t.copies, 0)::int as copies, (r.size * coalesce(t.copies, 0))::bigint as taken
+from rows_ r left join taken t on r.doc_id is not distinct from t.doc_id and r.h = t.h
+"""

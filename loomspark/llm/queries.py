@@ -7,17 +7,37 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, neardup, secrets, toxicity
+from . import bpe, htmltext, mixing, neardup, nndescent, repeats, secrets, spotsigs, toxicity, urlfilter
 from .common import table
 
 #: The vocabulary of the registered query; any other file is a parameter of the operator.
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op2_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -36,11 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_neardup": op5_neardup,
-    "op7_bpe": op7_bpe,
-    "op8_secrets": op8_secrets,
-    "op9_mixing": op9_mixing,
-    "op10_toxicity": op10_toxicity,
+    f.__name__: f for f in (op1_html, op2_url, op3_spotsigs, op4_repeats, op5_neardup, op6_neighbours, op7_bpe, op8_secrets, op9_mixing, op10_toxicity)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_spotsigs": spotsigs.SQL, "op4_repeats": repeats.SQL, "op9_mixing": mixing.SQL}

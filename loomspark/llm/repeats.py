@@ -306,3 +306,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", k: int = K, m: int = M,
             yield pd.DataFrame(out | ({"kept_text": kept_texts} if with_text else {}))
 
     return joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+
+
+#: The same in DuckDB, by comparing the word sequences of all windows.
+SQL = f"""
+with docs as (select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+windows as (select r, i, md5(array_to_string(w[i : i + {K - 1}], ' ')) as h from (select r, w, unnest(range(1, len(w) - {K - 2})) as i from docs where len(w) >= {K})),
+hits as (select r, i from windows where h in (select h from windows group by h having count(*) > 1)),
+gone as (select distinct r, i + j as p from hits, (select unnest(range({K})) as j)),
+lists as (select r, list(p) as ps from gone group by r),
+kept as (select d.doc_id, d.w, coalesce(len(l.ps), 0) as n, case when l.ps is null then d.w else list_transform(list_filter(range(1, len(d.w) + 1), lambda k: not list_contains(l.ps, k)), lambda k: d.w[k]) end as k
+  from docs d left join lists l on d.r = l.r)
+select doc_id, len(w) as n_words, n as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept
+"""
