@@ -67,35 +67,39 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _hung(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over (a, b) with a > b: hang neighbours below the least one."""
     if large:
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = ends.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         out = ends.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         out = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        out = out.unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a > b").distinct()
+        out = out.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return out.where("a > b")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some vertex hangs below two others, or hangs and carries others."""
+    ends = edges.select("a", F.lit(1).alias("hangs"), F.lit(0).alias("carries")).union(edges.select("b", F.lit(0), F.lit(1)))
+    each = ends.groupBy("a").agg(F.sum("hangs").alias("n"), F.max("carries").alias("c"))
+    return not each.where((F.col("n") > 1) | (F.col("n") + F.col("c") > 1)).isEmpty()
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) pairs of longs: one row (id, component) per linked id.
 
     Alternates large-star and small-star steps (joins and pre-aggregated minima only)
-    until the edges stop changing; every step's edges go to the shared folder. A vertex
-    with very many neighbours costs one row per neighbour, which AQE splits.
+    until every vertex hangs directly below the least of its component; every round's
+    edges go to the shared folder. A vertex with very many neighbours costs one row per
+    neighbour, which AQE can split.
     """
     now = materialise(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a > b").distinct())
-    mark = None
     for _ in range(rounds):
-        stars = materialise(_star(_star(now, True), False))
-        seen = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(now)
-        now = stars
-        if tuple(seen) == mark:
-            roots = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-            return roots.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        mark = tuple(seen)
+        if not _unsettled(now):
+            hung = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            return hung.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        now, old = materialise(_hung(_hung(now, True), False)), now
+        discard(old)
     raise RuntimeError("the components did not settle")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, discard, materialise
+from .common import bound_batches, components, materialise
 from .textvec import mix64, shingle_set, words
 
 BANDS, ROWS = 20, 4
@@ -86,9 +86,9 @@ def _chance(a: int, b: int) -> float:
     return total
 
 
-def estimate(agree: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
-    """Collision-corrected Jaccard estimate from shares of agreeing registers."""
-    chance = np.array([_chance(*sorted((round(2 * math.log2(n)), round(2 * math.log2(k))))) for k in m])
+def estimate(agree: float, n: int, m: int) -> float:
+    """Collision-corrected Jaccard estimate from the share of agreeing registers."""
+    chance = _chance(*sorted((round(2 * math.log2(n)), round(2 * math.log2(m)))))
     return (agree - chance) / (1 - chance)
 
 
@@ -102,26 +102,29 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _compare(regs: np.ndarray, sets: list[np.ndarray], label: list, centres: list[int], percent: int) -> Iterator[tuple[int, int]]:
-    """Links of each centre to members of other components, as positions.
+def _compare(regs: np.ndarray, sets: list[np.ndarray], label: list, centres: list[int], percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links of each centre to members of other components, as positions, and the components then.
 
     label names the component of each member so far; a link found here joins two of them, so
     that later centres skip what is already connected.
     """
     sizes = np.array([len(s) for s in sets])
     of = np.unique(np.asarray(label), return_inverse=True)[1]
+    found = []
     for c in centres:
         others = np.flatnonzero(of != of[c])
-        others = others[(100 * np.minimum(sizes[others], sizes[c]) >= percent * np.maximum(sizes[others], sizes[c]))]
+        others = others[100 * np.minimum(sizes[others], sizes[c]) >= percent * np.maximum(sizes[others], sizes[c])]
         if not len(others):
             continue
         agree = (regs[others] == regs[c]).mean(1)
-        for i in others[agree >= percent / 100 - SLACK]:  # the correction only lowers a share
+        near = agree >= percent / 100 - SLACK  # the correction only lowers a share
+        for i, share in zip(others[near].tolist(), agree[near].tolist(), strict=True):
             if of[i] == of[c]:
                 continue
-            if estimate(np.array([(regs[i] == regs[c]).mean()]), int(sizes[c]), sizes[[i]])[0] >= percent / 100 - SLACK and linked(sets[c], sets[i], percent):
+            if estimate(share, int(sizes[c]), int(sizes[i])) >= percent / 100 - SLACK and linked(sets[c], sets[i], percent):
                 of[of == of[i]] = of[c]
-                yield c, int(i)
+                found.append((c, i))
+    return found, of
 
 
 def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -159,8 +162,12 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, n_shingles long, set_key binary, regs binary")
 
 
-def _links(members: DataFrame, percent: int) -> DataFrame:
-    """Exact links inside groups (cluster, block); rows: id, cluster, block, label, centre, regs, hashes."""
+def _links(members: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Exact links (a, b) inside groups (cluster, block); rows: id, cluster, block, label, centre, regs, hashes.
+
+    With whole, the groups are whole clusters with all members as centres, and the links are
+    those of each member to the least one of its component.
+    """
     ordered = members.repartition("cluster", "block").sortWithinPartitions("cluster", "block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,10 +177,14 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
                 continue
             regs = np.stack([np.frombuffer(r, np.uint16) for r in g["regs"]])
             sets = [np.frombuffer(s, np.uint64) for s in g["hashes"]]
-            ids = g["id"].to_numpy()
-            rank = np.lexsort((ids, -g["centre"].to_numpy()))
-            found = list(_compare(regs, sets, g["label"].tolist(), [i for i in rank.tolist() if g["centre"].iat[i] > 0], percent))
-            if found:
+            ids, centre = g["id"].to_numpy(), g["centre"].to_numpy()
+            found, of = _compare(regs, sets, g["label"].tolist(), np.flatnonzero(centre > 0).tolist(), percent)
+            if whole:
+                least = np.full(of.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, of, ids)
+                hangs = least[of] != ids
+                yield pd.DataFrame({"a": ids[hangs], "b": least[of][hangs]})
+            elif found:
                 a, b = np.array(found).T
                 yield pd.DataFrame({"a": ids[a], "b": ids[b]})
 
@@ -188,7 +199,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     and stands alone. Rows with a null doc_id have no component (null) and are kept. Rows
     that repeat a doc_id are judged one by one; equal rows get equal results.
     """
-    spark = docs.sparkSession
     done = materialise(sketch(docs, text))
     whole = done.where("set_key is not null and doc_id is not null")
     classes = materialise(whole.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")))
@@ -198,8 +208,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     bands = bands.select("id", F.xxhash64("part", "band").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     stars = materialise(bands.join(buckets, "key").groupBy("id", "least").agg(F.sum("n").alias("weight")))
-    empty_links = spark.createDataFrame([], "a long, b long")
-    clusters = components(stars.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    clusters = materialise(components(stars.select(F.col("id").alias("a"), F.col("least").alias("b"))))
     central = stars.groupBy("id").agg(F.sum("weight").alias("weight"))
     members = clusters.withColumnRenamed("component", "cluster").join(central, "id", "left").na.fill(0, ["weight"])
     counts = members.groupBy("cluster").agg(F.count("*").alias("n"))
@@ -217,32 +226,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     members = materialise(with_text.select(columns).mapInPandas(hashes, "id long, cluster long, weight long, n long, regs binary, hashes binary"))
 
     small = members.where(F.col("n") <= SMALL).select("id", "cluster", F.lit(0).alias("block"), F.col("id").alias("label"), F.lit(1).alias("centre"), "regs", "hashes")
-    links = [materialise(_links(small, percent))]
+    found = materialise(_links(small, percent, True)).select(F.col("a").alias("id"), F.col("b").alias("component"))
     large = members.where(F.col("n") > SMALL)
-    state = materialise(large.select("id", "cluster", "weight", "n", F.col("id").alias("label"), F.lit(False).alias("was")).distinct())
-    take = CENTRES
+    state = materialise(large.select("id", "cluster", "weight", "n", F.col("id").alias("label"), F.lit(False).alias("was")).dropDuplicates(["id"]))
+    links, take = None, CENTRES
     while not state.isEmpty():
         top = Window.partitionBy("cluster").orderBy(F.desc("weight"), "id")
-        centres = materialise(state.where("not was").withColumn("place", F.row_number().over(top)).where(F.col("place") <= take).select("id", "cluster", "n", "label"))
+        centres = state.where("not was").withColumn("place", F.row_number().over(top)).where(F.col("place") <= take)
+        centres = materialise(centres.select("id", "cluster", "n", "label"))
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         targets = state.select("id", "cluster", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "label", F.lit(0).alias("centre"))
         sent = centres.select("id", "cluster", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "label", F.lit(1).alias("centre"))
-        pairs = targets.unionByName(sent).join(large.select("id", "regs", "hashes").dropDuplicates(["id"]), "id")
-        links.append(materialise(_links(pairs, percent)))
-        so_far = links[1]
-        for more in links[2:]:
-            so_far = so_far.unionByName(more)
-        joined = components(so_far)
+        pairs = targets.unionByName(sent).join(large.select("id", "regs", "hashes"), "id")
+        new = materialise(_links(pairs, percent, False))
+        links = new if links is None else links.unionByName(new)
+        joined = materialise(components(links))
         now = state.drop("label").join(joined.withColumnRenamed("component", "label"), "id", "left").join(centres.select("id", F.lit(True).alias("new")), "id", "left")
         now = now.select("id", "cluster", "weight", "n", F.coalesce("label", "id").alias("label"), (F.col("was") | F.coalesce("new", F.lit(False))).alias("was"))
         open_ = now.where("not was").groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cluster")
-        state, old = materialise(now.join(open_, "cluster", "left_semi")), state
-        discard(old)
+        state, last = materialise(now.join(open_, "cluster", "left_semi")), joined
         take *= 4
-    every = empty_links
-    for more in links:
-        every = every.unionByName(more)
-    found = components(every)
+    if links is not None:
+        found = found.unionByName(last)
 
     named = classes.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     out = done.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
