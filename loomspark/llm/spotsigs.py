@@ -10,13 +10,9 @@ allows never meet, and the first signatures in a fixed order prune the rest.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
-
 #: Anchors: unstressed words of English, French, German and Spanish (fixed values).
 ANCHORS = (
     "a an and are as at be by for from has have in is it of on or that the this to was were with "
@@ -27,6 +23,7 @@ ANCHORS = (
 CHAIN = 3
 #: Hex digits kept of a signature's hash.
 DIGITS = 8
+HALF = 1 << (4 * DIGITS - 1)
 #: Ranges of doc_id that the order of documents is cut into, for each shuffle partition.
 RANGES_EACH, RANGES_MOST = 3, 4096
 
@@ -37,7 +34,7 @@ def _let(value: Column, use) -> Column:
 
 
 def signatures(text: Column) -> Column:
-    """Sorted distinct signature hashes of a text (array<string>, never empty)."""
+    """Sorted distinct signature hashes of a text (array<int>, never empty); shown() has their digits."""
     plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
     tagged = F.transform(F.split(plain, " "), lambda w: F.struct(w.alias("w"), w.isin(ANCHORS).alias("a")))
 
@@ -50,8 +47,17 @@ def signatures(text: Column) -> Column:
 
         return _let(content, chains)
 
-    found = F.transform(_let(tagged, spots), lambda s: F.substring(F.md5(s), 1, DIGITS))
-    return F.array_sort(F.array_distinct(_let(found, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.substring(F.md5(text), 1, DIGITS))))))
+    found = F.transform(_let(tagged, spots), _hash)
+    return F.array_sort(F.array_distinct(_let(found, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(_hash(text))))))
+
+
+def _hash(s: Column) -> Column:
+    """The first hex digits of md5 as an int, in the order of the digits."""
+    return (F.conv(F.substring(F.md5(s), 1, DIGITS), 16, 10).cast("long") - HALF).cast("int")
+
+
+def shown(sigs: Column) -> Column:
+    return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x.cast("long") + HALF), DIGITS, "0"))), " ")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -114,8 +120,8 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.array_join("sigs", " ").alias("fingerprint"),
-        F.array_join("edited_sigs", " ").alias("edited_fingerprint"),
+        shown(F.col("sigs")).alias("fingerprint"),
+        shown(F.col("edited_sigs")).alias("edited_fingerprint"),
         jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
