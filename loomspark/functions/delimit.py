@@ -12,6 +12,11 @@ def quoted(literal: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", literal)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends, line feeds included."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def by_keywords(text: Column, keys: list[str]) -> Column:
     """[(key, content)]: text cut before every keyword, the longest keyword first; a first part without key may be there."""
     pattern = "|".join(quoted(k) for k in sorted(keys, key=len, reverse=True))

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .delimit import stripped
+
 
 @dataclass(frozen=True)
 class Template:
@@ -92,7 +94,7 @@ def system_of(messages: Column) -> tuple[Column, Column]:
 
 def without_old_thinking(messages: Column) -> Column:
     """Before the last user turn, answers keep only what follows their last </think>."""
-    return F.transform(messages, lambda m, i: F.struct(m["role"].alias("role"), F.when((m["role"] == "assistant") & (i < last_user(messages)), F.trim(F.element_at(F.split(m["content"], "</think>"), -1))).otherwise(m["content"]).alias("content")))
+    return F.transform(messages, lambda m, i: F.struct(m["role"].alias("role"), F.when((m["role"] == "assistant") & (i < last_user(messages)), stripped(F.element_at(F.split(m["content"], "</think>"), -1))).otherwise(m["content"]).alias("content")))
 
 
 def with_empty_thinking(messages: Column, prefix: str = "<think>\n\n</think>\n\n") -> Column:

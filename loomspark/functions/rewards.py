@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .delimit import stripped
 from .tokens import SPACE
 
 
@@ -51,7 +52,7 @@ def last_action(text: Column) -> Column:
     """(action, action input) of the last Action block; null input if there is none."""
     body = F.regexp_extract(text, r"(?s)\A(?:.*\n)?\s*Action:\s*(.*?)(?:\n\s*Action Input:.*)?\z", 1)
     given = F.regexp_extract(text, r"(?s).*Action Input:(.*)", 1)
-    return F.struct(F.trim(body).alias("action"), F.when(F.contains(text, F.lit("Action Input:")), F.trim(given)).alias("input"))
+    return F.struct(stripped(body).alias("action"), F.when(F.contains(text, F.lit("Action Input:")), stripped(given)).alias("input"))
 
 
 def argument_score(got: Column, want: Column) -> Column:
@@ -98,7 +99,7 @@ def judged_mean(texts: Column) -> Column:
 
 def process_score(text: Column) -> Column:
     """The number after the first "Reward:", with asterisks removed; 0 where it is none."""
-    return F.coalesce(F.trim(F.replace(F.get(F.split(text, "Reward:"), 1), F.lit("*"), F.lit(""))).try_cast("double"), F.lit(0.0))
+    return F.coalesce(stripped(F.replace(F.get(F.split(text, "Reward:"), 1), F.lit("*"), F.lit(""))).try_cast("double"), F.lit(0.0))
 
 
 def transcript(messages: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .delimit import by_keywords
+from .delimit import by_keywords, stripped
 
 # Keywords of the formats.
 REACT_KEYS = ("Action:", "Action Input:", "Observation:")
@@ -51,7 +51,7 @@ def llama(text: Column) -> Column:
 
 def mistral(text: Column) -> Column:
     body = F.regexp_extract(text, r"(?s)\[TOOL_CALLS\]\[(.*?)\]</s>", 1)
-    return F.when(body != "", _json_calls(F.split(F.trim(body), "\n"))).otherwise(F.array().cast("array<struct<name:string,arguments:string>>"))
+    return F.when(body != "", _json_calls(F.split(stripped(body), "\n"))).otherwise(F.array().cast("array<struct<name:string,arguments:string>>"))
 
 
 def glm4(text: Column) -> Column:
@@ -61,25 +61,21 @@ def glm4(text: Column) -> Column:
     return F.filter(calls, lambda c: c["arguments"] != "")
 
 
-def _strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
-
-
 def _tagged(bodies: Column, name: Callable[[Column], Column], keys: Callable[[Column], Column], values: Callable[[Column], Column], fits: Callable[[Column], Column]) -> Column:
     def one(b: Column) -> Column:
-        k, v = F.transform(keys(b), _strip), F.transform(values(b), _strip)
-        return F.when(fits(b) & (F.size(k) == F.size(v)), call(_strip(name(b)), F.to_json(F.map_from_arrays(F.array_distinct(k), F.transform(F.array_distinct(k), lambda x: F.element_at(v, (F.array_position(k, x)).cast("int")))))))
+        k, v = F.transform(keys(b), stripped), F.transform(values(b), stripped)
+        return F.when(fits(b) & (F.size(k) == F.size(v)), call(stripped(name(b)), F.to_json(F.map_from_arrays(F.array_distinct(k), F.transform(F.array_distinct(k), lambda x: F.element_at(v, (F.array_position(k, x)).cast("int")))))))
 
     return F.filter(F.transform(bodies, one), lambda c: c.isNotNull())
 
 
 def glm45(text: Column) -> Column:
-    bodies = F.transform(F.regexp_extract_all(text, F.lit("(?s)<tool_call>(.*?)</tool_call>"), 1), _strip)
+    bodies = F.transform(F.regexp_extract_all(text, F.lit("(?s)<tool_call>(.*?)</tool_call>"), 1), stripped)
     return _tagged(bodies, lambda b: F.regexp_extract(b, r"^([^\n<]+)", 1), lambda b: F.regexp_extract_all(b, F.lit("(?s)<arg_key>(.*?)</arg_key>"), 1), lambda b: F.regexp_extract_all(b, F.lit("(?s)<arg_value>(.*?)</arg_value>"), 1), lambda b: b.rlike(r"^[^\n<]"))
 
 
 def qwen_coder(text: Column, start: str = "tool_call") -> Column:
-    bodies = F.transform(F.regexp_extract_all(text, F.lit(f"(?s)<{start}>(.*?)</{start}>"), 1), _strip)
+    bodies = F.transform(F.regexp_extract_all(text, F.lit(f"(?s)<{start}>(.*?)</{start}>"), 1), stripped)
     each = r"(?s)<parameter=([^>]+)>\s*(.*?)\s*</parameter>"
     return _tagged(bodies, lambda b: F.regexp_extract(b, r"<function=([^>]+)>", 1), lambda b: F.regexp_extract_all(b, F.lit(each), 1), lambda b: F.regexp_extract_all(b, F.lit(each), 2), lambda b: b.startswith("<function=") & b.endswith("</function>"))
 
@@ -91,7 +87,7 @@ def seed(text: Column) -> Column:
 def deepseek(text: Column) -> Column:
     pattern = "(?s)<｜tool▁call▁begin｜>(.*?)<｜tool▁sep｜>(.*?)<｜tool▁call▁end｜>"
     both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("n"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("a"))
-    calls = F.transform(both, lambda x: call(_strip(x["n"]), F.get_json_object(x["a"], "$")))
+    calls = F.transform(both, lambda x: call(stripped(x["n"]), F.get_json_object(x["a"], "$")))
     return F.filter(calls, lambda c: c["arguments"].isNotNull())
 
 

@@ -102,7 +102,7 @@ def messages_history(messages: Column) -> Column:
     return F.transform(starts, lambda i: F.array(F.get(m, i)["content"], F.get(m, i + 1)["content"]))
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def literal_pairs(text: pd.Series) -> pd.Series:
     """Python-literal history strings, which no JSON reader takes; anything unreadable is null."""
 
