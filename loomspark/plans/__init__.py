@@ -1 +1,4 @@
+"""Registered queries."""
 
+from . import chat, data, scoring, streams  # noqa: F401
+from .registry import QUERIES, SQL, table  # noqa: F401
