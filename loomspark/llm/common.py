@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: Rows per Arrow batch handed to Python; keeps a worker's batch near 10 MB of usual text.
 ARROW_ROWS = 2000
+#: Bytes of input for one file of a written intermediate.
+FILE_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,15 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def files_for(df: DataFrame) -> int:
+    """How many files an intermediate of this input gets: one for each FILE_BYTES, two for each core at least."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    return min(1_000_000, max(2 * df.sparkSession.sparkContext.defaultParallelism, size // FILE_BYTES))
+
+
+def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Two tasks for each core write it, each streaming over several partitions: many tiny
-    files cost more than they carry.
+    At most files tasks write it, each streaming over several partitions: many tiny files
+    cost more than they carry. None is for tables that do not grow with the input.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
-    df.coalesce(2 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    df.coalesce(files or 2 * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,7 +96,7 @@ def _unsettled(edges: DataFrame) -> bool:
     return not each.where((F.col("n") > 1) | (F.col("n") + F.col("c") > 1)).isEmpty()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) pairs of longs: one row (id, component) per linked id.
 
     Alternates large-star and small-star steps (joins and pre-aggregated minima only)
@@ -95,11 +104,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges go to the shared folder. A vertex with very many neighbours costs one row per
     neighbour, which AQE can split.
     """
-    now = materialise(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a > b").distinct())
+    now = materialise(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a > b").distinct(), files)
     for _ in range(rounds):
         if not _unsettled(now):
             hung = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
             return hung.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        now, old = materialise(_hung(_hung(now, True), False)), now
+        now, old = materialise(_hung(_hung(now, True), False), files), now
         discard(old)
     raise RuntimeError("the components did not settle")

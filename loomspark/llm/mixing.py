@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, discard, materialise
+from .common import WORD_CLASS, files_for, materialise
 
 #: Hex digits of the shuffle hash that name a slice of a source.
 SLICE_DIGITS = 3
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = ("do
     rows = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("doc_id").alias("__id"), h.alias("__h"), word_count(F.col(text)).alias("size"), F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source))).alias("skey"))
     rows = rows.withColumn("slice", F.substring("__h", 1, SLICE_DIGITS))
     within = Window.partitionBy("skey", "slice")
-    rows = materialise(rows.withColumn("__cum", F.sum("size").over(within.orderBy("__h", "__id", "size").rowsBetween(Window.unboundedPreceding, 0))))
+    rows = materialise(rows.withColumn("__cum", F.sum("size").over(within.orderBy("__h", "__id", "size").rowsBetween(Window.unboundedPreceding, 0))), files_for(docs))
 
     slices = rows.groupBy("skey", "slice").agg(F.sum("size").alias("n"))
     slices = slices.withColumn("__off", F.sum("n").over(Window.partitionBy("skey").orderBy("slice")) - F.col("n"))
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = ("do
     place = slices.select("skey", "slice", "__off").join(goals, "skey")
     timed = rows.join(place, ["skey", "slice"])
     first, second = F.col("__off") + F.col("__cum"), F.col("source_size") + F.col("__off") + F.col("__cum")
-    timed = timed.withColumn("__t0", first / F.col("target")).withColumn("__t1", second / F.col("target"))
+    timed = timed.withColumn("__t0", first / F.nullif("target", F.lit(0.0))).withColumn("__t1", second / F.nullif("target", F.lit(0.0)))
 
     copies = timed.where("size > 0").select(F.explode(F.array(*[F.struct(F.col(f"__t{e}").alias("t"), F.lit(e).alias("e")) for e in (0, 1)])).alias("c"), "__h", "__id", "size", "budget")
     copies = copies.select(F.struct("c.t", "c.e", "__h", "__id").alias("key"), "size", "budget").withColumn("range", _range(F.col("key.t")))

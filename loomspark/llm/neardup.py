@@ -19,14 +19,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, materialise
+from .common import bound_batches, components, files_for, materialise
 from .textvec import mix64, shingle_set, words
 
 BANDS, ROWS = 20, 4
@@ -199,16 +199,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     and stands alone. Rows with a null doc_id have no component (null) and are kept. Rows
     that repeat a doc_id are judged one by one; equal rows get equal results.
     """
-    done = materialise(sketch(docs, text))
+    files = files_for(docs)
+    keep = partial(materialise, files=files)
+    done = keep(sketch(docs, text))
     whole = done.where("set_key is not null and doc_id is not null")
-    classes = materialise(whole.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")))
+    classes = keep(whole.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")))
 
     width = 2 * ROWS
     bands = classes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("regs"), i * width + 1, F.lit(width)))).alias("band", "part"))
     bands = bands.select("id", F.xxhash64("part", "band").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    stars = materialise(bands.join(buckets, "key").groupBy("id", "least").agg(F.sum("n").alias("weight")))
-    clusters = materialise(components(stars.select(F.col("id").alias("a"), F.col("least").alias("b"))))
+    stars = keep(bands.join(buckets, "key").groupBy("id", "least").agg(F.sum("n").alias("weight")))
+    clusters = keep(components(stars.select(F.col("id").alias("a"), F.col("least").alias("b")), files))
     central = stars.groupBy("id").agg(F.sum("weight").alias("weight"))
     members = clusters.withColumnRenamed("component", "cluster").join(central, "id", "left").na.fill(0, ["weight"])
     counts = members.groupBy("cluster").agg(F.count("*").alias("n"))
@@ -223,28 +225,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
 
     with_text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("t")).join(members, "id")
     columns = ["id", "cluster", "weight", "n", "regs", "set_key", "t"]
-    members = materialise(with_text.select(columns).mapInPandas(hashes, "id long, cluster long, weight long, n long, regs binary, hashes binary"))
+    members = keep(with_text.select(columns).mapInPandas(hashes, "id long, cluster long, weight long, n long, regs binary, hashes binary"))
 
     small = members.where(F.col("n") <= SMALL).select("id", "cluster", F.lit(0).alias("block"), F.col("id").alias("label"), F.lit(1).alias("centre"), "regs", "hashes")
-    found = materialise(_links(small, percent, True)).select(F.col("a").alias("id"), F.col("b").alias("component"))
+    found = keep(_links(small, percent, True)).select(F.col("a").alias("id"), F.col("b").alias("component"))
     large = members.where(F.col("n") > SMALL)
-    state = materialise(large.select("id", "cluster", "weight", "n", F.col("id").alias("label"), F.lit(False).alias("was")).dropDuplicates(["id"]))
+    state = keep(large.select("id", "cluster", "weight", "n", F.col("id").alias("label"), F.lit(False).alias("was")).dropDuplicates(["id"]))
     links, take = None, CENTRES
     while not state.isEmpty():
         top = Window.partitionBy("cluster").orderBy(F.desc("weight"), "id")
         centres = state.where("not was").withColumn("place", F.row_number().over(top)).where(F.col("place") <= take)
-        centres = materialise(centres.select("id", "cluster", "n", "label"))
+        centres = keep(centres.select("id", "cluster", "n", "label"))
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         targets = state.select("id", "cluster", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "label", F.lit(0).alias("centre"))
         sent = centres.select("id", "cluster", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "label", F.lit(1).alias("centre"))
         pairs = targets.unionByName(sent).join(large.select("id", "regs", "hashes"), "id")
-        new = materialise(_links(pairs, percent, False))
+        new = keep(_links(pairs, percent, False))
         links = new if links is None else links.unionByName(new)
-        joined = materialise(components(links))
+        joined = keep(components(links, files))
         now = state.drop("label").join(joined.withColumnRenamed("component", "label"), "id", "left").join(centres.select("id", F.lit(True).alias("new")), "id", "left")
         now = now.select("id", "cluster", "weight", "n", F.coalesce("label", "id").alias("label"), (F.col("was") | F.coalesce("new", F.lit(False))).alias("was"))
         open_ = now.where("not was").groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cluster")
-        state, last = materialise(now.join(open_, "cluster", "left_semi")), joined
+        state, last = keep(now.join(open_, "cluster", "left_semi")), joined
         take *= 4
     if links is not None:
         found = found.unionByName(last)

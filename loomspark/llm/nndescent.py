@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, materialise
+from .common import bound_batches, discard, files_for, materialise
 
 #: Neighbours of a node in the graph, and in the lists that search walks (both directions).
 NEIGHBOURS, WALKED = 32, 48
@@ -130,7 +130,7 @@ def _blocks(rows: DataFrame, k: int) -> DataFrame:
     return ordered.mapInPandas(run, "id long, nbrs array<long>, sims array<float>")
 
 
-def build(nodes: DataFrame, n: int, dim: int, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
+def build(nodes: DataFrame, n: int, dim: int, files: int | None = None, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
     """Neighbour graph (id, nbrs, sims) of nodes (id, vec)."""
     bits = max(0, int(np.log2(max(1, n / BUCKET))))
     ways = np.random.default_rng(seed).normal(size=(TABLES if bits else 1, dim, max(bits, 1))).astype(np.float32)
@@ -143,14 +143,14 @@ def build(nodes: DataFrame, n: int, dim: int, k: int = NEIGHBOURS, rounds: int =
                 yield pd.DataFrame({"group": code.astype(np.int64) * len(ways) + t, "id": pdf["id"], "vec": pdf["vec"], "least": np.float32(-np.inf)})
 
     first = nodes.mapInPandas(spread, "group long, id long, vec binary, least float")
-    graph = materialise(_merged(_blocks(first, k), k))
+    graph = materialise(_merged(_blocks(first, k), k), files)
     for _ in range(rounds if bits else 0):
         links = graph.select(F.col("id").alias("group"), F.explode("nbrs").alias("id"))
         links = links.unionByName(links.select(F.col("id").alias("group"), F.col("group").alias("id")))
         least = graph.select("id", F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(F.lit(float("-inf")).cast("float")).alias("least"))
         members = links.join(nodes.join(least, "id"), "id").select("group", "id", "vec", "least")
         better = _blocks(members, PASSED)
-        now = materialise(_merged(graph.unionByName(better), k))
+        now = materialise(_merged(graph.unionByName(better), k), files)
         gain = _mean_least(now) - _mean_least(graph)
         discard(graph)
         graph = now
@@ -163,14 +163,14 @@ def _mean_least(graph: DataFrame) -> float:
     return graph.agg(F.avg(F.element_at("sims", -1))).first()[0] or 0.0
 
 
-def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
+def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, files: int | None = None) -> DataFrame:
     """Greedy search: (id, nbrs, sims) with the beam of each start node; starts: (id)."""
     back = graph.select("id", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select(F.col("e.nbrs").alias("id"), F.array("id").alias("nbrs"), F.array("e.sims").alias("sims"))
     lists = _merged(graph.unionByName(back), WALKED)
     pairs = lists.select("id", F.posexplode("nbrs").alias("at", "nbr")).join(nodes.select(F.col("id").alias("nbr"), "vec"), "nbr")
-    lists = materialise(pairs.groupBy("id").agg(F.collect_list(F.struct("nbr", "vec")).alias("l")).select("id", F.col("l.nbr").alias("nbrs"), F.col("l.vec").alias("vecs")))
+    lists = materialise(pairs.groupBy("id").agg(F.collect_list(F.struct("nbr", "vec")).alias("l")).select("id", F.col("l.nbr").alias("nbrs"), F.col("l.vec").alias("vecs")), files)
     lists = lists.repartition("id").persist()
-    state = materialise(starts.join(graph, "id").join(nodes, "id").select("id", "vec", "nbrs", "sims", F.transform("nbrs", lambda _: F.lit(False)).alias("done")))
+    state = materialise(starts.join(graph, "id").join(nodes, "id").select("id", "vec", "nbrs", "sims", F.transform("nbrs", lambda _: F.lit(False)).alias("done")), files)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -207,14 +207,14 @@ def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
         found = lists.join(ahead.hint("shuffle_hash"), "id").select("start", "vec", "least", "nbrs", "vecs").mapInPandas(score, "id long, nbrs array<long>, sims array<float>")
         old = todo.select("id", "vec", "nbrs", "sims", "frontier", F.lit(True).alias("old"))
         both = old.unionByName(found.select("id", F.lit(None).cast("binary").alias("vec"), "nbrs", "sims", F.lit(None).cast("array<boolean>").alias("frontier"), F.lit(False).alias("old")))
-        now = materialise(both.repartition("id").sortWithinPartitions("id").mapInPandas(advance, "id long, vec binary, nbrs array<long>, sims array<float>, done array<boolean>"))
+        now = materialise(both.repartition("id").sortWithinPartitions("id").mapInPandas(advance, "id long, vec binary, nbrs array<long>, sims array<float>, done array<boolean>"), files)
         discard(state)
         over = now.where(F.forall("done", lambda d: d))
         going = now.where(~F.forall("done", lambda d: d))
         finished = over if finished is None else finished.unionByName(over)
         if going.isEmpty():
             break
-        state = materialise(going)
+        state = materialise(going, files)
     else:
         finished = finished.unionByName(state)
     lists.unpersist()
@@ -231,11 +231,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "embe
     """
     spark = vectors.sparkSession
     bound_batches(spark)
-    rows = materialise(clean(vectors, vector).distinct())
+    files = files_for(vectors)
+    rows = materialise(clean(vectors, vector).distinct(), files)
     classes = rows.groupBy("embedding").agg(F.min("vec_id").alias("id"))
     members = rows.join(classes, "embedding").select("vec_id", "id")
     order = Window.partitionBy("id").orderBy("vec_id")
-    members = materialise(members.withColumn("__at", F.row_number().over(order)))
+    members = materialise(members.withColumn("__at", F.row_number().over(order)), files)
     first = members.where(F.col("__at") <= k + 1).select("vec_id", "id")
     queries = members.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "id")
 
@@ -243,12 +244,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "embe
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "vec": [packed(np.asarray(e, float)) for e in pdf["embedding"]]})
 
-    nodes = materialise(classes.mapInPandas(pack, "id long, vec binary"))
+    nodes = materialise(classes.mapInPandas(pack, "id long, vec binary"), files)
     originals = classes.select("id", "embedding")
     dim = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
-    graph = build(nodes, nodes.count(), dim)
+    graph = build(nodes, nodes.count(), dim, files)
     starts = queries.select("id").distinct()
-    found = walk(graph, nodes, starts)
+    found = walk(graph, nodes, starts, files)
     # a query's own class is a candidate through its other members
     pairs = found.select(F.col("id").alias("q"), F.explode(F.slice("nbrs", 1, EXACT)).alias("id")).unionByName(starts.select(F.col("id").alias("q"), "id"))
     pairs = pairs.join(originals, "id").join(originals.select(F.col("id").alias("q"), F.col("embedding").alias("qe")), "q")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, files_for, materialise
 
 #: (rule, verdict); a rule is a host and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -63,7 +63,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(one).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, files: int | None = None, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(kind, host, rank) from edges (src, dst, weight) and seeds (kind, host, weight).
 
     kind is trust (along edges) or distrust (against them); both run in the same joins. What a
@@ -72,13 +72,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     """
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = ways.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
-    ways = materialise(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    start = materialise(seeds.select("kind", "host", F.col("weight").cast("double").alias("seed")))
+    ways = materialise(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share")), files)
+    start = materialise(seeds.select("kind", "host", F.col("weight").cast("double").alias("seed")), files)
     rank = start.select("kind", "host", F.col("seed").alias("rank"))
     for turn in range(rounds):
         step = ways.join(rank, (ways["kind"] == rank["kind"]) & (ways["src"] == rank["host"])).select(ways["kind"], F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("r"))
         step = step.unionByName(start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("r")))
-        now = materialise(step.groupBy("kind", "host").agg(F.sum("r").alias("rank")))
+        now = materialise(step.groupBy("kind", "host").agg(F.sum("r").alias("rank")), files)
         rank, old = now, rank
         if turn:
             discard(old)
@@ -97,7 +97,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     named = rows.where("host != ''")
     kind = F.when(F.col("by_rule") == "allow", "trust").otherwise("distrust")
     seeds = named.where("by_rule is not null").groupBy(kind.alias("kind"), "host").agg(F.count("*").alias("weight"))
-    rank = propagate(host_edges(named.select("host", "html")), seeds)
+    rank = propagate(host_edges(named.select("host", "html")), seeds, files_for(pages))
     kinds = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.round("rank", 9))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")]
     sizes = named.groupBy("host").agg(F.count("*").alias("pages"))
     hosts = sizes.join(rank.groupBy("host").agg(*kinds), "host", "left").na.fill(0.0, ["trust", "distrust"])
