@@ -48,7 +48,7 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))  # null for a zero vector
 
 
 def manhattan(a: Column, b: Column) -> Column:
