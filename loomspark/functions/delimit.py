@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
+
 
 def quoted(literal: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", literal)
@@ -22,7 +24,7 @@ def by_keywords(text: Column, keys: list[str]) -> Column:
     pattern = "|".join(quoted(k) for k in sorted(keys, key=len, reverse=True))
     marks = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
     pieces = F.split(text, f"(?:{pattern})")
-    out = F.transform(pieces, lambda p, i: F.struct(F.when(i == 0, "").otherwise(F.get(marks, i - 1)).alias("key"), p.alias("content")))
+    out = let(lambda ms, ps: F.transform(ps, lambda p, i: F.struct(F.when(i == 0, "").otherwise(F.get(ms, i - 1)).alias("key"), p.alias("content"))), marks, pieces)
     return F.filter(out, lambda x: (x["key"] != "") | (x["content"] != ""))
 
 
@@ -36,5 +38,5 @@ def by_patterns(text: Column, patterns: list[str]) -> Column:
     marks = F.regexp_extract_all(text, F.lit(f"(?s)({whole})"), 1)
     pieces = F.split(text, f"(?s){whole}")
     kind = lambda m: F.coalesce(*[F.when(m.rlike(rf"(?s)\A(?:{p})\z"), F.lit(p)) for p in patterns], F.lit(""))
-    pairs = F.transform(pieces, lambda p, i: F.array(F.struct(F.lit("").alias("key"), p.alias("content")), F.struct(kind(F.get(marks, i)).alias("key"), F.get(marks, i).alias("content"))))
+    pairs = let(lambda ms, ps: F.transform(ps, lambda p, i: F.array(F.struct(F.lit("").alias("key"), p.alias("content")), F.struct(kind(F.get(ms, i)).alias("key"), F.get(ms, i).alias("content")))), marks, pieces)
     return F.filter(F.flatten(pairs), lambda x: x["content"].isNotNull() & (x["content"] != ""))

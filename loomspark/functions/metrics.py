@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bind import let
 from .policy import log_softmax, total
 from .tokens import MASKED
 
@@ -113,10 +114,12 @@ def infonce_stats(pairs: DataFrame, batch: str, anchor: str, document: str, key:
 
 def infonce_loss(sims: Column, positive: Column, temperature: float = 0.1, fake_margin: float | None = None) -> Column:
     """Cross entropy of the positive among similarities; negatives above positive + margin can be left out."""
-    own = F.get(sims, positive)
-    kept = sims if fake_margin is None else F.filter(F.transform(sims, lambda s, i: F.when((i == positive) | (s <= own + fake_margin), s)), lambda s: s.isNotNull())
-    top = F.array_max(kept)
-    return F.ln(total(F.transform(kept, lambda s: F.exp((s - top) / temperature)))) + (top - own) / temperature
+
+    def of(own: Column) -> Column:
+        kept = sims if fake_margin is None else F.filter(F.transform(sims, lambda s, i: F.when((i == positive) | (s <= own + fake_margin), s)), lambda s: s.isNotNull())
+        return let(lambda k, top: F.ln(total(F.transform(k, lambda s: F.exp((s - top) / temperature)))) + (top - own) / temperature, kept, F.array_max(kept))
+
+    return let(of, F.get(sims, positive))
 
 
 def pair_losses(df: DataFrame, a: str, b: str, label: str, margin: float = 0.5) -> DataFrame:
@@ -160,6 +163,10 @@ def weighted_loss(df: DataFrame, losses: str, scales: str) -> DataFrame:
 
 
 def ngram_counts(words: Column, n: int) -> Column:
+    return let(lambda w: _ngrams(w, n), words)
+
+
+def _ngrams(words: Column, n: int) -> Column:
     return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: i <= F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
@@ -186,11 +193,10 @@ def bleu(got: Column, want: Column, n: int = 4) -> Column:
     """BLEU with counts plus one above unigrams and brevity penalty."""
 
     def precision(k: int) -> Column:
-        a, b = ngram_counts(got, k), ngram_counts(want, k)
         count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-        hits = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + F.least(count(a, g), count(b, g)))
+        hits = lambda a, b: F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + F.least(count(a, g), count(b, g)))
         smooth = 0 if k == 1 else 1
-        return (hits + smooth) / F.greatest(F.size(a) + smooth, F.lit(1))
+        return let(lambda a, b: (hits(a, b) + smooth) / F.greatest(F.size(a) + smooth, F.lit(1)), ngram_counts(got, k), ngram_counts(want, k))
 
     logs = [F.ln(F.greatest(precision(k), F.lit(1e-12))) / n for k in range(1, n + 1)]
     short = F.least(F.lit(0.0), 1 - F.size(want) / F.greatest(F.size(got), F.lit(1)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bind import let
+
 BOUND = 20.0
 
 
@@ -36,11 +38,11 @@ def rollout_weights(ratio_log: Column, mask: Column, mode: str, most: float = 2.
         return F.transform(ratio, lambda r: F.least(r, F.lit(most)))
     if mode == "token_mask":
         return F.transform(ratio, lambda r: F.when(r <= most, r).otherwise(0.0))
-    whole = sequence_ratio(ratio, mask)
+    whole = lambda use: let(lambda rs, w: F.transform(rs, lambda r: use(r, w)), ratio, sequence_ratio(ratio, mask))
     if mode == "sequence_truncate":
-        return F.transform(ratio, lambda r: F.least(whole, F.lit(most)))
+        return whole(lambda r, w: F.least(w, F.lit(most)))
     if mode == "sequence_mask":
-        return F.transform(ratio, lambda r: F.when(whole <= most, r).otherwise(0.0))
+        return whole(lambda r, w: F.when(w <= most, r).otherwise(0.0))
     return ratio
 
 
@@ -53,8 +55,7 @@ def token_losses(new: Column, old: Column, mask: Column, advantage: Column, kind
     """Loss of every token: clipped ratio (grpo, bnpo, dr_grpo, dapo), cispo or sapo."""
     ratio = log_ratio(new, old)
     if level != "token":
-        whole = masked_mean(ratio, mask)
-        ratio = F.transform(ratio, lambda _: whole)
+        ratio = let(lambda rs, w: F.transform(rs, lambda _: w), ratio, masked_mean(ratio, mask))
     ratio = F.transform(ratio, F.exp)
     if kind == "cispo":
         return F.zip_with(ratio, new, lambda r, n: -F.least(r, F.lit(high)) * advantage * n)
@@ -137,10 +138,9 @@ def chord_weight(step: Column, warmup: int, decay: int, peak: float, valley: flo
 
 
 def log_softmax(x: Column, temperature: float = 1.0) -> Column:
-    z = F.transform(x, lambda v: v / temperature)
-    top = F.array_max(z)
-    norm = top + F.ln(total(F.transform(z, lambda v: F.exp(v - top))))
-    return F.transform(z, lambda v: v - norm)
+    norm = lambda z, top: top + F.ln(total(F.transform(z, lambda v: F.exp(v - top))))
+    shifted = lambda z, n: F.transform(z, lambda v: v - n)
+    return let(lambda z: let(lambda top: let(lambda n: shifted(z, n), norm(z, top)), F.array_max(z)), F.transform(x, lambda v: v / temperature))
 
 
 def jsd(student: Column, teacher: Column, beta: float = 0.5, temperature: float = 1.0) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
 from .delimit import stripped
 
 
@@ -82,8 +83,9 @@ def standardised(messages: Column) -> Column:
     """Pairs: a leading assistant turn gets an empty query, an open query a null answer."""
     turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.cast("string").alias("content"))
     plain = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    head = F.when(F.get(plain, 0)["role"] == "assistant", F.concat(F.array(turn("user", F.lit(""))), plain)).otherwise(plain)
-    return F.when(F.size(head) % 2 == 1, F.concat(head, F.array(turn("assistant", F.lit(None))))).otherwise(head)
+    led = lambda p: F.when(F.get(p, 0)["role"] == "assistant", F.concat(F.array(turn("user", F.lit(""))), p)).otherwise(p)
+    closed = lambda h: F.when(F.size(h) % 2 == 1, F.concat(h, F.array(turn("assistant", F.lit(None))))).otherwise(h)
+    return let(lambda p: let(closed, led(p)), plain)
 
 
 def system_of(messages: Column) -> tuple[Column, Column]:
@@ -94,16 +96,20 @@ def system_of(messages: Column) -> tuple[Column, Column]:
 
 def without_old_thinking(messages: Column) -> Column:
     """Before the last user turn, answers keep only what follows their last </think>."""
-    return F.transform(messages, lambda m, i: F.struct(m["role"].alias("role"), F.when((m["role"] == "assistant") & (i < last_user(messages)), stripped(F.element_at(F.split(m["content"], "</think>"), -1))).otherwise(m["content"]).alias("content")))
+    return let(lambda ms, last: F.transform(ms, lambda m, i: F.struct(m["role"].alias("role"), F.when((m["role"] == "assistant") & (i < last), stripped(F.element_at(F.split(m["content"], "</think>"), -1))).otherwise(m["content"]).alias("content"))), messages, last_user(messages))
 
 
 def with_empty_thinking(messages: Column, prefix: str = "<think>\n\n</think>\n\n") -> Column:
     """Answers from the last user turn on start with the empty thinking text unless they think."""
-    return F.transform(messages, lambda m, i: F.struct(m["role"].alias("role"), F.when((m["role"] == "assistant") & (i > last_user(messages)) & ~m["content"].startswith(prefix), F.concat(F.lit(prefix), m["content"])).otherwise(m["content"]).alias("content")))
+    return let(lambda ms, last: F.transform(ms, lambda m, i: F.struct(m["role"].alias("role"), F.when((m["role"] == "assistant") & (i > last) & ~m["content"].startswith(prefix), F.concat(F.lit(prefix), m["content"])).otherwise(m["content"]).alias("content"))), messages, last_user(messages))
 
 
 def parts(pairs: Column, system: Column, t: Template, training: bool = True) -> Column:
     """[(text, kind, round)] of a conversation in standardised pairs; kind is other, response or suffix."""
+    return let(lambda p, s: _parts(p, s, t, training), pairs, system)
+
+
+def _parts(pairs: Column, system: Column, t: Template, training: bool) -> Column:
     part = lambda text, kind, i: F.struct(text.alias("text"), F.lit(kind).alias("kind"), i.cast("int").alias("round"))
     rounds = (F.size(pairs) / 2).cast("int")
     starts = F.when(rounds > 0, F.sequence(F.lit(0), rounds - 1)).otherwise(F.array().cast("array<int>"))
@@ -160,8 +166,8 @@ def box_text(box: Column) -> Column:
 
 def filled_tags(text: Column, tag: str, values: Column) -> Column:
     """The n-th tag becomes the n-th value; further tags stay."""
-    cut = F.split(text, tag.replace("|", r"\|"))
-    return F.aggregate(F.slice(F.transform(cut, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), 2, F.greatest(F.size(cut) - 1, F.lit(0))), F.get(cut, 0), lambda acc, x: F.concat(acc, F.coalesce(F.get(values, x["i"] - 1), F.lit(tag)), x["p"]))
+    joined = lambda cut, vs: F.aggregate(F.slice(F.transform(cut, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), 2, F.greatest(F.size(cut) - 1, F.lit(0))), F.get(cut, 0), lambda acc, x: F.concat(acc, F.coalesce(F.get(vs, x["i"] - 1), F.lit(tag)), x["p"]))
+    return let(joined, F.split(text, tag.replace("|", r"\|")), values)
 
 
 def resized(width: Column, height: Column, most: int, factor: int = 1) -> tuple[Column, Column]:

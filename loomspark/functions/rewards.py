@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
 from .delimit import stripped
 from .tokens import SPACE
 
@@ -37,9 +38,12 @@ def cosine_length(length: Column, right: Column, most: int = 1000, wrong: tuple[
 
 def repetition(text: Column, n: int = 3, worst: float = -1.0) -> Column:
     """worst times the share of repeated n-grams of lower-case words; shorter texts are not punished."""
-    words = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) < n, 0.0).otherwise((1 - F.size(F.array_distinct(grams)) / F.size(grams)) * worst)
+
+    def of(words: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) < n, 0.0).otherwise(let(lambda g: (1 - F.size(F.array_distinct(g)) / F.size(g)) * worst, grams))
+
+    return let(of, F.filter(F.split(F.lower(text), SPACE), lambda w: w != ""))
 
 
 def overlong(length: Column, most: int, cache: int) -> Column:
@@ -57,12 +61,15 @@ def last_action(text: Column) -> Column:
 
 def argument_score(got: Column, want: Column) -> Column:
     """F1 over JSON arguments: a key with the right value counts 1, with another value 1/2; texts score 0."""
-    g, w = F.from_json(got, "map<string,string>"), F.from_json(want, "map<string,string>")
-    keys = F.array_intersect(F.map_keys(g), F.map_keys(w))
-    hits = F.aggregate(F.transform(keys, lambda k: F.when(F.element_at(g, k).eqNullSafe(F.element_at(w, k)), 1.0).otherwise(0.5)), F.lit(0.0), lambda a, x: a + x)
-    p, r = hits / F.greatest(F.size(g), F.lit(1)), hits / F.greatest(F.size(w), F.lit(1))
-    both_empty = (F.size(g) == 0) & (F.size(w) == 0)
-    return F.when(g.isNull() | w.isNull(), 0.0).when(both_empty, 1.0).when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+
+    def of(g: Column, w: Column) -> Column:
+        keys = F.array_intersect(F.map_keys(g), F.map_keys(w))
+        hits = F.aggregate(F.transform(keys, lambda k: F.when(F.element_at(g, k).eqNullSafe(F.element_at(w, k)), 1.0).otherwise(0.5)), F.lit(0.0), lambda a, x: a + x)
+        both_empty = (F.size(g) == 0) & (F.size(w) == 0)
+        # 2pr / (p + r) with p = hits / |g| and r = hits / |w|
+        return F.when(g.isNull() | w.isNull(), 0.0).when(both_empty, 1.0).otherwise(2 * hits / (F.size(g) + F.size(w)))
+
+    return let(of, F.from_json(got, "map<string,string>"), F.from_json(want, "map<string,string>"))
 
 
 def tool_match(got_name: Column, got: Column, want_name: Column, want: Column) -> Column:

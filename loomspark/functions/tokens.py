@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bind import let
+
 MASKED = -100
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -35,21 +37,32 @@ def open_suffix(labels: Column, ids: Column, suffix: list[int]) -> Column:
     """
     n = len(suffix)
     want = F.array(*[F.lit(s) for s in suffix])
-    zipped = F.arrays_zip(labels.alias("l"), ids.alias("t"))
-    ends = F.filter(F.transform(zipped, lambda x, i: F.when((i > 0) & (x["l"] == MASKED) & (F.get(labels, i - 1) != MASKED) & (F.slice(ids, i + 1, n) == want), i)), lambda i: i.isNotNull())
-    return F.transform(labels, lambda x, i: F.when(F.exists(ends, lambda e: (i >= e) & (i < e + n)), F.get(ids, i)).otherwise(x))
+
+    def of(ls: Column, ts: Column) -> Column:
+        ends = F.filter(F.transform(ls, lambda x, i: F.when((i > 0) & (x == MASKED) & (F.get(ls, i - 1) != MASKED) & (F.slice(ts, i + 1, n) == want), i)), lambda i: i.isNotNull())
+        return let(lambda es: F.transform(ls, lambda x, i: F.when(F.exists(es, lambda e: (i >= e) & (i < e + n)), F.get(ts, i)).otherwise(x)), ends)
+
+    return let(of, labels, ids)
 
 
 def truncated(values: Column, ids: Column, most: int, side: str, protected: list[int] | None = None) -> Column:
     """At most most tokens of an array parallel to ids; protected tokens stay, the rest is cut from a side."""
-    keep = F.transform(ids, lambda t: t.isin(protected or []))
-    n_kept = F.size(F.filter(keep, lambda k: k))
-    free = F.greatest(F.lit(most) - n_kept, F.lit(0))
-    loose = F.filter(F.transform(keep, lambda k, i: F.when(~k, i)), lambda i: i.isNotNull())
-    chosen = F.slice(loose, 1, free) if side == "right" else F.when(free > 0, F.slice(loose, F.greatest(F.size(loose) - free + 1, F.lit(1)), free)).otherwise(F.slice(loose, 1, 0))
-    edge = (F.element_at(chosen, -1), F.lit(None)) if side == "right" else (F.get(chosen, 0), F.lit(None))
-    inside = (lambda i: i <= F.coalesce(edge[0], F.lit(-1))) if side == "right" else (lambda i: i >= F.coalesce(edge[0], F.size(ids)))
-    return F.when(F.size(ids) <= most, values).otherwise(F.filter(F.transform(values, lambda v, i: F.struct(v.alias("v"), (F.get(keep, i) | inside(i)).alias("k"))), lambda x: x["k"])["v"])
+    right = side == "right"
+
+    def cut(keep: Column, loose: Column) -> Column:
+        free = F.greatest(F.lit(most) - (F.size(keep) - F.size(loose)), F.lit(0))
+        edge = F.get(loose, free - 1) if right else F.get(loose, F.greatest(F.size(loose) - free, F.lit(0)))
+        edge = F.when(free > 0, edge)
+
+        def chosen(e: Column) -> Column:
+            inside = (lambda i: i <= F.coalesce(e, F.lit(-1))) if right else (lambda i: i >= F.coalesce(e, F.size(keep)))
+            return F.filter(F.transform(values, lambda v, i: F.struct(v.alias("v"), (F.get(keep, i) | inside(i)).alias("k"))), lambda x: x["k"])["v"]
+
+        return let(chosen, edge)
+
+    kept = F.transform(ids, lambda t: t.isin(protected or []))
+    loose = lambda k: F.filter(F.transform(k, lambda x, i: F.when(~x, i)), lambda i: i.isNotNull())
+    return F.when(F.size(ids) <= most, values).otherwise(let(lambda k: let(lambda f: cut(k, f), loose(k)), kept))
 
 
 def expanded(ids: Column, placeholder: int, fill: list[int]) -> Column:
@@ -95,7 +108,7 @@ def collate(df: DataFrame, batch: str, ids: str = "input_ids", labels: str = "la
 def unpacked(values: Column, lengths: Column, width: int, pad: Column) -> tuple[Column, Column]:
     """Flat values -> one left-padded row for each length, and the mask of real places."""
     starts = F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x))
-    rows = F.transform(F.arrays_zip(starts.alias("s"), lengths.alias("n")), lambda x: F.concat(F.array_repeat(pad, F.lit(width) - x["n"]), F.slice(values, x["s"] + 1, x["n"])))
+    rows = let(lambda vs: F.transform(F.arrays_zip(starts.alias("s"), lengths.alias("n")), lambda x: F.concat(F.array_repeat(pad, F.lit(width) - x["n"]), F.slice(vs, x["s"] + 1, x["n"]))), values)
     mask = F.transform(lengths, lambda n: F.concat(F.array_repeat(F.lit(0), F.lit(width) - n), F.array_repeat(F.lit(1), n)))
     return rows, mask
 

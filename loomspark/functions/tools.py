@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
 from .delimit import by_keywords, stripped
 
 # Keywords of the formats.
@@ -63,8 +64,9 @@ def glm4(text: Column) -> Column:
 
 def _tagged(bodies: Column, name: Callable[[Column], Column], keys: Callable[[Column], Column], values: Callable[[Column], Column], fits: Callable[[Column], Column]) -> Column:
     def one(b: Column) -> Column:
-        k, v = F.transform(keys(b), stripped), F.transform(values(b), stripped)
-        return F.when(fits(b) & (F.size(k) == F.size(v)), call(stripped(name(b)), F.to_json(F.map_from_arrays(F.array_distinct(k), F.transform(F.array_distinct(k), lambda x: F.element_at(v, (F.array_position(k, x)).cast("int")))))))
+        first = lambda k, v: F.map_from_arrays(F.array_distinct(k), F.transform(F.array_distinct(k), lambda x: F.element_at(v, (F.array_position(k, x)).cast("int"))))
+        whole = lambda k, v: F.when(fits(b) & (F.size(k) == F.size(v)), call(stripped(name(b)), F.to_json(first(k, v))))
+        return let(whole, F.transform(keys(b), stripped), F.transform(values(b), stripped))
 
     return F.filter(F.transform(bodies, one), lambda c: c.isNotNull())
 
@@ -105,7 +107,7 @@ FORMATS: dict[str, Callable[[Column], Column]] = {"react": keyed, "hermes": herm
 def tool_calls(text: Column, kind: str) -> Column:
     """Calls of a format, or of the Action form where it finds none."""
     found = FORMATS[kind](text)
-    return found if kind in ("react", "toolbench") else F.when(F.size(found) > 0, found).otherwise(keyed(text))
+    return found if kind in ("react", "toolbench") else let(lambda f: F.when(F.size(f) > 0, f).otherwise(keyed(text)), found)
 
 
 # -- formatting --------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.bind import let
 
 
 def valid_messages(col: Column) -> Column:
@@ -49,8 +50,8 @@ def all_existing(df: DataFrame, column: str, key: str, files: DataFrame, path: s
 
 def overlapping(spans: Column) -> Column:
     """Whether any two [start, end) spans (structs) overlap."""
-    s = F.array_sort(spans)
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: (i < F.size(s)) & (F.get(s, i)["start"] < F.get(s, i - 1)["end"]))
+    meet = lambda s: F.exists(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: (i < F.size(s)) & (F.get(s, i)["start"] < F.get(s, i - 1)["end"]))
+    return let(meet, F.array_sort(spans))
 
 
 def alias_present(tags: Column, known: list[str]) -> Column:

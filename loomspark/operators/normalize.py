@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from ..functions.bind import let
 
 
 def message(role: str | Column, content: Column, loss: Column | None = None) -> Column:
@@ -97,9 +98,12 @@ def history_messages(history: Column, system: Column | None = None) -> Column:
 
 def messages_history(messages: Column) -> Column:
     """Messages without system -> [[query, response], ...]; an odd last query has a null response."""
-    m = F.filter(messages, lambda x: x["role"] != "system")
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(m) - 1, F.lit(0))), lambda i: (i % 2 == 0) & (i < F.size(m)))
-    return F.transform(starts, lambda i: F.array(F.get(m, i)["content"], F.get(m, i + 1)["content"]))
+
+    def of(m: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(m) - 1, F.lit(0))), lambda i: (i % 2 == 0) & (i < F.size(m)))
+        return F.transform(starts, lambda i: F.array(F.get(m, i)["content"], F.get(m, i + 1)["content"]))
+
+    return let(of, F.filter(messages, lambda x: x["role"] != "system"))
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))

@@ -266,3 +266,40 @@ def media_tags(spark, sf_dir):
     text, paths = render.inline_images(F.format_string("a<img>%s</img>b", "lang"))
     ext = F.concat(F.lit("x."), F.when(F.col("lang") == "en", "JPG").when(F.col("lang") == "fr", "wav").otherwise("bin"))
     return d.select("doc_id", render.with_media_tags(F.col("source"), "<image>", F.lit(2)).alias("tagged"), text.alias("text"), F.get(paths, 0).alias("path"), render.media_kind(ext).alias("kind"))
+
+
+@query(f"""with {REST}, pairs as (select conv_id, sys, r, len(r) // 2 as k from rest), a as (select conv_id, coalesce(sum(len(regexp_extract_all(r[2 * i].content, '[^\\x20\\x09-\\x0D]+'))), 0) as w from (select *, unnest(range(1, k + 1)) as i from pairs) group by conv_id)
+select p.conv_id, coalesce(a.w, 0)::bigint + (len(r) % 2 = 0 and len(r) > 0)::bigint as open_labels from pairs p left join a on p.conv_id = a.conv_id""")
+def encode_causal(spark, sf_dir):
+    """Encoded conversations: as many open labels as answers have words, and the end mark of the last one."""
+    from ..functions import encode
+
+    c = conversations(spark, sf_dir)
+    got = encode.task_rows(c, "causal_lm")
+    return got.select("conv_id", F.size(F.filter("labels", lambda x: x != tokens.MASKED)).cast("long").alias("open_labels"))
+
+
+@query(f"""with {REST} select conv_id, 2::bigint as sides, true as same_prompt from rest where len(r) >= 2 and len(r) % 2 = 0""")
+def encode_preference(spark, sf_dir):
+    """Chosen and rejected sides share everything but the last answer, and are padded to one length."""
+    from ..functions import encode
+
+    c = conversations(spark, sf_dir)
+    _, rest = render.system_of(F.col("messages"))
+    c = c.select("conv_id", rest.alias("messages")).where((F.size("messages") >= 2) & (F.size("messages") % 2 == 0))
+    c = c.withColumn("rejected_messages", normalize.rejected_from_response(F.col("messages"), F.lit("no")))
+    got = encode.task_rows(c, "rlhf").withColumn("batch", F.col("conv_id"))
+    sides = encode.stacked(got, "batch", "conv_id")
+    n = F.size("input_ids")
+    head = F.md5(F.slice("input_ids", 1, 3).cast("string"))
+    return sides.groupBy("conv_id").agg(F.count("*").alias("sides"), ((F.min(n) == F.max(n)) & (F.min(head) == F.max(head))).alias("same_prompt"))
+
+
+@query("select doc_id, least(a, 64)::bigint as n from (select doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as a from documents) where a > 0 and a <= 64 union all select doc_id, 64 from (select doc_id, unnest(range(a // 64)) as i from (select doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as a from documents) where a > 64) union all select doc_id, (a % 64)::bigint from (select doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as a from documents) where a > 64 and a % 64 > 0")
+def encode_split(spark, sf_dir):
+    """Long samples become several rows of at most 64 tokens."""
+    from ..functions import encode
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array(F.struct(F.lit("user").alias("role"), F.lit("").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content"))).alias("messages"))
+    got = encode.task_rows(d, "causal_lm", template=render.PLAIN).where(F.size("input_ids") > 0)
+    return encode.fitted(got, 64, "split").select("doc_id", F.col("length").cast("long").alias("n"))

@@ -232,3 +232,41 @@ def test_stream_packer_and_take(spark, tmp_path):
     assert sorted(i for b in bins for i, _ in b) == list(range(40)) and all(sum(n for _, n in b) <= 12 for b in bins)
     streams.each(streams.read(spark, src, "id long, n long", files=1), streams.Take(15, 5, "id", lambda df: parts.extend(df.collect())))
     assert len(parts) == 15 and sum(r["part"] == "val" for r in parts) == 5
+
+
+def test_user_code(spark, tmp_path):
+    from loomspark.functions import extend
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, t string")
+    fn = lambda r: None if r["id"] == 1 else [r, r] if r["id"] == 2 else 1 / 0
+    assert [r["id"] for r in extend.row_transform(df, fn, "id long, t string").collect()] == [2, 2]
+    (tmp_path / "mine.py").write_text("from loomspark.functions.extend import reward\n@reward('size')\ndef size(completions, id=None):\n    return [len(c) + i if i < 3 else None for c, i in zip(completions, id)]\n@reward('late')\nasync def late(completions, id=None):\n    return [0.5] * len(completions)\n")
+    extend.load_file(str(tmp_path / "mine.py"))
+    plus = extend.REWARDS["size"]
+    assert plus(["ab"], id=[1]) == [3]
+    extend.REWARDS["len"] = lambda completions, id=None: [float(len(c)) if i < 3 else None for c, i in zip(completions, id, strict=True)]
+    got = extend.scored(df, ["len"], "t", ("id",)).orderBy("id").collect()
+    assert [r["len"] for r in got] == [1.0, 1.0, None]
+    assert extend.Mean("id").over(df) == 2.0 and extend.Mean("id", -1.0).over(df.limit(0)) == -1.0
+
+
+def test_task_encoding(spark):
+    from loomspark.functions import encode
+
+    rows = [([("user", "q one", None), ("assistant", "a b c", None)], [[("user", "p")]], [[("user", "n1")], [("user", "n2")]])]
+    df = spark.createDataFrame(rows, "messages array<struct<role:string,content:string,loss:double>>, positive_messages array<array<struct<role:string,content:string>>>, negative_messages array<array<struct<role:string,content:string>>>")
+    assert encode.task_rows(df, "reranker").count() == 3
+    e = encode.task_rows(df, "embedding").first()
+    assert e["anchor_length"] > 0 and e["positive_length"] > 0 and len(e["negatives"]) == 2
+    k = encode.task_rows(df.withColumn("kl_messages", F.col("messages")), "kto").first()
+    assert k["kl_input_ids"] == k["completion_input_ids"]
+    one = encode.task_rows(df, "causal_lm")
+    assert encode.fitted(one, 3, "raise").count() == 0 and encode.fitted(one, 3, "left").first()["length"] == 3
+    s = encode.sampled_documents(df.withColumn("id", F.lit(1)), "id", 1).first()
+    assert len(s["positive_messages"]) == 1 and len(s["negative_messages"]) == 1
+    a = encode.attached(df).first()
+    assert [m["role"] for m in a["positive_messages"][0]] == ["user", "assistant", "user"]
+    t = df.select(encode.with_token_answers(F.col("messages"), F.array(F.array(F.lit(1), F.lit(2)))).alias("m")).first()["m"]
+    assert t[0]["ids"] is None and t[1]["ids"] == [1, 2]
+    with pytest.raises(ValueError):
+        encode.task_rows(df, "nothing")
