@@ -5,7 +5,7 @@ with t_0 < t_1 < ...; a document's severity is its expected grade, the sum of th
 The model is fitted in numpy on a bounded sample of labelled documents (LABELLED), spread
 by hash, of which near copies count once. The label table only says toxic or not; grades
 above 0 come from how densely a toxic document uses the words that set toxic documents
-apart. A document is rejected at the severity that did best on a held-out part.
+apart. A document is rejected at the severity that did best on held-out parts.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ EVIDENCE, EVIDENCE_TINY, TINY = 25.0, 10.0, 50
 #: Least share of toxic documents among those with a word that becomes a feature.
 PURITY = 0.6
 WORDS = re.compile(r"[^\W\d_]+")
+#: Parts of the sample that are held out in turn for the threshold.
+FOLDS = 3
 #: Distinct words whose weight a worker remembers.
 CACHE_WORDS = 300_000
 
@@ -169,14 +171,15 @@ def fit(rows: list[tuple[int, int, list[int], list[float], list[int]]], grades:
     if marked.any():
         for q in np.quantile(density[marked], [k / (grades - 1) for k in range(1, grades - 1)]):
             grade[marked & (density > q)] += 1
-    held = np.arange(len(kept)) % 3 == 0
-    reject = 0.5
-    if y[held].any() and y[~held].any():
-        w, cuts = fit_cuts(x[~held], grade[~held], grades)
-        s = Ordinal({}, list(cuts), 0).severity(x[held] @ w)
+    # the threshold comes from severities that each third gets from a model of the other two
+    fold, s, reject = np.arange(len(kept)) % FOLDS, np.zeros(len(kept)), 0.5
+    if all(y[fold != f].any() for f in range(FOLDS)):
+        for f in range(FOLDS):
+            w, cuts = fit_cuts(x[fold != f], grade[fold != f], grades)
+            s[fold == f] = Ordinal({}, list(cuts), 0).severity(x[fold == f] @ w)
         order = np.argsort(-s, kind="stable")
-        hit = np.cumsum(y[held][order])
-        f1 = 2 * hit / (np.arange(1, len(s) + 1) + y[held].sum())
+        hit = np.cumsum(y[order])
+        f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
         sorted_s = s[order]
         f1[:-1][sorted_s[:-1] == sorted_s[1:]] = 0  # a cut within equal severities is none
         best = int(f1.argmax())
