@@ -8,6 +8,8 @@ place inside the range.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +32,8 @@ def positions(df: DataFrame, order: Column, *ties: str, name: str = "pos", by: l
     counts = out.groupBy(*by, "__r").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__b", F.sum("__n").over(Window.partitionBy(*by).orderBy("__r")) - F.col("__n")).drop("__n")
     inside = F.row_number().over(Window.partitionBy(*by, "__r").orderBy("__o", *ties)) - 1
-    same = [out[c].eqNullSafe(before[c]) for c in [*by, "__r"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
     joined = out.withColumn("__i", inside)
-    same = [joined[c].eqNullSafe(before[c]) for c in [*by, "__r"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
+    cond = reduce(lambda a, b: a & b, [joined[c].eqNullSafe(before[c]) for c in [*by, "__r"]])
     return joined.join(before, cond).select(*[joined[c] for c in df.columns], (F.col("__i") + F.col("__b")).cast("long").alias(name))
 
 
