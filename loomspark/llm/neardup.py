@@ -255,3 +255,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     out = done.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+#: The same in DuckDB, with all pairs that share a shingle and the closure of their links.
+SQL = """
+with recursive docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as s from docs),
+flat as (select doc_id, unnest(s) as g from sets),
+pairs as (select a.doc_id as i, b.doc_id as j, count(*) as n from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select i, j from pairs join sets x on x.doc_id = i join sets y on y.doc_id = j where 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+ways as (select i, j from links union all select j, i from links),
+reach as (select doc_id as a, doc_id as b from sets union select r.a, w.j from reach r join ways w on r.b = w.i)
+select s.doc_id, len(s.s)::bigint as n_shingles, min(r.b) as component_id, min(r.b) = s.doc_id as kept from sets s join reach r on r.a = s.doc_id group by s.doc_id, s.s
+"""

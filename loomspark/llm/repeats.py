@@ -35,6 +35,10 @@ RUN, BUCKET_WORDS = 512, 20_000
 #: Bytes of packed strings that are counted in one go; whole buckets are added up to it.
 CHUNK = 4 << 20
 COMMON = np.uint64(1 << 63)
+#: Packed strings are compressed with a shared dictionary of so many bytes, trained on the start of a few texts.
+#: It only makes small blobs smaller; results do not depend on it.
+DICTIONARY, DICTIONARY_TEXTS, DICTIONARY_CHARS = 32 << 10, 500, 8000
+LEVEL = 9
 
 
 def _laid(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,13 +145,26 @@ def common_grams(rows: DataFrame, m: int = M) -> tuple[int, np.ndarray]:
     return total, np.sort(np.array([r["gram"] for r in top], np.uint64))
 
 
-def super_kmers(rows: DataFrame, total: int, common: np.ndarray, k: int = K, m: int = M) -> DataFrame:
+def shared_dictionary(rows: DataFrame) -> bytes:
+    """A compression dictionary for packed strings; empty if the table is too small to train one."""
+    some = [r["t"].encode("utf-8", "surrogatepass") for r in rows.select(F.left("text", F.lit(DICTIONARY_CHARS)).alias("t")).where("t is not null").limit(DICTIONARY_TEXTS).collect()]
+    pieces = [t[i : i + 400] for t in some for i in range(0, len(t), 400)]
+    if len(pieces) < 200:
+        return b""
+    return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
+
+
+def _codec(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+
+
+def super_kmers(rows: DataFrame, total: int, common: np.ndarray, k: int = K, m: int = M, dictionary: bytes = b"") -> DataFrame:
     """(bucket, blob) rows from (id, key, text): packed super-k-mers of one batch and bucket."""
     buckets = max(1, total // BUCKET_WORDS)
     sent = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        squeeze = zstandard.ZstdCompressor(level=5)
+        squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_codec(dictionary))
         for pdf in parts:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
             ids, keys = pdf["id"].to_numpy(), pdf["key"].to_numpy()
@@ -244,11 +261,12 @@ def _count(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, n: np.ndarray,
 def repeated_windows(rows: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """(id, key, start, n): runs of n repeated windows from word number start of a text."""
     total, common = common_grams(rows, m)
-    sent = super_kmers(rows, total, common, k, m)
+    dictionary = shared_dictionary(rows)
+    sent = super_kmers(rows, total, common, k, m, dictionary)
     ordered = sent.repartition("bucket").sortWithinPartitions("bucket")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_ = zstandard.ZstdDecompressor()
+        open_ = zstandard.ZstdDecompressor(dict_data=_codec(dictionary))
         held: list[tuple] = []
         size, last = 0, None
 
