@@ -29,7 +29,7 @@ def interleave(df: DataFrame, source: str, key: str, weights: dict[str, float],
     table = spark.createDataFrame([(k, float(w)) for k, w in weights.items() if w > 0], f"{source} string, weight double")
     rows = df.join(F.broadcast(table), source)  # as many rows as there are named weights
     at = positions(rows, draw_order("interleave", key), key, by=[source])
-    ends = at.groupBy(source, "weight").agg(F.count("*").alias("n"))
+    ends = rows.groupBy(source, "weight").agg(F.count("*").alias("n"))
     line = ends.select(source, "n", (F.col("n") / F.col("weight")).alias("end"))
     edge = line.agg((F.min("end") if stop == "first_exhausted" else F.max("end")).alias("edge"))
     limits = F.broadcast(line.select(source, "n").join(edge))  # one row for each source
