@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 
 #: At most this many labelled documents are used for fitting.
-LABELLED = 6000
+LABELLED = 4000
 #: Hash buckets of words, and features kept at most.
 BUCKETS, FEATURES = 1 << 20, 500
 #: Severity grades 0..GRADES-1.
@@ -150,9 +150,9 @@ def fit(rows: list[tuple[int, int, list[int], list[float], list[int]]], grades:
     t1, t0 = int(y.sum()), int(len(y) - y.sum())
     if not t1 or not t0:
         return Ordinal({}, [50.0 + k for k in range(grades - 1)], 0.5)
-    owner = np.repeat(np.arange(len(kept)), [len(r[2]) for r in kept])
-    words = np.concatenate([np.asarray(r[2], np.int64) for r in kept])
-    tf = np.concatenate([np.asarray(r[3], float) for r in kept])
+    owner = np.repeat(np.arange(len(kept), dtype=np.int32), [len(r[2]) for r in kept])
+    words = np.concatenate([np.asarray(r[2], np.int32) for r in kept])
+    tf = np.concatenate([np.asarray(r[3], np.float32) for r in kept])
     names, at = np.unique(words, return_inverse=True)
     n1, n0 = np.bincount(at, y[owner], len(names)), np.bincount(at, 1 - y[owner], len(names))
     g = evidence(n1, n0, t1, t0)
@@ -214,7 +214,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Ordin
                 out["keys"].append(copy_keys(t))
             yield pd.DataFrame(out)
 
-    got = joined.mapInPandas(counts, "doc_id long, toxic long, n long, features array<int>, values array<double>, keys array<long>").toArrow()
+    got = joined.mapInPandas(counts, "doc_id long, toxic long, n long, features array<int>, values array<float>, keys array<long>").toArrow()
     columns = [got.column(c).to_numpy() for c in ("toxic", "n", "features", "values")]
     ids, keys = got.column("doc_id").to_pylist(), got.column("keys").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], keys[i]))
