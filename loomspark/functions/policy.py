@@ -153,3 +153,14 @@ def jsd(student: Column, teacher: Column, beta: float = 0.5, temperature: float
         return kl(s, t)
     m = F.zip_with(s, t, lambda a, b: F.ln((1 - beta) * F.exp(a) + beta * F.exp(b)))
     return beta * kl(t, m) + (1 - beta) * kl(s, m)
+
+
+def grouped_jsd(df: DataFrame, student: str, teacher: str, channel: str, settings: dict[str, tuple[float, float]], default: tuple[float, float] = (0.5, 1.0)) -> DataFrame:
+    """Token-weighted divergence where channels have their own (beta, temperature).
+
+    One row a token; tokens are grouped by their settings, each group's mean is weighted by its tokens.
+    """
+    value = jsd(F.col(student), F.col(teacher), *default)
+    for name, (beta, temperature) in settings.items():
+        value = F.when(F.col(channel) == name, jsd(F.col(student), F.col(teacher), beta, temperature)).otherwise(value)
+    return df.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("loss"), F.count("*").alias("tokens"))

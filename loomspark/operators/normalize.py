@@ -239,6 +239,12 @@ def pick(values: list[str], seed: str, *keys: str) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
 
 
+def grounding_prompt(task: str, prompts: dict[str, dict[str, list[str]]], key: str, english: float = 0.8) -> Column:
+    """A prompt of a task ("grounding" or "caption") by hash of the key: English for a share of rows, else Chinese."""
+    at = F.conv(F.substring(F.md5(F.concat(F.lit("language:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return F.when(at < english, pick(prompts[task]["en"], task, key)).otherwise(pick(prompts[task]["zh"], task, key))
+
+
 def parts_text(parts: Column) -> tuple[Column, Column]:
     """Content parts (type, text, url) -> text with media tags, and the urls of the media."""
     text = F.array_join(F.transform(parts, lambda p: F.when(p["type"] == "text", p["text"]).otherwise(F.concat(F.lit("<"), F.regexp_replace(p["type"], "_url$", ""), F.lit(">")))), "")

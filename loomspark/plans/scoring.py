@@ -303,3 +303,13 @@ def rouge_l_bleu(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", tokens.words(F.col("text")).alias("a"))
     p = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
     return p.select("conv_id", "turn", metrics.rouge_l(F.col("a"), F.col("b")).alias("rouge_l"), metrics.bleu(F.col("a"), F.col("b")).alias("bleu"))
+
+
+@query("""with v as (select a.vec_id, a.label, list_transform(a.embedding, lambda x: x::double / case when a.label = 1 then 2.0::double else 1.0::double end) as s, list_transform(b.embedding, lambda x: x::double / case when a.label = 1 then 2.0::double else 1.0::double end) as t from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+l as (select label, list_transform(s, lambda x: x - ln(list_sum(list_transform(s, lambda y: exp(y))))) as s, list_transform(t, lambda x: x - ln(list_sum(list_transform(t, lambda y: exp(y))))) as t from v),
+m as (select *, case when label = 1 then 0.2::double else 0.5::double end as b from l), k as (select *, list_transform(range(1, len(s) + 1), lambda i: ln((1 - b) * exp(s[i]) + b * exp(t[i]))) as m from m)
+select avg(b * list_sum(list_transform(range(1, len(s) + 1), lambda i: exp(t[i]) * (t[i] - m[i]))) + (1 - b) * list_sum(list_transform(range(1, len(s) + 1), lambda i: exp(s[i]) * (s[i] - m[i])))) as loss, count(*) as tokens from k""")
+def grouped_jsd(spark, sf_dir):
+    """Divergence with settings by channel; the label is the channel."""
+    p = _pairs(spark, sf_dir).select(F.col("label").cast("string").alias("c"), F.transform("embedding", lambda x: x.cast("double")).alias("s"), F.transform("other", lambda x: x.cast("double")).alias("t"))
+    return policy.grouped_jsd(p, "s", "t", "c", {"1": (0.2, 2.0)})

@@ -114,6 +114,29 @@ def chosen_subsets(entry: Entry, names: tuple[str, ...]) -> list[Subset]:
     return [known.get(n, Subset(n)) for n in names]
 
 
+def register_tables(base: str, catalog: Catalog = CATALOG) -> Catalog:
+    """A small catalog of its own: the synthetic tables of a folder as chat data."""
+    from ..operators.expand import gathered
+    from ..operators.normalize import from_messages
+
+    def chats(df: DataFrame) -> DataFrame:
+        turns = gathered(df.select("conv_id", "turn", "role", F.col("text").alias("content")), ["conv_id"], "turn", ["role", "content"], "messages")
+        return from_messages(turns)
+
+    catalog.register(Entry("tables/conversations", f"{base}/conversations.parquet", transform=chats, tags=("chat",)), exist_ok=True)
+    catalog.register(Entry("tables/documents", f"{base}/documents.parquet", columns={"source": "channel"}, tags=("pretrain",)), exist_ok=True)
+    catalog.register(Entry("tables/benchmark", f"{base}/benchmark.parquet", tags=("pretrain",)), exist_ok=True)
+    return catalog
+
+
+def configured(catalog: Catalog, name: str, recipe: Callable[..., DataFrame], **settings) -> Entry:
+    """An entry whose transform is a recipe with settings filled in, such as a model's name and author."""
+    entry = catalog.find(name)
+    if entry is None:
+        raise KeyError(name)
+    return catalog.register(replace(entry, transform=lambda df: recipe(df, **settings)), exist_ok=True)
+
+
 def read_file(spark: SparkSession, path: str, kind: str | None = None, array: bool = False) -> DataFrame:
     """A file or folder by extension: jsonl, json, csv, parquet, orc, txt. Empty CSV fields are empty strings."""
     kind = kind or PurePosixPath(path.rstrip("/")).suffix.lstrip(".").lower()

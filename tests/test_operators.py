@@ -270,3 +270,21 @@ def test_task_encoding(spark):
     assert t[0]["ids"] is None and t[1]["ids"] == [1, 2]
     with pytest.raises(ValueError):
         encode.task_rows(df, "nothing")
+
+
+def test_own_catalog_and_prompts(spark):
+    from .compare import DATA
+
+    c = catalog.register_tables(DATA, catalog.Catalog())
+    assert catalog.load_one(spark, "tables/conversations", c).count() > 0
+    train, val = catalog.load(spark, ["tables/documents#50"], 0.1, "doc_id", c)
+    assert train.count() + val.count() == 50 and val.count() == 5 and "channel" in train.columns
+    assert catalog.load(spark, [], catalog=c) == (None, None)
+    e = catalog.configured(c, "benchmark", recipes.query_response, query="text", response="text")
+    assert contents(e.transform(spark.createDataFrame([("x",)], "text string"))) == [[("user", "x"), ("assistant", "x")]]
+    df = spark.range(400)
+    p = {"grounding": {"en": ["e1", "e2"], "zh": ["z"]}}
+    got = [r[0] for r in df.select(normalize.grounding_prompt("grounding", p, "id")).collect()]
+    assert 0.7 < sum(g != "z" for g in got) / 400 < 0.9 and len(set(got)) == 3
+    call = spark.createDataFrame([('{"a": "1"}',)], "a string").select(tools.coder_calls(F.array(F.lit("f")), F.array("a")).alias("t"))
+    assert [tuple(x) for x in call.select(tools.tool_calls(F.col("t"), "qwen_coder")).first()[0]] == [("f", '{"a":"1"}')]
