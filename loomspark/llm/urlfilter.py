@@ -97,10 +97,12 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     named = rows.where("host != ''")
     kind = F.when(F.col("by_rule") == "allow", "trust").otherwise("distrust")
     seeds = named.where("by_rule is not null").groupBy(kind.alias("kind"), "host").agg(F.count("*").alias("weight"))
-    rank = propagate(host_edges(named.select("host", "html")), seeds, files_for(pages))
+    files = files_for(pages)
+    rank = propagate(host_edges(named.select("host", "html")), seeds, files)
     kinds = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.round("rank", 9))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")]
     sizes = named.groupBy("host").agg(F.count("*").alias("pages"))
-    hosts = sizes.join(rank.groupBy("host").agg(*kinds), "host", "left").na.fill(0.0, ["trust", "distrust"])
+    # written, so that the last join reads it through its own shuffle and AQE may split a host with very many pages
+    hosts = materialise(sizes.join(rank.groupBy("host").agg(*kinds), "host", "left").na.fill(0.0, ["trust", "distrust"]), files)
     out = rows.drop("html").join(hosts, "host", "left").na.fill(0.0, ["trust", "distrust"])
     bad = (F.col("distrust") > 0) & (F.col("distrust") >= BLOCKED * F.col("pages")) & (F.col("distrust") > RATIO * F.col("trust"))
     by_graph = F.when(bad, "block").otherwise("allow")
