@@ -4,8 +4,10 @@ A spot is a common word (an anchor) followed by content words; its signature is
 with the next CHAIN content words. Anchors are frequent in running prose and rare in menus,
 so signatures fall on the prose. A fingerprint is the set of hashed signatures; a text
 without any spot has one signature, its own hash. Two fingerprints are compared by Jaccard.
-For pairs, sets are partitioned by length: sets whose lengths differ by more than the threshold
-allows never meet, and the first signatures in a fixed order prune the rest.
+
+similar_classes() finds all similar fingerprints of a table: sets are partitioned by length, so
+that sets whose lengths alone rule them out never meet, and inside a partition only sets meet that
+share one of their rarest signatures.
 """
 
 from __future__ import annotations
@@ -127,6 +129,35 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def similar_classes(docs: DataFrame, threshold: float = 0.8, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): doc_id with its class, and pairs (a, b, similarity) of classes at or above the threshold.
+
+    Documents with equal fingerprints are one class, named by its least doc_id; copies are not
+    expanded. Sets of lengths n <= m can only be similar if n >= threshold * m, so a set goes to
+    the partition of its length and to the next one. There it stands under its n - ceil(t * n) + 1
+    rarest signatures: two similar sets share one of them. No pair is left out; the candidates
+    are checked on the full sets. Null doc_ids take no part.
+    """
+    sets = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.coalesce(F.col(text), F.lit(""))).alias("sigs"))
+    classes = sets.groupBy("sigs").agg(F.min("doc_id").alias("id")).withColumn("n", F.size("sigs"))
+    members = sets.join(classes.select("sigs", "id"), "sigs").select("doc_id", F.col("id").alias("class"))
+    flat = classes.select("id", "n", F.explode("sigs").alias("s"))
+    often = flat.groupBy("s").agg(F.count("*").alias("df"))
+    # rarest first; a class has at most as many rows as signatures
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "s"))
+    first = flat.join(often, "s").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
+    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)
+    spread = first.select("id", "n", "s", F.explode(F.array(F.struct(part.alias("part"), F.lit(True).alias("home")), F.struct((part + 1).alias("part"), F.lit(False).alias("home")))).alias("x")).select("id", "n", "s", "x.*")
+    a, b = spread.alias("a"), spread.where("home").alias("b")
+    close = F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9
+    order = F.when(F.col("a.home"), F.col("a.id") < F.col("b.id")).otherwise(F.lit(True))
+    met = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.s") == F.col("b.s"))).where(close & order & (F.col("a.id") != F.col("b.id")))
+    met = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    left, right = classes.select(F.col("id").alias("a"), F.col("sigs").alias("sa")), classes.select(F.col("id").alias("b"), F.col("sigs").alias("sb"))
+    pairs = met.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity"))
+    return members, pairs.where(F.col("similarity") >= threshold)
+
+
 #: The same in DuckDB.
 SQL = f"""
 with base as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n from documents),

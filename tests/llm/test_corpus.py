@@ -131,6 +131,27 @@ def test_spotsigs_order_and_edges(spark):
     assert spotsigs.fingerprints(df.limit(0)).count() == 0
 
 
+def test_similar_fingerprints_against_brute_force(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(800)] + spotsigs.ANCHORS[:20] * 20
+    texts = [None, "", "x", "x"]
+    for _ in range(60):
+        t = [r.choice(words) for _ in range(r.randint(10, 250))]
+        for _ in range(r.randint(1, 4)):
+            texts.append(" ".join(t))
+            t = list(t)
+            t[r.randrange(len(t))] = "changed"
+    df = docs_of(spark, texts)
+    sets = {x["doc_id"]: frozenset(x["fingerprint"].split()) for x in spotsigs.fingerprints(df).collect()}
+    members, pairs = spotsigs.similar_classes(df, 0.7)
+    of = {x["doc_id"]: x["class"] for x in members.collect()}
+    assert all(of[i] == min(j for j in sets if sets[j] == sets[i]) for i in sets)
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in set(of.values()) for j in set(of.values()) if i < j}
+    want = {k: v for k, v in want.items() if v >= 0.7}
+    got = {(x["a"], x["b"]): x["similarity"] for x in pairs.collect()}
+    assert got.keys() == want.keys() and len(got) > 30 and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
 def brute_repeats(texts, k=35):
     ws = [WORD.findall(t or "") for t in texts]
     count = collections.Counter(tuple(w[i : i + k]) for w in ws for i in range(len(w) - k + 1))
