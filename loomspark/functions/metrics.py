@@ -201,3 +201,10 @@ def bleu(got: Column, want: Column, n: int = 4) -> Column:
     logs = [F.ln(F.greatest(precision(k), F.lit(1e-12))) / n for k in range(1, n + 1)]
     short = F.least(F.lit(0.0), 1 - F.size(want) / F.greatest(F.size(got), F.lit(1)))
     return F.when(F.size(got) == 0, 0.0).otherwise(F.exp(sum(logs[1:], logs[0]) + short))
+
+
+def trimmed_negatives(negatives: Column, n: int, key: Column, seed: str = "negatives") -> Column:
+    """Exactly n negatives: the first n, or all and then some again, drawn by hash; none stay none."""
+    draw = lambda xs, i: F.get(xs, F.pmod(F.xxhash64(key, i, F.lit(seed)), F.greatest(F.size(xs), F.lit(1))).cast("int"))
+    some = lambda xs: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.get(xs, i), draw(xs, i)))
+    return let(lambda xs: F.when(F.size(xs) == 0, xs).otherwise(some(xs)), negatives)

@@ -164,3 +164,8 @@ def grouped_jsd(df: DataFrame, student: str, teacher: str, channel: str, setting
     for name, (beta, temperature) in settings.items():
         value = F.when(F.col(channel) == name, jsd(F.col(student), F.col(teacher), beta, temperature)).otherwise(value)
     return df.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("loss"), F.count("*").alias("tokens"))
+
+
+def kl_penalised(reward: Column, new: Column, ref: Column, mask: Column, beta: float) -> Column:
+    """A reward less beta times the summed log ratio of the policy to its reference."""
+    return reward - beta * total(F.zip_with(log_ratio(new, ref), mask, lambda d, m: d * m))

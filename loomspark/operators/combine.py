@@ -99,3 +99,8 @@ def desirability_weights(df: DataFrame, label: str) -> DataFrame:
     out = df.agg(pos.alias("desirable"), neg.alias("undesirable"))
     d, u = F.greatest("desirable", F.lit(1)), F.greatest("undesirable", F.lit(1))
     return out.select("desirable", "undesirable", F.round(u / d, 2).alias("des_low"), F.round(u * 1.33 / d, 2).alias("des_high"), F.round(d / (u * 1.33), 2).alias("und_low"), F.round(d / u, 2).alias("und_high"))
+
+
+def realigned(requests: DataFrame, responses: DataFrame, key: str, seq: str, value: str) -> DataFrame:
+    """Every (request, sequence number) with its response, null where none came back."""
+    return requests.join(responses.select(key, seq, value).dropDuplicates([key, seq]), [key, seq], "left")

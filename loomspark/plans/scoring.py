@@ -313,3 +313,26 @@ def grouped_jsd(spark, sf_dir):
     """Divergence with settings by channel; the label is the channel."""
     p = _pairs(spark, sf_dir).select(F.col("label").cast("string").alias("c"), F.transform("embedding", lambda x: x.cast("double")).alias("s"), F.transform("other", lambda x: x.cast("double")).alias("t"))
     return policy.grouped_jsd(p, "s", "t", "c", {"1": (0.2, 2.0)})
+
+
+@query(f"with p as ({LP}) select vec_id, adv - 0.1::double * {_sum('(n[i] - o[i]) * m[i]')} as reward from p")
+def kl_penalised(spark, sf_dir):
+    p = _logps(spark, sf_dir)
+    return p.select("vec_id", policy.kl_penalised(F.col("adv"), F.col("n"), F.col("o"), F.col("m"), 0.1).alias("reward"))
+
+
+@query("select d.doc_id, s.seq, e.value from documents d, (select unnest(range(2)) as seq) s left join events e on e.event_id = d.doc_id * 2 + s.seq and e.event_type <> 'error'")
+def realigned_responses(spark, sf_dir):
+    """Two responses for every request, null where one failed."""
+    requests = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("seq"))
+    back = table(spark, sf_dir, "events").where("event_type <> 'error'").select(F.floor(F.col("event_id") / 2).alias("doc_id"), (F.col("event_id") % 2).alias("seq"), "value")
+    return combine.realigned(requests, back, "doc_id", "seq", "value")
+
+
+@query("select vec_id, least(7, n)::bigint as kinds, case when n = 0 then 0 else 7 end::bigint as size from (select vec_id, vec_id % 10 as n from embeddings) where n = 0 or n >= 7 union all select vec_id, n, 7 from (select vec_id, vec_id % 10 as n from embeddings) where n > 0 and n < 7")
+def trimmed_negatives(spark, sf_dir):
+    """Seven negatives for every anchor that has any; missing ones are drawn again."""
+    n = (F.col("vec_id") % 10).cast("int")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: i < n).alias("neg"))
+    t = e.select("vec_id", metrics.trimmed_negatives(F.col("neg"), 7, F.col("vec_id")).alias("t"))
+    return t.select("vec_id", F.size(F.array_distinct("t")).cast("long").alias("kinds"), F.size("t").cast("long").alias("size"))
