@@ -76,17 +76,23 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def _hung(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over (a, b) with a > b: hang neighbours below the least one."""
+def _hung(edges: DataFrame, large: bool, files: int | None) -> DataFrame:
+    """One star step over (a, b) with a > b: hang neighbours below the least one.
+
+    The minima are written first: the join then reads both its sides through shuffles of its
+    own, and AQE may split a vertex with very many neighbours over many tasks.
+    """
+    ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+    least = ends.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialise(least.select("a", F.least("a", "m").alias("m")) if large else least, files)
     if large:
-        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ends.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        out = ends.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = ends.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
         out = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = out.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-    return out.where("a > b")
+    out = materialise(out, files)
+    discard(least)
+    return out
 
 
 def _unsettled(edges: DataFrame) -> bool:
@@ -109,6 +115,8 @@ def components(edges: DataFrame, files: int | None = None, rounds: int = 60) ->
         if not _unsettled(now):
             hung = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
             return hung.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        now, old = materialise(_hung(_hung(now, True), False), files), now
-        discard(old)
+        wide = _hung(now, True, files)
+        discard(now)
+        now = _hung(wide, False, files)
+        discard(wide)
     raise RuntimeError("the components did not settle")
