@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.delimit import by_keywords, stripped
 from ..schema import PLAIN_MESSAGE
-from .normalize import bbox, class_prompt, from_alpaca, from_messages, from_response, message, messages_of, pick
+from .normalize import bbox, from_alpaca, from_messages, from_response, message, messages_of, pick
 from .sampling import draw_order
 
 RECIPES: dict[str, Callable[..., DataFrame]] = {}
@@ -109,8 +109,9 @@ def appended_answer(df: DataFrame) -> DataFrame:
 
 @recipe
 def law_chapters(df: DataFrame) -> DataFrame:
-    parts = [F.col(c) for c in df.columns if c.startswith("chapter")]
-    return df.withColumn("messages", turns(("assistant", F.concat_ws("\n", F.col("title"), *parts, F.col("response")))))
+    """Kind and title on lines of their own, then the chapters that are there and the text."""
+    parts = [F.coalesce(F.col(f"chapter{i}"), F.lit("")) for i in (1, 2, 3) if f"chapter{i}" in df.columns]
+    return df.withColumn("messages", turns(("assistant", F.concat(F.col("type"), F.lit("\n"), F.col("title"), F.lit("\n"), *parts, F.col("response")))))
 
 
 @recipe
@@ -118,7 +119,8 @@ def code_answer(df: DataFrame, column: str = "code_with_problem") -> DataFrame:
     """The text before the first code fence asks, the fence and what follows answers."""
     at = F.instr(column, "```python")
     head = F.substring(F.col(column), F.lit(1), at - 1)
-    return _ask(df.where(at > 0), F.when(head.startswith("# "), F.expr(f"substring(substring({column}, 1, instr({column}, '```python') - 1), 3)")).otherwise(head), F.concat(F.substring(F.col(column), at, F.length(column)), F.lit("\n\n"), F.col("explanation_only")))
+    code = stripped(F.substring(F.col(column), at, F.length(column)))
+    return _ask(df.where(at > 0), F.when(head.startswith("# "), F.expr(f"substring(substring({column}, 1, instr({column}, '```python') - 1), 3)")).otherwise(head), F.concat(code, F.lit("\n\n"), F.col("explanation_only")))
 
 
 @recipe
@@ -184,7 +186,7 @@ def room_chat(df: DataFrame, notice: str = "", history: str = "\n\n【chat histo
 
 @recipe
 def countdown(df: DataFrame) -> DataFrame:
-    ask = F.concat(F.lit("Using the numbers ["), F.array_join(F.transform("nums", lambda n: n.cast("string")), ", "), F.lit("], create an equation that equals "), F.col("target").cast("string"), F.lit(".\nYou can use basic arithmetic operations (+, -, *, /) and each number can only be used once.\nShow your work in <think> </think> tags. And return the final equation and answer in <answer> </answer> tags."))
+    ask = F.concat(F.lit("Using the numbers ["), F.array_join(F.transform("nums", lambda n: n.cast("string")), ", "), F.lit("], create an equation that equals "), F.col("target").cast("string"), F.lit(".\nYou can use basic arithmetic operations (+, -, *, /) and each number can only be used once.\nShow your work in <think> </think> tags. And return the final equation and answer in <answer> </answer> tags, for example <answer> (1 + 2) / 3 * 4 = 4 </answer>."))
     return df.withColumn("messages", turns(("user", ask)))
 
 
@@ -194,8 +196,8 @@ def human_or_model(df: DataFrame, generate: bool = True) -> DataFrame:
     draw = lambda c: F.get(F.col(c), F.pmod(F.xxhash64(F.col("question"), F.lit(c)), F.greatest(F.size(c), F.lit(1))).cast("int"))
     rows = df.select("question", F.explode(F.array(F.struct(draw("human_answers").alias("a"), F.lit(0).alias("label")), F.struct(draw("chatgpt_answers").alias("a"), F.lit(1).alias("label")))).alias("x"))
     rows = rows.select("question", "x.*").where("a is not null")
-    query, name = class_prompt("Classification of human and ChatGPT responses", ["Human", "ChatGPT"], [F.concat(F.lit("Question: "), F.col("question"), F.lit("\nAnswer: "), F.col("a"))], F.col("label"))
-    return _ask(rows, query, name) if generate else rows.withColumn("messages", turns(("user", query)))
+    query = F.format_string("Classification Task: Are the following responses from a human or from ChatGPT?\nQuestion: %s\nAnswer: %s\nCategory: Human, ChatGPT\nOutput:", F.col("question"), F.col("a"))
+    return _ask(rows, query, F.element_at(F.array(F.lit("Human"), F.lit("ChatGPT")), F.col("label") + 1)) if generate else rows.withColumn("messages", turns(("user", query)))
 
 
 @recipe

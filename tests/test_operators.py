@@ -146,6 +146,10 @@ def test_recipes(spark):
     assert contents(x)[0][1][0] == "tool_call"
     h = recipes.human_or_model(one([("q", ["h"], ["c"])], "question string, human_answers array<string>, chatgpt_answers array<string>"))
     assert [m[1][1] for m in contents(h)] == ["Human", "ChatGPT"]
+    law = recipes.law_chapters(one([("law", "t", "c1", None, "c3", "text")], "type string, title string, chapter1 string, chapter2 string, chapter3 string, response string"))
+    assert contents(law) == [[("assistant", "law\nt\nc1c3text")]]
+    code = recipes.code_answer(one([("# ask\n```python\nx\n```\n", "why"), ("no code", "z")], "code_with_problem string, explanation_only string"))
+    assert contents(code) == [[("user", "ask\n"), ("assistant", "```python\nx\n```\n\nwhy")]]
     r = recipes.repaired_messages(one([("[{'from': 'user', 'value': 'a'} {'from': 'assistant', 'value': 'b'}]",), ("broken",)], "conversations string"))
     assert contents(r) == [[("user", "a"), ("assistant", "b")]]
     s = recipes.self_cognition(one([("I am {{NAME}}", "by {{AUTHOR}}", "zh")], "query string, response string, tag string"), ("甲", "A"), ("乙", "B"))
