@@ -11,11 +11,16 @@ from .delimit import by_keywords, by_patterns
 REACT = {"Action:": (2.0, 2.0), "Action Input:": (2.0, 2.0), "Thought:": (1.0, 1.0), "Final Answer:": (1.0, 1.0), "Observation:": (2.0, 0.0)}
 QWEN = {"✿FUNCTION✿:": (2.0, 2.0), "✿ARGS✿:": (2.0, 2.0), "✿RETURN✿:": (1.0, 1.0), "✿RESULT✿:": (2.0, 0.0)}
 HERMES = {"<tool_call>.+?</tool_call>": (2.0,)}
-EMPTY_THINK = {r"^<think>\s*</think>\s*": (0.0,), r"^</think>\s*": (0.0,)}
+EMPTY_THINK = {
+    r"^<think>\s*</think>\s*": (0.0,),
+    "^<seed:think><seed:cot_budget_reflect>The current thinking budget is 0, so I will directly start answering the question.</seed:cot_budget_reflect>\n</seed:think>\\s*": (0.0,),
+    r"^</think>\s*": (0.0,),
+}
 FLAN = {
     "Name:": (1.0, 3.0), "Action:": (1.0, 3.0), "ACTION:": (1.0, 3.0), "Tool:": (1.0, 3.0), "Command": (1.0, 3.0), "Arguments:": (1.0, 3.0), "action input": (1.0, 3.0),
     "ACTION_INPUT:": (1.0, 3.0), "Action Input:": (1.0, 3.0), "Thought:": (1.0, 1.0), "Final Answer:": (1.0, 1.0), "Observation:": (2.0, 0.0),
 }
+FLAN_QUERY = {"What is the tool you want to use": 3.0, "What are the required parameter names": 3.0, "What is the value of": 3.0, "What are the required parameter names for this tool": 3.0}
 MAPS = {"react": REACT, "alpha_umi": REACT, "qwen": QWEN, "hermes": HERMES, "ignore_empty_think": EMPTY_THINK, "agentflan": FLAN}
 STRATEGIES = ("default", "last_round", "all")
 
@@ -47,6 +52,8 @@ def base_scale(kind: Column, round_: Column, loss: Column, last_round: Column, s
 def weighted(text: Column, name: str, query: Column | None = None, by_query: dict[str, float] | None = None) -> Column:
     """[(text, weight)] of a response under a map; a key found in the query overrides it whole."""
     table = MAPS[name]
+    if name == "agentflan" and query is not None and by_query is None:
+        by_query = FLAN_QUERY
     keys = [k for k, w in table.items() if len(w) == 2]
     pair = lambda t, w: F.struct(t.alias("text"), w.alias("weight"))
 

@@ -120,7 +120,7 @@ def test_loss_weights(spark):
     df = spark.createDataFrame([("<think>\n\n</think>\nhi", "What is the value of x")], "r string, q string")
     w = [tuple(x) for x in df.select(lossmask.weighted(F.col("r"), "ignore_empty_think")).first()[0]]
     assert w == [("<think>\n\n</think>\n", 0.0), ("hi", 1.0)]
-    q = [tuple(x) for x in df.select(lossmask.weighted(F.col("r"), "agentflan", F.col("q"), {"What is the value of": 3.0})).first()[0]]
+    q = [tuple(x) for x in df.select(lossmask.weighted(F.col("r"), "agentflan", F.col("q"))).first()[0]]
     assert q == [("<think>\n\n</think>\nhi", 3.0)]
     assert lossmask.parse_spec("last_round+hermes") == ("last_round", "hermes") and lossmask.parse_spec("all") == ("all", None)
     assert lossmask.is_binary("ignore_empty_think") and not lossmask.is_binary("react")
