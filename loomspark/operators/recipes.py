@@ -381,7 +381,7 @@ def sampled_negatives(df: DataFrame, key: str, answers: str, n: int = 7, seed: s
     if not total:
         return df.withColumn("negatives", F.array().cast("array<string>"))
     placed = positions(pool, draw_order(seed, "__a"), "__a", name="__p")
-    start = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(total))
+    start = F.conv(F.substring(draw_order(seed, key), 1, 8), 16, 10).cast("long") % total
     wanted = df.select(key, answers, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(min(2 * n, total) - 1)), lambda i: (start + i) % total)).alias("__k", "__p"))
     found = wanted.join(placed, "__p").where(~F.array_contains(F.col(answers), F.col("__a")))
     lists = found.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("__k", "__a"))), 1, n).alias("l"))

@@ -284,11 +284,15 @@ def label_mask(spark, sf_dir):
     return m.select("doc_id", F.size(F.filter("m", lambda x: x != tokens.MASKED)).cast("long").alias("open"))
 
 
-@query()
+@query("""with pool as (select text, row_number() over (order by md5('negatives:' || text), text) - 1 as p, count(*) over () as n from (select distinct text from benchmark)),
+w as (select item_id, text, ('0x' || md5('negatives:' || item_id)[1:8])::bigint as s, (select max(n) from pool) as n from benchmark), k as (select *, unnest(range(least(14, n))) as k from w),
+f as (select item_id, k, p.text as neg, row_number() over (partition by item_id order by k) as r from k join pool p on p.p = (k.s + k.k) % k.n where p.text <> k.text)
+select item_id, count(*) as n, md5(string_agg(neg, '|' order by r)) as digest from f where r <= 7 group by item_id""")
 def sampled_negatives(spark, sf_dir):
     """Up to seven answers of other rows for every benchmark item; none is its own."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.array("text").alias("answers"))
-    return recipes.sampled_negatives(b, "item_id", "answers")
+    got = recipes.sampled_negatives(b, "item_id", "answers")
+    return got.select("item_id", F.size("negatives").cast("long").alias("n"), F.md5(F.array_join("negatives", "|")).alias("digest"))
 
 
 # -- rewards -----------------------------------------------------------------------------------------
