@@ -59,4 +59,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html, op2_url, op3_spotsigs, op4_repeats, op5_neardup, op6_neighbours, op7_bpe, op8_secrets, op9_mixing, op10_toxicity)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_spotsigs": spotsigs.SQL, "op4_repeats": repeats.SQL, "op5_neardup": neardup.SQL, "op9_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url": urlfilter.SQL, "op3_spotsigs": spotsigs.SQL, "op4_repeats": repeats.SQL, "op5_neardup": neardup.SQL, "op9_mixing": mixing.SQL}

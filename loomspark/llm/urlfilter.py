@@ -107,3 +107,35 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     bad = (F.col("distrust") > 0) & (F.col("distrust") >= BLOCKED * F.col("pages")) & (F.col("distrust") > RATIO * F.col("trust"))
     by_graph = F.when(bad, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_graph).alias("verdict"), "trust", "distrust")
+
+
+def _sql() -> str:
+    """The registered query in DuckDB: the same rounds, one after the other."""
+    link = LINK.replace("'", "''")
+    lower = f"'{UPPER}', '{LOWER}'"
+    rule = "case"
+    for name, _ in sorted(RULES, key=lambda r: (len(r[0]), r[0]), reverse=True):
+        at = name.index("/")
+        rule += f" when (host = '{name[:at]}' or ends_with(host, '.{name[:at]}')) and starts_with(path, '{name[at:]}') then '{name}'"
+    verdict = "case rule " + " ".join(f"when '{n}' then '{v}'" for n, v in RULES) + " end"
+    rounds = ", ".join(f"r{i + 1} as (select kind, host, sum(r) as rank from (select w.kind, w.dst as host, p.rank * w.share * {DAMPING}::double as r from ways w join r{i} p on p.kind = w.kind and p.host = w.src union all select kind, host, seed * (1 - {DAMPING}::double) from start) group by kind, host)" for i in range(ROUNDS))
+    return f"""
+with cut as (select page_id, html, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), {lower}), '') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+ruled as (select *, {rule} end as rule from cut), judged as (select *, {verdict} as by_rule from ruled), named as (select * from judged where host <> ''),
+links as (select src, dst, count(*) as weight from (select host as src, translate(d, {lower}) as dst from (select host, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) as d from named)) where src <> dst and dst <> '' group by src, dst),
+hosts as (select distinct host from named), ups as (select host as src, regexp_replace(host, '^[^.]*\\.', '') as dst from hosts), up as (select src, dst from ups where src <> dst and dst in (select host from hosts)),
+every as (select host from hosts union select src from links union select dst from links),
+edges as (select src, dst, sum(weight) as weight from (select src, dst, weight from links union all select src, dst, 1 from up union all select dst, src, 1 from up union all select host, host, 1 from every) group by src, dst),
+both_ as (select 'trust' as kind, src, dst, weight from edges union all select 'distrust', dst, src, weight from edges),
+ways as (select kind, src, dst, weight / (sum(weight) over (partition by kind, src))::double as share from both_),
+start as (select case when by_rule = 'allow' then 'trust' else 'distrust' end as kind, host, count(*)::double as seed from named where by_rule is not null group by 1, 2),
+r0 as (select kind, host, seed as rank from start), {rounds},
+ranks as (select host, coalesce(sum(case when kind = 'trust' then round(rank, 9) end), 0) as trust, coalesce(sum(case when kind = 'distrust' then round(rank, 9) end), 0) as distrust from r{ROUNDS} group by host),
+sizes as (select host, count(*) as pages from named group by host)
+select j.page_id, j.host, j.path, j.rule, coalesce(j.by_rule, case when coalesce(k.distrust, 0) > 0 and k.distrust >= {BLOCKED} * s.pages and k.distrust > {RATIO} * k.trust then 'block' else 'allow' end) as verdict,
+  coalesce(k.trust, 0)::double as trust, coalesce(k.distrust, 0)::double as distrust
+from judged j left join sizes s on s.host = j.host left join ranks k on k.host = j.host and s.host is not null
+"""
+
+
+SQL = _sql()
