@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: everything between the six ASCII white-space characters.
@@ -59,21 +59,16 @@ def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
     df.coalesce(files or 2 * spark.sparkContext.defaultParallelism).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loom_path = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete a superseded result of materialise()."""
     spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        if "/loom-" in name:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def row_key(*cols: str) -> Column:
-    """A null-tolerant 64-bit key of a row's content."""
-    return F.xxhash64(*[F.col(c) for c in cols])
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._loom_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _hung(edges: DataFrame, large: bool, files: int | None) -> DataFrame:
