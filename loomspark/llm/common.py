@@ -54,11 +54,12 @@ def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
     At most files tasks write it, each streaming over several partitions: many tiny files
-    cost more than they carry. None is for tables that do not grow with the input.
+    cost more than they carry. None is for tables that do not grow with the input, 0 leaves the
+    partitions as they are.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
-    df.coalesce(files or 2 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    (df if files == 0 else df.coalesce(files or 2 * spark.sparkContext.defaultParallelism)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out

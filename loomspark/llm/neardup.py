@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     """
     files = files_for(docs)
     keep = partial(materialise, files=files)
-    done = keep(sketch(docs, text))
+    done = materialise(sketch(docs, text), 0)  # one task for each piece that is read
     whole = done.where("set_key is not null and doc_id is not null")
     classes = keep(whole.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")))
 
