@@ -80,7 +80,7 @@ def _range_of(doc_id: Column, cuts: list[int]) -> Column:
 
 
 def _with_next(rows: DataFrame, spark: SparkSession) -> DataFrame:
-    """Rows (doc_id, text, sigs) beside next (struct of text, sigs) in descending doc_id, cyclic.
+    """Rows (doc_id, text) with sigs, beside next (struct of text, sigs) in descending doc_id, cyclic.
 
     Documents are cut into ranges of doc_id; each range also gets a copy of the first row of the
     range after it, so a window inside the ranges sees every successor. Text is shuffled once.
@@ -92,14 +92,16 @@ def _with_next(rows: DataFrame, spark: SparkSession) -> DataFrame:
     # one row for each range: its first doc_id, and the range before it (cyclic); at most RANGES_MOST + 2 rows
     heads = [(r["part"], r["head"]) for r in rows.groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()]
     if not heads:
-        return rows.withColumn("next", F.struct("text", "sigs"))
+        return rows.withColumn("sigs", signatures(F.col("text"))).withColumn("next", F.struct("text", "sigs"))
     before = [(heads[i - 1][0], part, head) for i, (part, head) in enumerate(heads)]
     marks = spark.createDataFrame(before, "to int, part int, head long")
     ghosts = rows.join(F.broadcast(marks), (rows["part"] == marks["part"]) & rows["doc_id"].eqNullSafe(marks["head"]))
-    first = Window.partitionBy("to").orderBy("text", "sigs")
-    ghosts = ghosts.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("doc_id", "text", "sigs", F.col("to").alias("part"), F.lit(1).alias("ghost"))
-    order = Window.partitionBy("part").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text", "sigs")
-    return rows.unionByName(ghosts).withColumn("next", F.lead(F.struct("text", "sigs")).over(order)).where("ghost = 0")
+    first = Window.partitionBy("to").orderBy("text")
+    ghosts = ghosts.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("doc_id", "text", F.col("to").alias("part"), F.lit(1).alias("ghost"))
+    # signatures come after the few ghosts are found, so each text is read for them once
+    every = rows.unionByName(ghosts).withColumn("sigs", signatures(F.col("text")))
+    order = Window.partitionBy("part").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
+    return every.withColumn("next", F.lead(F.struct("text", "sigs")).over(order)).where("ghost = 0")
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -112,7 +114,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("text"))
-    rows = _with_next(rows.withColumn("sigs", signatures(F.col("text"))), spark)
+    rows = _with_next(rows, spark)
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("next.text"), F.lit(1), third))
