@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import render, rewards, tokens
-from ..operators import combine, expand, filters, normalize, packing, recipes, sampling
+from ..operators import combine, expand, filters, packing, recipes, sampling
 from .registry import query, table
 
 WORDS = "regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')"
