@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialise
-from .textvec import PIECE, batches, grams, words
+from .textvec import batches, grams, words
 
 K, M = 35, 4
 #: A gram with more than this share of all grams is common.

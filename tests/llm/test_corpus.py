@@ -6,7 +6,6 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
