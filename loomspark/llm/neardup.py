@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, components, files_for, materialise
-from .textvec import mix64, shingle_set, words
+from .textvec import shingle_set, words
 
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
