@@ -5,9 +5,9 @@ small buckets for a first graph; then each round joins the neighbours of neighbo
 gathers its neighbours and those that have it as neighbour, compares them in blocks,
 and passes on only pairs that beat what a member already has. Search: every query walks the
 graph greedily, a beam of best nodes at a time, by joins of its frontier with the adjacency
-lists, until no node of its beam is unexpanded. The graph is built and walked on vectors in
-eight bits a component; the nodes found are scored again on the original vectors in double
-precision.
+lists, until no node of its beam is unexpanded. The graph is built and walked on the original
+components, scored in double precision, so that near copies closer together than any rounding
+step keep their order; all nodes of a beam are scored again in one fixed order of summing.
 """
 
 from __future__ import annotations
@@ -27,19 +27,21 @@ NEIGHBOURS, WALKED = 32, 48
 TABLES, BUCKET = 6, 256
 #: Members compared in one block, pairs a member passes on from a block, rounds at most.
 BLOCK, PASSED, ROUNDS = 128, 10, 5
-#: Nodes of a query's beam, nodes expanded at a time, steps at most, nodes scored exactly.
-BEAM, STEP, STEPS, EXACT = 200, 100, 24, 60
+#: Nodes of a query's beam, nodes expanded at a time, steps at most.
+BEAM, STEP, STEPS = 200, 100, 24
+#: A round that renews a smaller share of the neighbours than this is the last.
+RENEWED = 0.01
 
 
 def packed(x: np.ndarray) -> bytes:
-    """A float32 scale, then components as signed bytes."""
-    scale = max(float(np.abs(x).max()), 1e-30) / 127
-    return np.float32(scale).tobytes() + np.round(x / scale).astype(np.int8).tobytes()
+    """The bytes of one component, then the components as they are (float32 or double)."""
+    return bytes([x.itemsize]) + x.tobytes()
 
 
 def unpacked(rows) -> np.ndarray:
+    """Vectors as doubles."""
     raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
+    return raw[:, 1:].copy().view(np.float32 if raw[0, 0] == 4 else np.float64).astype(np.float64)
 
 
 def clean(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -89,7 +91,7 @@ def _merged(candidates: DataFrame, k: int) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=["id", "nbrs", "sims"])
 
-    return ordered.mapInPandas(run, "id long, nbrs array<long>, sims array<float>")
+    return ordered.mapInPandas(run, "id long, nbrs array<long>, sims array<double>")
 
 
 def _best_in_block(ids: np.ndarray, x: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple]:
@@ -109,14 +111,14 @@ def _best_in_block(ids: np.ndarray, x: np.ndarray, least: np.ndarray, k: int) ->
 
 def _blocks(rows: DataFrame, k: int) -> DataFrame:
     """Best pairs inside the groups of rows (group, id, vec, least), in blocks of the group."""
-    ordered = rows.repartition("group").sortWithinPartitions("group", F.xxhash64("id"), "id")
+    ordered = rows.repartition("group").sortWithinPartitions("group", F.xxhash64("group", "id"), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         for _, g in _stream(batches, "group"):
             ids, first = np.unique(g["id"].to_numpy(), return_index=True)
             vecs, least = g["vec"].to_numpy()[first], g["least"].to_numpy()[first]
-            order = np.argsort(first, kind="stable")  # blocks follow the hash, not the id
+            order = np.argsort(first, kind="stable")  # blocks follow the hash, not the id, and differ between groups
             ids, vecs, least = ids[order], vecs[order], least[order]
             for at in range(0, len(ids), 4 * BLOCK if k > PASSED else BLOCK):
                 b = slice(at, at + (4 * BLOCK if k > PASSED else BLOCK))
@@ -127,7 +129,7 @@ def _blocks(rows: DataFrame, k: int) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=["id", "nbrs", "sims"])
 
-    return ordered.mapInPandas(run, "id long, nbrs array<long>, sims array<float>")
+    return ordered.mapInPandas(run, "id long, nbrs array<long>, sims array<double>")
 
 
 def build(nodes: DataFrame, n: int, dim: int, files: int | None = None, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
@@ -140,27 +142,30 @@ def build(nodes: DataFrame, n: int, dim: int, files: int | None = None, k: int =
             x = unpacked(pdf["vec"].tolist())
             for t, way in enumerate(ways):
                 code = ((x @ way > 0) @ (1 << np.arange(way.shape[1]))) if bits else np.zeros(len(x), np.int64)
-                yield pd.DataFrame({"group": code.astype(np.int64) * len(ways) + t, "id": pdf["id"], "vec": pdf["vec"], "least": np.float32(-np.inf)})
+                yield pd.DataFrame({"group": code.astype(np.int64) * len(ways) + t, "id": pdf["id"], "vec": pdf["vec"], "least": -np.inf})
 
-    first = nodes.mapInPandas(spread, "group long, id long, vec binary, least float")
+    first = nodes.mapInPandas(spread, "group long, id long, vec binary, least double")
     graph = materialise(_merged(_blocks(first, k), k), files)
     for _ in range(rounds if bits else 0):
         links = graph.select(F.col("id").alias("group"), F.explode("nbrs").alias("id"))
         links = links.unionByName(links.select(F.col("id").alias("group"), F.col("group").alias("id")))
-        least = graph.select("id", F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(F.lit(float("-inf")).cast("float")).alias("least"))
+        least = graph.select("id", F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(F.lit(float("-inf")).cast("double")).alias("least"))
         members = links.join(nodes.join(least, "id"), "id").select("group", "id", "vec", "least")
         better = _blocks(members, PASSED)
         now = materialise(_merged(graph.unionByName(better), k), files)
-        gain = _mean_least(now) - _mean_least(graph)
+        renewed = _renewed(graph, now)
         discard(graph)
         graph = now
-        if gain < 1e-4:
+        if renewed < RENEWED:
             break
     return graph
 
 
-def _mean_least(graph: DataFrame) -> float:
-    return graph.agg(F.avg(F.element_at("sims", -1))).first()[0] or 0.0
+def _renewed(graph: DataFrame, now: DataFrame) -> float:
+    """Share of the neighbours that a round brought in; similarities of near copies hardly move, their order does."""
+    both = now.select("id", "nbrs").join(graph.select("id", F.col("nbrs").alias("was")), "id", "left")
+    fresh = F.size(F.array_except("nbrs", F.coalesce("was", F.array().cast("array<bigint>"))))
+    return both.agg(F.sum(fresh) / F.sum(F.size("nbrs"))).first()[0] or 0.0
 
 
 def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, files: int | None = None) -> DataFrame:
@@ -202,12 +207,12 @@ def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, files: int | Non
         open_ = F.filter(F.transform("done", lambda d, i: F.when(~d, i)), lambda i: i.isNotNull())
         todo = state.withColumn("open", F.slice(open_, 1, STEP))
         todo = todo.withColumn("frontier", F.transform("done", lambda d, i: d | F.array_contains("open", i)))
-        least = F.when(F.size("sims") >= BEAM, F.element_at("sims", -1)).otherwise(F.lit(float("-inf")).cast("float"))
+        least = F.when(F.size("sims") >= BEAM, F.element_at("sims", -1)).otherwise(F.lit(float("-inf")).cast("double"))
         ahead = todo.select(F.col("id").alias("start"), "vec", least.alias("least"), F.explode(F.transform("open", lambda i: F.get("nbrs", i))).alias("id"))
-        found = lists.join(ahead.hint("shuffle_hash"), "id").select("start", "vec", "least", "nbrs", "vecs").mapInPandas(score, "id long, nbrs array<long>, sims array<float>")
+        found = lists.join(ahead.hint("shuffle_hash"), "id").select("start", "vec", "least", "nbrs", "vecs").mapInPandas(score, "id long, nbrs array<long>, sims array<double>")
         old = todo.select("id", "vec", "nbrs", "sims", "frontier", F.lit(True).alias("old"))
         both = old.unionByName(found.select("id", F.lit(None).cast("binary").alias("vec"), "nbrs", "sims", F.lit(None).cast("array<boolean>").alias("frontier"), F.lit(False).alias("old")))
-        now = materialise(both.repartition("id").sortWithinPartitions("id").mapInPandas(advance, "id long, vec binary, nbrs array<long>, sims array<float>, done array<boolean>"), files)
+        now = materialise(both.repartition("id").sortWithinPartitions("id").mapInPandas(advance, "id long, vec binary, nbrs array<long>, sims array<double>, done array<boolean>"), files)
         discard(state)
         over = now.where(F.forall("done", lambda d: d))
         going = now.where(~F.forall("done", lambda d: d))
@@ -240,9 +245,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "embe
     first = members.where(F.col("__at") <= k + 1).select("vec_id", "id")
     queries = members.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "id")
 
+    dtype = np.float32 if classes.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "vec": [packed(np.asarray(e, float)) for e in pdf["embedding"]]})
+            yield pd.DataFrame({"id": pdf["id"], "vec": [packed(np.asarray(e, dtype)) for e in pdf["embedding"]]})
 
     nodes = materialise(classes.mapInPandas(pack, "id long, vec binary"), files)
     originals = classes.select("id", "embedding")
@@ -251,7 +258,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vector: str = "embe
     starts = queries.select("id").distinct()
     found = walk(graph, nodes, starts, files)
     # a query's own class is a candidate through its other members
-    pairs = found.select(F.col("id").alias("q"), F.explode(F.slice("nbrs", 1, EXACT)).alias("id")).unionByName(starts.select(F.col("id").alias("q"), "id"))
+    pairs = found.select(F.col("id").alias("q"), F.explode("nbrs").alias("id")).unionByName(starts.select(F.col("id").alias("q"), "id"))
     pairs = pairs.join(originals, "id").join(originals.select(F.col("id").alias("q"), F.col("embedding").alias("qe")), "q")
     dot = F.aggregate(F.zip_with("qe", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.select("q", "id", dot.alias("score"))

@@ -279,6 +279,21 @@ def test_neighbours(spark):
     assert nndescent.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_near_copies(spark):
+    """Groups closer together than an eight-bit step keep their true order."""
+    r = np.random.default_rng(12)
+    groups = [r.normal(size=(600, 32))] + [r.normal(size=32) + noise * r.normal(size=(400, 32)) for noise in (0.02, 0.003)]
+    x = np.concatenate([g / np.linalg.norm(g, axis=1, keepdims=True) for g in groups])
+    for kind, dtype in (("float", np.float32), ("double", np.float64)):
+        rows = [(i, v.tolist()) for i, v in enumerate(x.astype(dtype))]
+        got = collections.defaultdict(set)
+        for q in nndescent.search(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect():
+            got[q["query_id"]].add(q["vec_id"])
+        want = brute_nearest(rows)
+        for ids in (range(600), range(600, 1000), range(1000, 1400)):
+            assert np.mean([len(got[q] & set(want[q])) / 20 for q in want if q in ids]) >= 0.95
+
+
 # -- 7: tokens ----------------------------------------------------------------------------------------------------
 
 
