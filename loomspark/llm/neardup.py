@@ -5,7 +5,7 @@
 2. Equal sets fall into one class, kept by its smallest doc_id; from here on only classes count.
 3. Bands of registers collect classes; each band bucket gives a star to its least member,
    never its pairs. Connected components of the stars are clusters; a true link lies
-   inside a cluster unless all bands miss it (BANDS and ROWS make that < 1e-6 at 0.85).
+   inside a cluster unless all bands miss it (bands_for keeps that below MISSED at the threshold; < 1e-6 at 0.85).
 4. Inside a cluster, centres are compared with all members that are not yet connected to
    them: the collision-corrected estimate from registers first, then the full sets. Small
    clusters take every member as a centre in one pass. Large ones go in rounds over blocks
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import bound_batches, components, files_for, materialise
 from .textvec import shingle_set, words
 
-BANDS, ROWS = 20, 4
-REGISTERS = BANDS * ROWS
+REGISTERS = 80
+#: Registers in a band, widest first, and the share of links at the threshold that all bands together may miss.
+ROWS, MISSED = (4, 2, 1), 5e-5
 MANTISSA = 10
 #: Estimates this far below the threshold are not checked on full sets: six standard errors and more.
 SLACK = 0.25
@@ -127,6 +128,14 @@ def _compare(regs: np.ndarray, sets: list[np.ndarray], label: list, centres: lis
     return found, of
 
 
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands and registers in each, as wide as MISSED allows for links at the threshold."""
+    for rows in ROWS:
+        if (1 - (percent / 100) ** rows) ** (REGISTERS // rows) <= MISSED:
+            return REGISTERS // rows, rows
+    raise ValueError(f"{REGISTERS} registers cannot find links at {percent} percent")
+
+
 def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
     """Whole groups of a stream that is sorted by the given columns."""
     rest: list[pd.DataFrame] = []
@@ -199,14 +208,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     and stands alone. Rows with a null doc_id have no component (null) and are kept. Rows
     that repeat a doc_id are judged one by one; equal rows get equal results.
     """
+    n_bands, rows = bands_for(percent)
     files = files_for(docs)
     keep = partial(materialise, files=files)
     done = materialise(sketch(docs, text), 0)  # one task for each piece that is read
     whole = done.where("set_key is not null and doc_id is not null")
     classes = keep(whole.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")))
 
-    width = 2 * ROWS
-    bands = classes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("regs"), i * width + 1, F.lit(width)))).alias("band", "part"))
+    width = 2 * rows
+    bands = classes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.substring(F.col("regs"), i * width + 1, F.lit(width)))).alias("band", "part"))
     bands = bands.select("id", F.xxhash64("part", "band").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     stars = keep(bands.join(buckets, "key").groupBy("id", "least").agg(F.sum("n").alias("weight")))

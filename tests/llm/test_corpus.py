@@ -240,6 +240,23 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert nulls == {(None, 1, None, True), (4, 1, 4, True)}
 
 
+def test_near_duplicates_at_lower_thresholds(spark):
+    assert neardup.bands_for(85) == neardup.bands_for(80) == (20, 4)
+    with pytest.raises(ValueError):
+        neardup.bands_for(5)
+    r = random.Random(6)
+    texts = []
+    for _ in range(150):  # links of 0.6 and a little more
+        w = prose(r, 84, 10**6).split()
+        texts.append(" ".join(w))
+        for at in (10, 30, 50, 70):
+            w[at] = "other"
+        texts.append(" ".join(w))
+    ids = list(range(len(texts)))
+    got = sorted(tuple(x) for x in neardup.near_duplicates(docs_of(spark, texts), 60).collect())
+    assert got == sorted(brute_near(texts, ids, 60)) and sum(not x[3] for x in got) == 150
+
+
 def test_estimates_are_corrected():
     r = np.random.default_rng(1)
     common_, a, b = (r.integers(0, 1 << 62, n, np.uint64) for n in (800, 100, 100))
