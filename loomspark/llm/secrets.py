@@ -30,7 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Candidates of the network: long tokens of credential letters, and values after a key-like name.
 PROPOSE = re.compile(r"[A-Za-z0-9+/_~-]{20,}={0,2}")
-NAMED = re.compile(r"""(?:pass|pwd|auth|cred|bearer|private|access)[a-z_]{0,12}["']?\x20{0,2}[:=]\x20{0,2}["']?([A-Za-z0-9+/_.~!@$%^&*=-]{8,})""", re.A | re.I)
+NAMED = re.compile(r"""(?:pass|pwd|auth|cred|bearer|private|access|secret|token|api_?key)[a-z_]{0,12}["']?\x20{0,2}[:=]\x20{0,2}["']?([A-Za-z0-9+/_.~!@#$%^&*=-]{8,})""", re.A | re.I)
 BEFORE, INSIDE, AFTER = 16, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
 #: Findings the network is fitted on, and of these the share held out for calibration.
@@ -56,7 +56,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Proposed spans that no base span touches; disjoint, leftmost first."""
+    """Proposed spans that are not wholly base spans; disjoint, leftmost first, overlapping ones joined."""
     found = []
     for m in PROPOSE.finditer(text):
         token = m.group()
@@ -64,13 +64,28 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             found.append(m.span())
     if ":" in text or "=" in text:
         found += [m.span(1) for m in NAMED.finditer(text)]
-    out: list[tuple[int, int]] = []
-    edge = 0
+    joined: list[tuple[int, int]] = []
     for s, e in sorted(found):
-        if s >= edge and not any(s < b[2] and b[0] < e for b in base):
-            out.append((s, e))
-            edge = e
-    return out
+        if joined and s < joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(e, joined[-1][1]))
+        else:
+            joined.append((s, e))
+    return [(s, e) for s, e in joined if not covered(s, e, base)]
+
+
+def covered(s: int, e: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether base spans (in order of their starts) leave nothing of the span."""
+    for b, _, end in base:
+        if b <= s < end:
+            s = end
+    return s >= e
+
+
+def pieces(s: int, e: int) -> list[tuple[int, int]]:
+    """The whole span in parts of at most INSIDE letters, each overlapping the next by half or more."""
+    if e - s <= INSIDE:
+        return [(s, e)]
+    return [(at, at + INSIDE) for at in [*range(s, e - INSIDE, INSIDE // 2), e - INSIDE]]
 
 
 def letter_classes() -> np.ndarray:
@@ -235,12 +250,17 @@ def scan(texts: list[str], fitted: tuple | None = None) -> list[tuple[list[tuple
     net, threshold, _, _ = fitted or model()
     base = [base_spans(t) for t in texts]
     proposed = [candidates(t, b) for t, b in zip(texts, base, strict=True)]
-    x = [windows(t, p) for t, p in zip(texts, proposed, strict=True) if p]
+    read = [[[(s, e)] + (pieces(s, e) if e - s > INSIDE else []) for s, e in p] for p in proposed]  # both ends at once, then all parts
+    x = [windows(t, sum(r, [])) for t, r in zip(texts, read, strict=True) if r]
     z = net.scores(np.concatenate(x)) if x else np.zeros(0)
     out, at = [], 0
-    for b, p in zip(base, proposed, strict=True):
-        out.append((b, [(s, 3, e) for (s, e), score in zip(p, z[at : at + len(p)], strict=True) if score >= threshold]))
-        at += len(p)
+    for b, p, r in zip(base, proposed, read, strict=True):
+        added = []
+        for (s, e), parts in zip(p, r, strict=True):
+            if z[at : at + len(parts)].max() >= threshold:
+                added.append((s, 3, e))
+            at += len(parts)
+        out.append((b, added))
     return out
 
 

@@ -369,6 +369,21 @@ def test_secret_scan(spark):
     assert got[len(ODD) + 1]["n_cnn"] == 1 and got[len(ODD) + 2]["spans"] == ""
 
 
+def test_secrets_are_proposed_and_read_whole():
+    token = "ghp_aB3xK9qZ7Lm2Nw8Rt5Vy1Cd4Ef6Gh0Jk9PqS"
+    texts = ['client_secret="Xy9!kL2@pQ8#zz"', 'token = "p@ssw0rd!x9K2"', "api_key: aB3xK9qZ", "secret=Tr0ub4dor", "password=abcDEF123456!restOfTheSecret99", f"/static/assets/images/callback/{token}/status/ready/for/all/of/them"]
+    values = ["Xy9!kL2@pQ8#zz", "p@ssw0rd!x9K2", "aB3xK9qZ", "Tr0ub4dor", "abcDEF123456!restOfTheSecret99", token]
+    for t, v in zip(texts, values, strict=True):
+        at = t.index(v)
+        assert any(s <= at and at + len(v) <= e for s, e in secrets.candidates(t, secrets.base_spans(t))), t
+    for i in (4, 5):
+        (b, a), v = secrets.scan(texts[i : i + 1])[0], values[i]
+        assert v[13:] not in secrets.redacted(texts[i], b + a)
+    for s, e in ((0, 41), (3, 60), (5, 300)):
+        cut = secrets.pieces(s, e)
+        assert cut[0][0] == s and cut[-1][1] == e and all(y - x == secrets.INSIDE for x, y in cut) and all(b[0] <= a[0] + secrets.INSIDE // 2 for a, b in zip(cut, cut[1:], strict=False))
+
+
 # -- 9: mixing ------------------------------------------------------------------------------------------------------------
 
 
