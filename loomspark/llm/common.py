@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +46,41 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_folders: dict[str, list[str]] = {}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on any file system Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch_path(spark: SparkSession, name: str = "part") -> str:
+    """A new path in this application's part of the shared folder, which goes when the driver ends."""
+    home = f"{shared_dir(spark)}/loom-{spark.sparkContext.applicationId}"
+    if home not in _folders:
+        _folders[home] = []
+
+        def end() -> None:
+            with contextlib.suppress(Exception):  # the session may have been stopped
+                remove(spark, home)
+
+        atexit.register(end)
+    _folders[home].append(f"{home}/{name}-{uuid.uuid4().hex}")
+    return _folders[home][-1]
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the intermediates that were written inside; their readers must be done."""
+    before = {home: len(paths) for home, paths in _folders.items()}
+    yield
+    for home, paths in _folders.items():
+        for path in paths[before.get(home, 0) :]:
+            remove(spark, path)
+        del paths[before.get(home, 0) :]
+
+
 def files_for(df: DataFrame) -> int:
     """How many files an intermediate of this input gets: one for each FILE_BYTES, two for each core at least."""
     plan = df._jdf.queryExecution().optimizedPlan()
@@ -55,10 +93,11 @@ def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
 
     At most files tasks write it, each streaming over several partitions: many tiny files
     cost more than they carry. None is for tables that do not grow with the input, 0 leaves the
-    partitions as they are.
+    partitions as they are (for large rows, since merged partitions may come out uneven). The
+    files stay until discard(), the end of cleared(), or the end of the driver.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     (df if files == 0 else df.coalesce(files or 2 * spark.sparkContext.defaultParallelism)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
@@ -67,9 +106,10 @@ def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a superseded result of materialise()."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._loom_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(df.sparkSession, df._loom_path)
+    for paths in _folders.values():
+        if df._loom_path in paths:
+            paths.remove(df._loom_path)
 
 
 def _hung(edges: DataFrame, large: bool, files: int | None) -> DataFrame:

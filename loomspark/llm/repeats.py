@@ -8,9 +8,12 @@ windows are counted exactly, and text travels about (K + run) / run times instea
 
 Skew: grams that hold more than a SHARE of all grams go last in the order, so a very common
 line, passage or word pair is a minimiser only where a window has nothing rarer. The list
-of such grams has at most 2 / SHARE entries by construction. Equal super-k-mers within one
-Arrow batch are merged before the shuffle: one copy travels, marked as repeated, and
-the other places are sent on as bare intervals.
+of such grams has at most 2 / SHARE entries by construction. Rows that repeat within one
+Arrow batch are read once, and equal super-k-mers of a batch are merged before the shuffle: one
+copy travels, marked as repeated, and the other places are sent on as bare intervals. What is
+left for one minimiser is at most a SHARE of all grams; a bucket that is larger than HELD
+is counted in several passes over its packed strings, each for a part of the window hashes,
+so that a worker holds the packed bytes and one part.
 """
 
 from __future__ import annotations
@@ -24,16 +27,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise
+from .common import bound_batches, files_for, materialise
 from .textvec import batches, grams, words
 
 K, M = 35, 4
 #: A gram with more than this share of all grams is common.
-SHARE = 1 / 2000
+SHARE = 1 / 50_000
 #: Longest run of windows in one super-k-mer, and words of text aimed at for one bucket.
 RUN, BUCKET_WORDS = 512, 20_000
 #: Bytes of packed strings that are counted in one go; whole buckets are added up to it.
 CHUNK = 4 << 20
+#: Bytes of unpacked strings of one bucket that are counted in one pass.
+HELD = 64 << 20
 COMMON = np.uint64(1 << 63)
 #: Packed strings are compressed with a shared dictionary of so many bytes, trained on the start of a few texts.
 #: It only makes small blobs smaller; results do not depend on it.
@@ -102,14 +107,14 @@ def _normal(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.
 
 def _pack(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, n: np.ndarray, multi: np.ndarray, strings: list[bytes], squeeze: zstandard.ZstdCompressor) -> bytes:
     head = np.array([len(ids)], np.int64).tobytes()
-    return squeeze.compress(head + ids.astype(np.int64).tobytes() + starts.astype(np.int64).tobytes() + keys.astype(np.int32).tobytes() + n.astype(np.int32).tobytes() + multi.astype(np.uint8).tobytes() + b"\n".join(strings))
+    return squeeze.compress(head + ids.astype(np.int64).tobytes() + starts.astype(np.int64).tobytes() + keys.astype(np.int64).tobytes() + n.astype(np.int32).tobytes() + multi.astype(np.uint8).tobytes() + b"\n".join(strings))
 
 
 def _unpack(blob: bytes, open_: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     raw = open_.decompress(blob)
     c = int(np.frombuffer(raw, np.int64, 1)[0])
     at, out = 8, []
-    for kind in (np.int64, np.int64, np.int32, np.int32, np.uint8):
+    for kind in (np.int64, np.int64, np.int64, np.int32, np.uint8):
         out.append(np.frombuffer(raw, kind, c, at))
         at += c * np.dtype(kind).itemsize
     ids, starts, keys, n, multi = out
@@ -159,13 +164,19 @@ def _codec(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def super_kmers(rows: DataFrame, total: int, common: np.ndarray, k: int = K, m: int = M, dictionary: bytes = b"") -> DataFrame:
-    """(bucket, blob) rows from (id, key, text): packed super-k-mers of one batch and bucket."""
+    """(bucket, blob) rows from (id, key, text): packed super-k-mers of one batch and bucket.
+
+    (id, key) names a row; rows that share it must have equal texts.
+    """
     buckets = max(1, total // BUCKET_WORDS)
     sent = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_codec(dictionary))
         for pdf in parts:
+            copies = pdf.duplicated(["id", "key"], keep=False).to_numpy()
+            once = ~pdf.duplicated(["id", "key"]).to_numpy()
+            pdf, copies = pdf[once], copies[once]  # equal rows lose the same words
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
             ids, keys = pdf["id"].to_numpy(), pdf["key"].to_numpy()
             where: dict[bytes, int] = {}
@@ -181,12 +192,12 @@ def super_kmers(rows: DataFrame, total: int, common: np.ndarray, k: int = K, m:
                 begins = np.searchsorted(of, np.arange(b - a))
                 doc = of[first]
                 base = len(strings)
-                for i, (s, e) in enumerate(zip(lo, hi, strict=True)):
+                for i, (s, e, again) in enumerate(zip(lo, hi, copies[a:b][doc].tolist(), strict=True)):
                     string = normal[s:e]
                     before = where.setdefault(string, base + i)
                     if before == base + i:
                         strings.append(string)
-                        multi.append(0)
+                        multi.append(int(again))
                     else:
                         multi[before] = 1
                         strings.append(b"")
@@ -213,8 +224,8 @@ def super_kmers(rows: DataFrame, total: int, common: np.ndarray, k: int = K, m:
     return rows.mapInPandas(run, "bucket long, blob binary")
 
 
-def _count(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, n: np.ndarray, multi: np.ndarray, strings: list[bytes], k: int) -> pd.DataFrame:
-    """Intervals of repeated windows among whole buckets."""
+def _count(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, n: np.ndarray, multi: np.ndarray, strings: list[bytes], k: int, part: tuple[int, int] = (0, 1)) -> pd.DataFrame:
+    """Intervals of repeated windows among whole buckets; part (i, p): of the windows whose hash is i modulo p."""
     known = multi.astype(bool)
     # equal super-k-mers first: all their windows repeat, and one of them stands for all
     first: dict[bytes, int] = {}
@@ -231,7 +242,7 @@ def _count(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, n: np.ndarray,
     if texts:
         data, begin, end, h, of = _laid(texts)
         g = grams(h, k)
-        places = np.flatnonzero(of[: len(g)] == of[k - 1 :])
+        places = np.flatnonzero((of[: len(g)] == of[k - 1 :]) & (g % np.uint64(part[1]) == part[0]))
         g = g[places]
         order = np.argsort(g, kind="stable")
         sorted_g = g[order]
@@ -267,25 +278,52 @@ def repeated_windows(rows: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_ = zstandard.ZstdDecompressor(dict_data=_codec(dictionary))
-        held: list[tuple] = []
+        held: list[bytes] = []
         size, last = 0, None
 
-        def flush() -> pd.DataFrame:
-            *arrays, strings = zip(*held, strict=True)
-            return _count(*map(np.concatenate, arrays), [s for x in strings for s in x], k)
+        def flush() -> Iterator[pd.DataFrame]:
+            if size <= HELD:
+                *arrays, strings = zip(*(_unpack(b, open_) for b in held), strict=True)
+                yield _count(*map(np.concatenate, arrays), [s for x in strings for s in x], k)
+            else:
+                passes = -(-size // HELD)
+                for i in range(passes):
+                    yield from _counted_part(held, open_, k, (i, passes))
 
         for pdf in parts:
             for bucket, blob in zip(pdf["bucket"], pdf["blob"], strict=True):
                 if held and bucket != last and size >= CHUNK:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
                 last = bucket
-                held.append(_unpack(blob, open_))
-                size += sum(map(len, held[-1][-1]))
+                held.append(blob)
+                size += zstandard.frame_content_size(blob)
         if held:
-            yield flush()
-
-    return ordered.mapInPandas(run, "id long, key int, start long, n long")
+            yield from flush()
+
+    return ordered.mapInPandas(run, "id long, key long, start long, n long")
+
+
+def _counted_part(blobs: list[bytes], open_: zstandard.ZstdDecompressor, k: int, part: tuple[int, int]) -> Iterator[pd.DataFrame]:
+    """Like _count() over all blobs, for one part of the window hashes: each blob is cut to its windows of that part first."""
+    cut: list[tuple] = []
+    for blob in blobs:
+        ids, keys, starts, n, multi, strings = _unpack(blob, open_)
+        bare = np.array([not s for s in strings])
+        if part[0] == 0 and bare.any():
+            yield pd.DataFrame({"id": ids[bare], "key": keys[bare], "start": starts[bare], "n": n[bare].astype(np.int64)})
+        full = np.flatnonzero(~bare)
+        if not len(full):
+            continue
+        data, begin, end, h, of = _laid([strings[i] for i in full])
+        g = grams(h, k)
+        at = np.flatnonzero((of[: len(g)] == of[k - 1 :]) & (g % np.uint64(part[1]) == part[0]))
+        row = full[of[at]]
+        offset = at - np.searchsorted(of, of[at])
+        cut.append((ids[row], keys[row], starts[row] + offset, np.ones(len(at), np.int32), multi[row], [data[s:e] for s, e in zip(begin[at].tolist(), end[at + k - 1].tolist(), strict=True)]))
+    if cut:
+        *arrays, strings = zip(*cut, strict=True)
+        yield _count(*map(np.concatenate, arrays), [s for x in strings for s in x], k)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", k: int = K, m: int = M, with_text: bool = False) -> DataFrame:
@@ -294,13 +332,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", k: int = K, m: int = M,
     A word goes if a window over it has a word sequence that starts anywhere else, in another
     row or the same one. A null text has no words; texts with fewer than k words keep all.
     Rows that repeat a document are documents of their own, so their long texts go. Null
-    doc_ids are allowed: a row is known by doc_id together with a hash of its text.
+    doc_ids are allowed: a row is known by 120 bits of the md5 of its doc_id and text, and equal
+    rows lose the same words.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("id"), F.hash(F.col(text)).alias("key"), F.col(text).alias("text"))
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))))
+    half = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), half(1).alias("id"), half(17).alias("key"), F.col(text).alias("text"))
     found = repeated_windows(rows.select("id", "key", "text"), k, m)
-    found = found.groupBy("id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    joined = rows.join(found, ["id", "key"], "left").select("doc_id", "text", "starts", "ns")
+    # a set: equal rows name the same intervals; written, so that AQE may split a row with very many copies in the join
+    found = materialise(found.groupBy("id", "key").agg(F.collect_set(F.struct("start", "n")).alias("s")), files_for(docs))
+    joined = rows.join(found, ["id", "key"], "left").select("doc_id", "text", F.col("s.start").alias("starts"), F.col("s.n").alias("ns"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
