@@ -5,17 +5,17 @@ Every stage takes all that its predecessor kept, written as Parquet and read aga
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import bpe, mixing, neardup, secrets, toxicity
-from loomspark.llm.common import bound_batches, shared_dir, table
+from loomspark.llm.common import bound_batches, cleared, remove, scratch_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "word_bpe_49k.json"
+#: Percent of common five-word shingles from which two documents are near copies.
+SIMILAR = 80
 #: SQL cannot express the fitted stages; the tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
@@ -28,10 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least doc_id. Rows without doc_id stay."""
-    found = neardup.near_duplicates(docs.select(*COLUMNS))
-    gone = found.where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group that links of SIMILAR percent or more make; rows without doc_id all stay."""
+    return neardup.without_near_copies(docs.select(*COLUMNS), SIMILAR)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +60,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents of a folder."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows over the documents of a folder; what a stage needed goes when its rows are written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = scratch_path(spark, f"pipeline-{name}")
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs

@@ -2,7 +2,7 @@
 
 1. Each text becomes the set of its hashed five-word shingles. A register keeps, for one
    hash function, the leading zeros of the least hash and ten bits after them.
-2. Equal sets fall into one class, kept by its smallest doc_id; from here on only classes count.
+2. Equal sets fall into one class with a number of its own; from here on only classes count.
 3. Bands of registers collect classes; each band bucket gives a star to its least member,
    never its pairs. Connected components of the stars are clusters; a true link lies
    inside a cluster unless all bands miss it (bands_for keeps that below MISSED at the threshold; < 1e-6 at 0.85).
@@ -11,7 +11,8 @@
    clusters take every member as a centre in one pass. Large ones go in rounds over blocks
    of members, a few central centres first, four times as many each round, until no two
    members that were never centres are unconnected. No pair is skipped, and a large group of
-   near copies needs a round or two, not its square.
+   near copies needs a round or two, not its square. A task holds BLOCK members and as many
+   centres at most (twice that where the hash is uneven), however large the cluster.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, files_for, materialise
+from .common import bound_batches, components, discard, files_for, materialise
 from .textvec import shingle_set, words
 
 REGISTERS = 80
@@ -154,8 +155,12 @@ def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataF
         yield pd.concat(rest) if len(rest) > 1 else rest[0]
 
 
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key (null without words) and registers of every row; no shuffle."""
+    """doc_id, text_key, n_shingles, set_key (null without words) and registers of every row; no shuffle."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,21 +171,23 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": np.array(n, np.int64), "set_key": keys, "regs": regs})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n_shingles": np.array(n, np.int64), "set_key": keys, "regs": regs})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, n_shingles long, set_key binary, regs binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("t"))
+    return rows.mapInPandas(run, "doc_id long, text_key string, n_shingles long, set_key binary, regs binary")
 
 
 def _links(members: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """Exact links (a, b) inside groups (cluster, block); rows: id, cluster, block, label, centre, regs, hashes.
+    """Exact links (a, b) inside groups (cluster, block, part); rows: id, cluster, block, part, label, centre, regs, hashes.
 
     With whole, the groups are whole clusters with all members as centres, and the links are
     those of each member to the least one of its component.
     """
-    ordered = members.repartition("cluster", "block").sortWithinPartitions("cluster", "block")
+    by = ["cluster", "block", "part"]
+    ordered = members.repartition(*by).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["cluster", "block"]):
+        for g in _groups(batches, by):
             g = g.sort_values(["id", "centre"]).drop_duplicates("id", keep="last")
             if len(g) < 2:
                 continue
@@ -200,20 +207,20 @@ def _links(members: DataFrame, percent: int, whole: bool) -> DataFrame:
     return ordered.mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+def near_classes(docs: DataFrame, percent: int = 85, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): sketch() of every row, and set_key, doc (least doc_id), component of each distinct set.
 
-    component_id is the least doc_id among all rows that links (100 * intersection >=
-    percent * union of shingle sets) lead to. A null text or one without words has an empty set
-    and stands alone. Rows with a null doc_id have no component (null) and are kept. Rows
-    that repeat a doc_id are judged one by one; equal rows get equal results.
+    Sets that occur only without a doc_id have no class. Classes are numbered, so two texts
+    under one doc_id are two classes, and the component is the least number of its classes.
     """
     n_bands, rows = bands_for(percent)
     files = files_for(docs)
     keep = partial(materialise, files=files)
     done = materialise(sketch(docs, text), 0)  # one task for each piece that is read
     whole = done.where("set_key is not null and doc_id is not null")
-    classes = keep(whole.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")))
+    # one row stands for the class; the number is fixed once it is written
+    classes = whole.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("regs").alias("regs"))
+    classes = keep(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", F.col("row.doc_id").alias("doc"), F.col("row.text_key").alias("text_key"), "regs"))
 
     width = 2 * rows
     bands = classes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.substring(F.col("regs"), i * width + 1, F.lit(width)))).alias("band", "part"))
@@ -224,31 +231,43 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     central = stars.groupBy("id").agg(F.sum("weight").alias("weight"))
     members = clusters.withColumnRenamed("component", "cluster").join(central, "id", "left").na.fill(0, ["weight"])
     counts = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    members = members.join(counts, "cluster").join(classes, "id")
+    members = keep(members.join(counts, "cluster").join(classes, "id"))
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
         for pdf in batches:
-            sets = [set_of(t) for t in pdf.pop("t")]
-            same = np.array([set_key(s) == bytes(k) for s, k in zip(sets, pdf["set_key"], strict=True)], bool)
-            pdf["hashes"] = [s.tobytes() for s in sets]
-            yield pdf[same].drop(columns="set_key")
-
-    with_text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("t")).join(members, "id")
-    columns = ["id", "cluster", "weight", "n", "regs", "set_key", "t"]
-    members = keep(with_text.select(columns).mapInPandas(hashes, "id long, cluster long, weight long, n long, regs binary, hashes binary"))
-
-    small = members.where(F.col("n") <= SMALL).select("id", "cluster", F.lit(0).alias("block"), F.col("id").alias("label"), F.lit(1).alias("centre"), "regs", "hashes")
+            ids = pdf["id"].to_numpy()
+            new = np.ones(len(ids), bool)
+            if len(ids):  # repeated rows stand together: one is enough
+                new[1:] = ids[1:] != ids[:-1]
+                new[0] = ids[0] != last
+                last = ids[-1]
+            pdf = pdf[new]
+            pdf["hashes"] = [set_of(t).tobytes() for t in pdf.pop("t")]
+            yield pdf
+
+    with_text = docs.select(F.col("doc_id").cast("long").alias("doc"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("t")).join(members, ["doc", "text_key"])
+    columns = ["id", "cluster", "weight", "n", "regs", "t"]
+    # as many tasks as the join has: merged partitions of whole texts come out uneven
+    sets = materialise(with_text.select(columns).mapInPandas(hashes, "id long, cluster long, weight long, n long, regs binary, hashes binary"), 0)
+    for old in (stars, clusters, members):
+        discard(old)
+
+    one = F.lit(0)
+    small = sets.where(F.col("n") <= SMALL).select("id", "cluster", one.alias("block"), one.alias("part"), F.col("id").alias("label"), F.lit(1).alias("centre"), "regs", "hashes")
     found = keep(_links(small, percent, True)).select(F.col("a").alias("id"), F.col("b").alias("component"))
-    large = members.where(F.col("n") > SMALL)
+    large = sets.where(F.col("n") > SMALL)
     state = keep(large.select("id", "cluster", "weight", "n", F.col("id").alias("label"), F.lit(False).alias("was")).dropDuplicates(["id"]))
-    links, take = None, CENTRES
+    links, last, take = None, None, CENTRES
     while not state.isEmpty():
         top = Window.partitionBy("cluster").orderBy(F.desc("weight"), "id")
         centres = state.where("not was").withColumn("place", F.row_number().over(top)).where(F.col("place") <= take)
-        centres = keep(centres.select("id", "cluster", "n", "label"))
+        centres = keep(centres.select("id", "cluster", "n", "label", F.floor((F.col("place") - 1) / BLOCK).cast("int").alias("part")))
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        targets = state.select("id", "cluster", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "label", F.lit(0).alias("centre"))
-        sent = centres.select("id", "cluster", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "label", F.lit(1).alias("centre"))
+        parts = centres.groupBy("cluster").agg((F.max("part") + 1).alias("parts"))
+        every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+        targets = state.join(parts, "cluster").select("id", "cluster", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), every(F.col("parts")).alias("part"), "label", F.lit(0).alias("centre"))
+        sent = centres.select("id", "cluster", every(blocks).alias("block"), "part", "label", F.lit(1).alias("centre"))
         pairs = targets.unionByName(sent).join(large.select("id", "regs", "hashes"), "id")
         new = keep(_links(pairs, percent, False))
         links = new if links is None else links.unionByName(new)
@@ -256,17 +275,55 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
         now = state.drop("label").join(joined.withColumnRenamed("component", "label"), "id", "left").join(centres.select("id", F.lit(True).alias("new")), "id", "left")
         now = now.select("id", "cluster", "weight", "n", F.coalesce("label", "id").alias("label"), (F.col("was") | F.coalesce("new", F.lit(False))).alias("was"))
         open_ = now.where("not was").groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cluster")
-        state, last = keep(now.join(open_, "cluster", "left_semi")), joined
+        rest = keep(now.join(open_, "cluster", "left_semi"))
+        for old in (state, centres, last):
+            if old is not None:
+                discard(old)
+        state, last = rest, joined
         take *= 4
     if links is not None:
         found = found.unionByName(last)
 
-    named = classes.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    named = keep(classes.select("id", "set_key", "doc").join(found, "id", "left").select("set_key", "doc", F.coalesce("component", "id").alias("component")))
+    discard(sets)
+    return done, named
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row.
+
+    component_id is the least doc_id among all rows that links (100 * intersection >=
+    percent * union of shingle sets) lead to. A null text or one without words has an empty set
+    and stands alone. Rows with a null doc_id have no component (null) and are kept. Rows
+    that repeat a doc_id are judged one by one; equal rows get equal results.
+    """
+    done, named = near_classes(docs, percent, text)
+    least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = materialise(named.join(least, "component").select("set_key", "component_id"), files_for(docs))
     out = done.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def without_near_copies(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
+    """The rows of docs that stay: one of each component, whole, with all its columns.
+
+    The one with the least doc_id stays (of texts under one doc_id, the one with the least md5).
+    Rows that repeat both doc_id and text are one document and come out once. Texts without
+    words are linked with nothing; rows without doc_id have no component, and all stay.
+    """
+    done, named = near_classes(docs, percent, text)
+    row = F.struct("doc_id", "text_key")
+    linked = done.where("doc_id is not null").join(named.select("set_key", "component"), "set_key")
+    stay = linked.groupBy("component").agg(F.min(row).alias("row")).select("row.doc_id", "row.text_key")
+    empty = done.where("doc_id is not null and set_key is null").select("doc_id", "text_key")
+    stay = materialise(stay.unionByName(empty).distinct(), files_for(docs)).withColumnsRenamed({"doc_id": "__doc", "text_key": "__key"})
+    whole = docs.where("doc_id is not null").withColumns({"__doc": F.col("doc_id").cast("long"), "__key": text_key(F.col(text))})
+    # rows that repeat merge before the shuffle; should other columns differ, the least row stays
+    once = whole.groupBy("__doc", "__key").agg(F.min(F.struct(docs.columns)).alias("__row"))
+    return once.join(stay, ["__doc", "__key"], "left_semi").select("__row.*").unionByName(docs.where("doc_id is null"))
+
+
 #: The same in DuckDB, with all pairs that share a shingle and the closure of their links.
 SQL = """
 with recursive docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
