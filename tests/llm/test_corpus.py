@@ -182,6 +182,17 @@ def test_repeats_against_brute_force(spark):
     assert len(null) == 2
 
 
+def test_repeats_of_null_ids_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HELD", 3000)  # buckets go in passes
+    r = random.Random(13)
+    texts = [prose(r, r.randint(30, 90), 40) for _ in range(200)] + ["a b"] * 50 + [None] * 50
+    same_ = prose(r, 70)
+    texts += [same_] * 3000 + ["q " * 400] * 20
+    ids = [None] * 300 + [7] * 3000 + [8] * 20
+    got = sorted((x["doc_id"] or -1, x["n_words"], x["n_removed"], x["kept_sha256"]) for x in repeats.remove_repeats(docs_of(spark, texts, ids)).collect())
+    assert got == sorted((i or -1, *b) for i, b in zip(ids, brute_repeats(texts), strict=True))
+
+
 # -- 5: near copies -----------------------------------------------------------------------------------------
 
 
@@ -240,6 +251,32 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert nulls == {(None, 1, None, True), (4, 1, 4, True)}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Different texts under one doc_id are judged one by one, and none of their links is lost."""
+    r = random.Random(15)
+    a, b, c = (prose(r, 60, 10**6) for _ in range(3))
+    texts, ids = [a, b, a + " x", b + " y", c, c, None, "", a], [7, 7, 8, 9, 7, 5, 7, 7, 7]
+    for _ in range(40):
+        t = prose(r, r.randint(5, 80), 10**6)
+        texts += [t, changed(r, t, r.randint(0, 1)), t]
+        ids += [r.randint(20, 40) for _ in range(3)]
+    df = docs_of(spark, texts, ids)
+    assert sorted(tuple(x) for x in neardup.near_duplicates(df).collect()) == sorted(brute_near(texts, ids))
+
+
+def test_one_row_of_each_component_stays(spark):
+    r = random.Random(16)
+    a, b, c = (prose(r, 60, 10**6) for _ in range(3))
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, c), (None, a), (None, a), (4, None), (4, ""), (5, ""), (6, b + " z")]
+    df = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = collections.Counter((x["doc_id"], x["text"]) for x in neardup.without_near_copies(df).collect())
+    empty = [k for k in got if k[0] == 4]
+    assert len(empty) == 1 and not empty[0][1]  # null and empty are one text
+    del got[empty[0]]
+    assert got == {(3, a): 1, (6, b + " z"): 1, (9, c): 1, (None, a): 2, (5, ""): 1}
+    assert neardup.without_near_copies(df.limit(0)).count() == 0
+
+
 def test_near_duplicates_at_lower_thresholds(spark):
     assert neardup.bands_for(85) == neardup.bands_for(80) == (20, 4)
     with pytest.raises(ValueError):
@@ -311,6 +348,46 @@ def test_neighbours_of_near_copies(spark):
             assert np.mean([len(got[q] & set(want[q])) / 20 for q in want if q in ids]) >= 0.95
 
 
+def found_neighbours(spark, x, dtype="float"):
+    got = collections.defaultdict(list)
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32 if dtype == "float" else float))]
+    for q in nndescent.search(spark.createDataFrame(rows, f"vec_id long, embedding array<{dtype}>")).orderBy("query_id", "rank").collect():
+        got[q["query_id"]].append(q["vec_id"])
+    return got, brute_nearest(rows)
+
+
+def test_neighbours_of_outliers_and_far_clusters(spark):
+    r = np.random.default_rng(21)
+    near, lone = r.normal(size=(1200, 24)) * 0.3, np.zeros((2, 24))
+    near[:, 0] += 5
+    lone[0, 0], lone[1, 1] = -5, 4  # nothing else lies there
+    far = r.normal(size=(260, 24)) * 0.1
+    far[:, 2] -= 6
+    x = np.concatenate([lone[:1], near[:999], near[999:1019], lone[1:], near[1019:], far])
+    got, want = found_neighbours(spark, x)
+    recall = [len(set(got[q]) & set(want[q])) / 20 for q in want]
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.5
+
+
+def test_neighbours_descend_on_small_tables(spark):
+    """The graph is built in rounds at every size; hubs and busy lists are split."""
+    r = np.random.default_rng(22)
+    x = r.normal(size=(500, 32)) * np.exp(r.normal(size=(500, 1)))  # a few long vectors are near to all
+    got, want = found_neighbours(spark, x, "double")
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
+
+
+def test_exhaustive_search(spark):
+    r = np.random.default_rng(23)
+    x = r.normal(size=(300, 8))
+    nodes = spark.createDataFrame([(i, bytearray(nndescent.packed(v))) for i, v in enumerate(x)], "id long, vec binary")
+    got = {g["id"]: list(g["nbrs"]) for g in nndescent.exhaustive(nodes.where("id < 10"), nodes, 300, 7).collect()}
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert got == {i: np.argsort(-s[i])[:7].tolist() for i in range(10)}
+
+
 # -- 7: tokens ----------------------------------------------------------------------------------------------------
 
 
@@ -445,7 +522,7 @@ def test_pipeline_against_plain_version(spark):
     model = toxicity.fit_from(docs, common.table(spark, DATA, "labels"))
     severity = model.severity(np.array([model.score(t) for t in rows["text"]]))
     rows = rows[severity < model.reject].reset_index(drop=True)
-    kept = {i for i, _, _, k in brute_near(rows["text"].tolist(), rows["doc_id"].tolist()) if k}
+    kept = {i for i, _, _, k in brute_near(rows["text"].tolist(), rows["doc_id"].tolist(), 80) if k}
     rows = rows[rows["doc_id"].isin(kept)].reset_index(drop=True)
     rows["text"] = [secrets.redacted(t, b + a) for t, (b, a) in zip(rows["text"], secrets.scan(rows["text"].tolist()), strict=True)]
     import duckdb
@@ -460,6 +537,23 @@ def test_pipeline_against_plain_version(spark):
     assert all(n == len(lib.encode(text[i])) for i, n in zip(got["doc_id"], got["n_tokens"], strict=True))
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null columns, repeated rows, unique texts under one doc_id, empty tables, clashing columns."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(18)
+    texts = [*ODD, *[prose(r, 30, 10**6) for _ in range(20)]]
+    ids = [i // 2 for i in range(len(texts))]
+    df = docs_of(spark, [*texts, texts[-1], texts[-1]], [*ids, ids[-1], None], [None, "s"] * (len(texts) // 2 + 1) + ["s"] * (len(texts) % 2))
+    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0 and 1 or None) for i in range(5)], "doc_id long, quality int, toxic int")
+    df.withColumns({"copies": F.lit("clash"), "size": F.lit(1), "n_tokens": F.lit("x")}).write.parquet(f"{tmp_path}/a/documents.parquet")
+    labels.withColumn("text", F.lit("clash")).write.parquet(f"{tmp_path}/a/labels.parquet")
+    got = collections.Counter(x["doc_id"] for x in pipeline.run(spark, f"{tmp_path}/a").collect())
+    assert set(got) <= {*ids, None} and got[None] <= 2 and sum(got.values()) > 10
+    df.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.ORACLE_SQL])
 def test_query_runs_whole(spark, name):
     table = "pages" if name in ("op1_html", "op2_url") else "embeddings" if name == "op6_neighbours" else "documents"
