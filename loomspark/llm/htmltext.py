@@ -12,7 +12,9 @@ from __future__ import annotations
 import html as htmllib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -34,49 +36,82 @@ RAW = frozenset("script style noscript template iframe svg math object textarea
 CLOSES = {t: ("p",) for t in BLOCKS - {"option", "optgroup", "link", "meta", "title"}} | {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 #: A closing search stops at these.
 FENCES = frozenset("ul ol dl table article section div nav aside main body".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRS = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: A quote opens a value right after the equals sign only; one that is never closed is a plain character.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=(?:\s*+(?:"[^"]*+"|'[^']*+'))?+)*+)>""", re.S)
+ATTRS = re.compile(r"""(?<![^\s"'/])(class|id|role|itemprop|aria-label)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""", re.I)
 NAME = re.compile(r"[a-z]+")
 PATH_ROWS, WORD_ROWS, PATH_DIM, WORD_DIM, COUNTS, HIDDEN = 1024, 2048, 16, 8, 6, 16
-#: Path elements and words of a block that its vectors read; its text is always whole.
-PATH_READ, WORDS_READ = 12, 64
+#: Scale of sums along a path, and what is left of an element's words one element further in.
+SCALE, FADE = 0.4, 0.5
 #: Generated pages the network is fitted on, and passes over them.
 PAGES, PASSES = 2000, 8
 #: Blocks (with padding) of one batch of pages.
 BATCH = 20_000
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path words, text, share of text in links) of every leaf block that has text."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Cut:
+    """A page cut into leaf blocks, and the tree of its elements.
+
+    Element 0 is the page. parent, level and words (tag, class, id and role words) are of
+    elements in page order; of blocks: element, text, and the share of the text in links.
+    """
+
+    def __init__(self):
+        self.parent, self.level, self.words = [0], [0], [()]
+        self.element: list[int] = []
+        self.text: list[str] = []
+        self.links: list[float] = []
+
+    def path(self, block: int) -> tuple[str, ...]:
+        """All words of the elements around a block, outermost first."""
+        out, at = [], self.element[block]
+        while at:
+            out.append(self.words[at])
+            at = self.parent[at]
+        return tuple(w for words in reversed(out) for w in words)
+
+
+def blocks(page: str) -> Cut:
+    """The leaf blocks of a page that have text; linear in its length."""
+    out = Cut()
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     held: list[str] = []
     linked = 0
-    path: tuple[str, ...] | None = None
+    at_element = -1
 
     def flush() -> None:
-        nonlocal held, linked, path
+        nonlocal held, linked, at_element
         if held:
             text = " ".join(htmllib.unescape("".join(held)).split())
             if text:
-                out.append((path or (), text, min(1.0, linked / max(1, len(text)))))
-        held, linked, path = [], 0, None
+                out.element.append(max(at_element, 0))
+                out.text.append(text)
+                out.links.append(min(1.0, linked / max(1, len(text))))
+        held, linked, at_element = [], 0, -1
 
     def add(piece: str) -> None:
-        nonlocal path, linked
+        nonlocal at_element, linked
         if not piece:
             return
-        if path is None and not piece.isspace():
-            path = tuple(w for _, words in stack for w in words)
+        if at_element < 0 and not piece.isspace():
+            at_element = stack[-1][1] if stack else 0
         held.append(piece)
-        if any(t == "a" for t, _ in stack[-4:]):
+        if opened["a"]:
             linked += len(piece.strip())
 
+    def close(place: int) -> None:
+        for t, _ in stack[place:]:
+            opened[t] -= 1
+        del stack[place:]
+
     at, end = 0, len(page)
+    last = page.rfind(">")
     while at < end:
-        m = TAG.search(page, at)
-        if not m:
-            add(page[at:])
+        m = TAG.search(page, at) if at <= last else None
+        if not m:  # nothing closes any more; only a comment can still hide the rest
+            rest = page.find("<!--", at)
+            add(page[at : rest if rest >= 0 else end])
             break
         add(page[at : m.start()])
         at = m.end()
@@ -88,35 +123,43 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if m.group(1):
             if tag in BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in FENCES and tag not in BLOCKS:
-                    break
+            if opened[tag]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        close(i)
+                        break
+                    if stack[i][0] in FENCES and tag not in BLOCKS:
+                        break
             continue
         if tag in RAW:
             if not m.group(3).rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = close.end() if close else end
+                shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = shut.end() if shut else end
             add(" ")
             continue
         if tag in BLOCKS:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(tag, ()):
-                    del stack[i:]
-                    break
-                if stack[i][0] in FENCES:
-                    break
+            shuts = CLOSES.get(tag, ())
+            if any(opened[t] for t in shuts):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in shuts:
+                        close(i)
+                        break
+                    if stack[i][0] in FENCES:
+                        break
         if tag in VOID:
             if tag == "br":
                 add(" ")
             continue
         words = [tag]
         for name, value in ATTRS.findall(m.group(3)) if m.group(3) else ():
-            words += [f"{name[0].lower()}:{w}" if name[0] in "rR" else f".{w}" for w in NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())[:6]]
-        stack.append((tag, tuple(words)))
+            words += [f"{name[0].lower()}:{w}" if name[0] in "rR" else f".{w}" for w in NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())]
+        above = stack[-1][1] if stack else 0
+        out.parent.append(above)
+        out.level.append(out.level[above] + 1)
+        out.words.append(tuple(words))
+        stack.append((tag, len(out.parent) - 1))
+        opened[tag] += 1
     flush()
     return out
 
@@ -126,36 +169,99 @@ def _row(token: str, rows: int) -> int:
     return 1 + zlib.crc32(token.encode("utf-8", "surrogatepass")) % (rows - 1)
 
 
-def encoded(page: list[tuple[tuple[str, ...], str, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per block: rows of its path words, rows of its words, and counts."""
-    n = len(page)
-    path, word, counts = np.zeros((n, PATH_READ), np.int32), np.zeros((n, WORDS_READ), np.int32), np.zeros((n, COUNTS), np.float32)
-    for i, (names, text, links) in enumerate(page):
-        names = names[-PATH_READ:]
-        path[i, : len(names)] = [_row(p, PATH_ROWS) for p in names]
-        words = text.lower().split(None, WORDS_READ)[:WORDS_READ]
-        word[i, : len(words)] = [_row(w[:12], WORD_ROWS) for w in words]
-        counts[i] = (np.log1p(len(text)) / 8, links, min(1.0, len(words) / WORDS_READ), text.count(".") / (1 + len(text) / 50), i / n, float(text[-1] in ".!?:\"'"))
-    return path, word, counts
+@dataclass
+class Encoded:
+    """A page as numbers: its element tree with rows of path words, and its blocks with rows of words and counts."""
+
+    parent: np.ndarray
+    level: np.ndarray
+    path: np.ndarray  # rows of the path table, element after element
+    path_n: np.ndarray  # how many of them each element has
+    element: np.ndarray
+    word: np.ndarray
+    word_n: np.ndarray
+    counts: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.element)
+
+
+def encoded(page: Cut) -> Encoded:
+    """All path words of all elements and all words of all blocks."""
+    n = len(page.text)
+    counts, words = np.zeros((n, COUNTS), np.float32), [t.lower().split() for t in page.text]
+    for i, (text, links) in enumerate(zip(page.text, page.links, strict=True)):
+        counts[i] = (np.log1p(len(text)) / 8, links, min(1.0, len(words[i]) / 64), text.count(".") / (1 + len(text) / 50), i / n, float(text[-1] in ".!?:\"'"))
+    ints = lambda xs: np.fromiter(xs, np.int32)
+    return Encoded(
+        np.array(page.parent, np.int32), np.array(page.level, np.int32), ints(_row(w, PATH_ROWS) for ws in page.words for w in ws), ints(map(len, page.words)),
+        np.array(page.element, np.int32), ints(_row(w, WORD_ROWS) for ws in words for w in ws), ints(map(len, words)), counts,
+    )
+
+
+@dataclass
+class Batch:
+    """Several pages as one forest: elements of all pages, and blocks laid out as (page, place) with a mask."""
+
+    parent: np.ndarray
+    levels: list[np.ndarray]  # elements by level, the pages' roots left out
+    path: np.ndarray
+    path_n: np.ndarray
+    element: np.ndarray  # of each block
+    word: np.ndarray
+    word_n: np.ndarray
+    counts: np.ndarray
+    page: np.ndarray
+    place: np.ndarray
+    mask: np.ndarray
+
+
+def batched(pages: list[Encoded]) -> Batch:
+    first = np.cumsum([0] + [len(p.parent) for p in pages])
+    level = np.concatenate([p.level for p in pages])
+    order = np.argsort(level, kind="stable")
+    cuts = np.searchsorted(level[order], np.arange(1, level.max() + 2)) if len(level) else [0]
+    sizes = [len(p) for p in pages]
+    page = np.repeat(np.arange(len(pages)), sizes)
+    place = np.concatenate([np.arange(n) for n in sizes])
+    mask = np.zeros((len(pages), max(sizes)), np.float32)
+    mask[page, place] = 1
+    join = lambda name: np.concatenate([getattr(p, name) for p in pages])
+    return Batch(
+        np.concatenate([p.parent + f for p, f in zip(pages, first, strict=False)]), [order[s:e] for s, e in zip(cuts, cuts[1:], strict=False)], join("path"), join("path_n"),
+        np.concatenate([p.element + f for p, f in zip(pages, first, strict=False)]), join("word"), join("word_n"), join("counts"), page, place, mask,
+    )
+
+
+def summed(table: np.ndarray, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sum of the table rows of each owner; owner i has the next n[i] rows."""
+    out = np.zeros((len(n), table.shape[1]), np.float32)
+    have = np.flatnonzero(n)
+    if len(have):
+        out[have] = np.add.reduceat(table[rows], np.concatenate([[0], np.cumsum(n[have])[:-1]]), axis=0)
+    return out
 
 
 class Labeller:
-    """Embedding means, a bidirectional LSTM, and one logit for each block."""
+    """Embedding sums, a bidirectional LSTM, and one logit for each block; words never seen in fitting stay near zero."""
 
     def __init__(self, seed: int = 5):
         r = np.random.default_rng(seed)
-        inputs = PATH_DIM + WORD_DIM + COUNTS
-        self.p = {"path": r.normal(0, 0.3, (PATH_ROWS, PATH_DIM)), "word": r.normal(0, 0.1, (WORD_ROWS, WORD_DIM)), "out": r.normal(0, 0.2, 2 * HIDDEN), "skip": r.normal(0, 0.1, inputs), "bias": np.zeros(1)}
+        inputs = 2 * PATH_DIM + WORD_DIM + COUNTS
+        self.p = {"path": r.normal(0, 0.01, (PATH_ROWS, PATH_DIM)), "near": r.normal(0, 0.01, (PATH_ROWS, PATH_DIM)), "word": r.normal(0, 0.01, (WORD_ROWS, WORD_DIM)), "out": r.normal(0, 0.2, 2 * HIDDEN), "skip": r.normal(0, 0.1, inputs), "bias": np.zeros(1)}
         for d in ("fwd", "bwd"):
             self.p[d] = r.normal(0, 0.25, (inputs + HIDDEN + 1, 4 * HIDDEN))
             self.p[d][-1, HIDDEN : 2 * HIDDEN] = 1  # forget gates start open
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _inputs(self, path: np.ndarray, word: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        a, b = (path > 0).sum(-1, keepdims=True), (word > 0).sum(-1, keepdims=True)
-        p, w = self.p["path"].copy(), self.p["word"].copy()
-        p[0] = w[0] = 0
-        return np.concatenate([p[path].sum(-2) / np.sqrt(np.maximum(a, 1)), w[word].sum(-2) / np.maximum(b, 1), counts], -1).astype(np.float32)
+    def _inputs(self, b: Batch) -> np.ndarray:
+        """Inputs of every block; sums along paths go level by level, one plain, one that fades with the distance."""
+        path, near = summed(self.p["path"], b.path, b.path_n), summed(self.p["near"], b.path, b.path_n)
+        for at in b.levels:
+            path[at] += path[b.parent[at]]
+            near[at] += FADE * near[b.parent[at]]
+        word = summed(self.p["word"], b.word, b.word_n) / np.maximum(b.word_n, 1)[:, None]
+        return np.concatenate([path[b.element] * SCALE, near[b.element] * SCALE, word, b.counts], 1).astype(np.float32)
 
     def _lstm(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
         n, t, _ = x.shape
@@ -196,35 +302,40 @@ class Labeller:
             gc = ac * gf + gc * (1 - m)
         return gw, gx
 
-    def logits(self, path: np.ndarray, word: np.ndarray, counts: np.ndarray, mask: np.ndarray, keep: bool = False):
-        x = self._inputs(path, word, counts)
-        f, kf = self._lstm(x, mask, "fwd", keep)
-        b, kb = self._lstm(x, mask, "bwd", keep)
-        h = np.concatenate([f, b], -1)
+    def logits(self, b: Batch, keep: bool = False):
+        flat = self._inputs(b)
+        x = np.zeros((*b.mask.shape, flat.shape[1]), np.float32)
+        x[b.page, b.place] = flat
+        f, kf = self._lstm(x, b.mask, "fwd", keep)
+        w, kb = self._lstm(x, b.mask, "bwd", keep)
+        h = np.concatenate([f, w], -1)
         z = h @ self.p["out"] + x @ self.p["skip"] + self.p["bias"][0]
         return (z, x, h, kf, kb) if keep else z
 
-    def fit(self, pages: list[tuple], labels: list[np.ndarray], passes: int = PASSES, batch: int = 50, rate: float = 5e-3) -> Labeller:
+    def fit(self, pages: list[Encoded], labels: list[np.ndarray], passes: int = PASSES, batch: int = 50, rate: float = 5e-3) -> Labeller:
         r = np.random.default_rng(1)
         m, v, t = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
         for turn in range(passes):
             order = r.permutation(len(pages))
             for s in range(0, len(order), batch):
                 pick = order[s : s + batch]
-                path, word, counts, mask = padded([pages[i] for i in pick])
-                y = np.zeros(mask.shape, np.float32)
-                for j, i in enumerate(pick):
-                    y[j, : len(labels[i])] = labels[i]
-                z, x, h, kf, kb = self.logits(path, word, counts, mask, True)
-                gz = (1 / (1 + np.exp(-z)) - y) * mask / mask.sum()
+                b = batched([pages[i] for i in pick])
+                y = np.zeros(b.mask.shape, np.float32)
+                y[b.page, b.place] = np.concatenate([labels[i] for i in pick])
+                z, x, h, kf, kb = self.logits(b, True)
+                gz = (1 / (1 + np.exp(-z)) - y) * b.mask / b.mask.sum()
                 gh = gz[..., None] * self.p["out"]
                 gf, gxf = self._lstm_back(x, kf, gh[..., :HIDDEN], "fwd")
                 gb, gxb = self._lstm_back(x, kb, gh[..., HIDDEN:], "bwd")
-                gx = gxf + gxb + gz[..., None] * self.p["skip"]
-                a, b = np.maximum((path > 0).sum(-1), 1), np.maximum((word > 0).sum(-1), 1)
-                gp = scattered(path, gx[..., :PATH_DIM] / np.sqrt(a)[..., None], PATH_ROWS)
-                gwd = scattered(word, gx[..., PATH_DIM : PATH_DIM + WORD_DIM] / b[..., None], WORD_ROWS)
-                g = {"path": gp, "word": gwd, "fwd": gf, "bwd": gb, "out": (h * gz[..., None]).sum((0, 1)), "skip": (x * gz[..., None]).sum((0, 1)), "bias": np.array([gz.sum()])}
+                gx = (gxf + gxb + gz[..., None] * self.p["skip"])[b.page, b.place]
+                along = np.zeros((len(b.parent), 2 * PATH_DIM), np.float32)
+                np.add.at(along, b.element, gx[:, : 2 * PATH_DIM] * SCALE)
+                fade = np.repeat(np.array([1, FADE], np.float32), PATH_DIM)
+                for at in reversed(b.levels):
+                    np.add.at(along, b.parent[at], along[at] * fade)
+                gp = scattered(b.path, along[np.repeat(np.arange(len(b.path_n)), b.path_n)], PATH_ROWS)
+                gwd = scattered(b.word, np.repeat(gx[:, 2 * PATH_DIM : 2 * PATH_DIM + WORD_DIM] / np.maximum(b.word_n, 1)[:, None], b.word_n, 0), WORD_ROWS)
+                g = {"path": gp[:, :PATH_DIM], "near": gp[:, PATH_DIM:], "word": gwd, "fwd": gf, "bwd": gb, "out": (h * gz[..., None]).sum((0, 1)), "skip": (x * gz[..., None]).sum((0, 1)), "bias": np.array([gz.sum()])}
                 t += 1
                 step = rate * (1 - turn / passes) + 2e-4
                 for k in self.p:
@@ -233,33 +344,22 @@ class Labeller:
                     self.p[k] = (self.p[k] - step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
         return self
 
-    def label(self, pages: list[tuple]) -> list[np.ndarray]:
+    def label(self, pages: list[Encoded]) -> list[np.ndarray]:
         """Whether each block is main text, page by page."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if len(pages[i][0])), key=lambda i: len(pages[i][0]))
+        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
         while order:
-            n = max(1, BATCH // len(pages[order[-1]][0]))
+            n = max(1, BATCH // len(pages[order[-1]]))
             pick, order = order[-n:], order[:-n]
-            z = self.logits(*padded([pages[i] for i in pick]))
+            z = self.logits(batched([pages[i] for i in pick]))
             for j, i in enumerate(pick):
-                out[i] = z[j, : len(pages[i][0])] > 0
+                out[i] = z[j, : len(pages[i])] > 0
         return out
 
 
 def scattered(rows: np.ndarray, grads: np.ndarray, n: int) -> np.ndarray:
-    """Sum of each block's gradient over the table rows that the block read."""
-    used = rows > 0
-    flat, owner = rows[used], np.broadcast_to(np.arange(grads[..., 0].size).reshape(*grads.shape[:-1], 1), rows.shape)[used]
-    g = grads.reshape(-1, grads.shape[-1])
-    return np.stack([np.bincount(flat, g[owner, d], n) for d in range(g.shape[1])], 1)
-
-
-def padded(pages: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    t = max(len(p[0]) for p in pages)
-    path, word, counts, mask = np.zeros((len(pages), t, PATH_READ), np.int32), np.zeros((len(pages), t, WORDS_READ), np.int32), np.zeros((len(pages), t, COUNTS), np.float32), np.zeros((len(pages), t), np.float32)
-    for j, (a, b, c) in enumerate(pages):
-        path[j, : len(a)], word[j, : len(a)], counts[j, : len(a)], mask[j, : len(a)] = a, b, c, 1
-    return path, word, counts, mask
+    """Sum of the gradients over the table rows that were read."""
+    return np.stack([np.bincount(rows, grads[:, d], n) for d in range(grads.shape[1])], 1)
 
 
 #: Words in names of elements, by what they hold (fixed values for generated pages).
@@ -274,6 +374,8 @@ NAMES = {
     "comments": "comments comment discussion replies reply respond thread disqus".split(),
     "share": "share social sharing follow tags meta byline".split(),
 }
+#: Class words that say how an element looks, not what it holds; wrappers carry them.
+LOOKS = "container mx auto px py row col grid gap flex items center wrap inner block md lg sm text gray white bg w full h rounded shadow border clearfix justify between".split()
 BODY_NAMES = "article content post entry main story body text page single".split()
 
 
@@ -297,6 +399,13 @@ def made_page(r: np.random.Generator) -> tuple[str, list[str]]:
             words[i] += junk if junk and r.random() < 0.9 else ""
         return " ".join(words).capitalize() + pick([".", ".", ".", ""])
 
+    def nested(inner: str) -> str:
+        """Wrappers around a part of the page, often several, with classes of looks only."""
+        while r.random() < 0.4:
+            looks = " ".join(f"{pick(LOOKS)}-{r.integers(0, 9)}" if r.random() < 0.6 else pick(LOOKS) for _ in range(int(r.integers(1, 7))))
+            inner = f'<div class="{looks}">{inner}</div>' if r.random() < 0.8 else f"<div>{inner}</div>"
+        return inner
+
     def attrs(kind: str) -> str:
         if r.random() < 0.15:
             return ""
@@ -324,7 +433,7 @@ def made_page(r: np.random.Generator) -> tuple[str, list[str]]:
         else:
             text = prose(2, 45)
             inner = pick([text, f"<p>{text}</p>", f"<h4>{prose(1, 4)}</h4><p>{text}</p>", f'<p>{text} <a href="/x">{word()}</a></p>', f"<span>{text}</span>"])
-        return f"<{tag}{named}>{inner}</{tag}>"
+        return nested(f"<{tag}{named}>{nested(inner)}</{tag}>")
 
     main: list[str] = []
 
@@ -346,12 +455,12 @@ def made_page(r: np.random.Generator) -> tuple[str, list[str]]:
         inner.append(junk("share"))
     for _ in range(int(r.integers(1, 14))):
         inner.append(para(pick(["p"] * 10 + ["h2", "h3", "blockquote", "li", "pre"])))
-        if r.random() < 0.12:
+        if r.random() < 0.25:
             inner.append(junk(pick(["ad", "ad", "side", "form", "notice", "share"])))
     if r.random() < 0.3:
         inner.append(junk("comments"))
     shape = r.random()
-    text = "".join(inner)
+    text = nested("".join(inner))
     if shape < 0.55:
         text = f"<article{pick(['', '', ' class=' + chr(34) + pick(BODY_NAMES) + chr(34)])}>{text}</article>"
     elif shape < 0.8:
@@ -364,7 +473,9 @@ def made_page(r: np.random.Generator) -> tuple[str, list[str]]:
     if r.random() < 0.2:
         body.append(junk(pick(around)))
     title = main[0] if main and r.random() < 0.7 else prose(1, 8)
-    shell = f'<!DOCTYPE html><html lang="{pick(["en", "fr", "de", "es"])}"><head><meta charset="utf-8"><title>{htmllib.escape(title)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body{pick(["", "", " class=" + chr(34) + "page single" + chr(34)])}>'
+    head = f"<title>{htmllib.escape(title)}</title>" + "".join(pick(['<meta charset="utf-8">', f"<style>.{word()}{{margin:{r.integers(0, 9)}px}}</style>", f"<script>var {word()}='<p>{word()}</p>';</script>", f'<link rel="stylesheet" href="/{word()}.css">', ""]) for _ in range(int(r.integers(0, 4))))
+    shell = pick(["<!DOCTYPE html>", ""]) + f'<html lang="{pick(["en", "fr", "de", "es"])}"><head>{head}</head><body{pick(["", "", " class=" + chr(34) + "page single" + chr(34)])}>'
+    text = nested(text)
     wrap = pick(["", "", '<div id="wrap">'])
     return shell + wrap + "".join(body) + f"<!-- {pick(['ad', 'menu', 'x'])} -->" + text + "".join(tail) + pick(["", "</div>" if wrap else ""]) + pick(["</body></html>", ""]), main
 
@@ -376,11 +487,11 @@ def model() -> Labeller:
     while len(pages) < PAGES:
         html, main = made_page(r)
         cut = blocks(html)
-        y, at = np.zeros(len(cut), np.float32), 0
-        for i, (path, text, _) in enumerate(cut):
-            if at < len(main) and text == main[at] and "title" not in path:
+        y, at = np.zeros(len(cut.text), np.float32), 0
+        for i, text in enumerate(cut.text):
+            if at < len(main) and text == main[at] and "title" not in cut.words[cut.element[i]]:
                 y[i], at = 1, at + 1
-        if at == len(main) and len(cut):
+        if at == len(main) and len(cut.text):
             pages.append(encoded(cut))
             labels.append(y)
     return Labeller().fit(pages, labels)
@@ -390,7 +501,7 @@ def extract(pages: list[str | None], labeller: Labeller | None = None) -> list[s
     """Main text of each page; blocks joined by a line feed."""
     cut = [blocks(p or "") for p in pages]
     keep = (labeller or model()).label([encoded(c) for c in cut])
-    return ["\n".join(text for (_, text, _), k in zip(c, ks.tolist(), strict=True) if k) for c, ks in zip(cut, keep, strict=True)]
+    return ["\n".join(text for text, k in zip(c.text, ks.tolist(), strict=True) if k) for c, ks in zip(cut, keep, strict=True)]
 
 
 def extract_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
