@@ -7,10 +7,15 @@ rule allows are trusted seeds, hosts whose pages a rule blocks are distrusted se
 such pages. Trust is a personalised PageRank along the edges; distrust runs the same
 against them. A host is blocked where the distrust that ends on it, counted in blocked
 pages, is at least BLOCKED of its pages, and more than RATIO times its trust.
+
+The rounds go on until all mass that could still move is at most TOLERANCE of a page: after
+n rounds that is DAMPING**n of the seeds' pages, so their number follows from the seeds.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +23,9 @@ from .common import discard, files_for, materialise
 
 #: (rule, verdict); a rule is a host and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING, ROUNDS = 0.85, 8
+DAMPING = 0.85
+#: Pages (of a host's trust or distrust) that may still move when the rounds end, and rounds of one written step.
+TOLERANCE, FUSED = 0.01, 6
 #: Thresholds of a host: distrust in pages against its pages, and against trust in pages.
 BLOCKED, RATIO = 0.5, 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,25 +70,35 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(one).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, files: int | None = None, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def rounds_for(pages: float, damping: float = DAMPING) -> int:
+    """Rounds after which at most TOLERANCE of so many pages of seeds is not where it ends."""
+    return max(1, math.ceil(round(math.log(max(pages, 1) / TOLERANCE) / -math.log(damping), 6)))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, files: int | None = None, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """(kind, host, rank) from edges (src, dst, weight) and seeds (kind, host, weight).
 
     kind is trust (along edges) or distrust (against them); both run in the same joins. What a
-    host has is split by edge weight, so ranks of a kind add up to its seeds' weights. Each
-    round's ranks go to the shared folder.
+    host has is split by edge weight, so ranks of a kind add up to its seeds' weights. The
+    ranks go to the shared folder every FUSED rounds.
     """
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = ways.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
     ways = materialise(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share")), files)
     start = materialise(seeds.select("kind", "host", F.col("weight").cast("double").alias("seed")), files)
-    rank = start.select("kind", "host", F.col("seed").alias("rank"))
-    for turn in range(rounds):
-        step = ways.join(rank, (ways["kind"] == rank["kind"]) & (ways["src"] == rank["host"])).select(ways["kind"], F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("r"))
+    rounds = rounds_for(start.agg(F.sum("seed")).first()[0] or 0.0, damping) if rounds is None else rounds
+    rank, written = start.select("kind", "host", F.col("seed").alias("rank")), None
+    for turn in range(1, rounds + 1):
+        step = ways.join(rank.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("r"))
         step = step.unionByName(start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("r")))
-        now = materialise(step.groupBy("kind", "host").agg(F.sum("r").alias("rank")), files)
-        rank, old = now, rank
-        if turn:
-            discard(old)
+        rank = step.groupBy("kind", "host").agg(F.sum("r").alias("rank"))
+        if turn % FUSED == 0 or turn == rounds:
+            rank = materialise(rank, files)
+            if written is not None:
+                discard(written)
+            written = rank
+    discard(ways)
+    discard(start)
     return rank
 
 
@@ -110,7 +127,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def _sql() -> str:
-    """The registered query in DuckDB: the same rounds, one after the other."""
+    """The registered query in DuckDB: the same rounds, as many as the seeds' pages ask for."""
     link = LINK.replace("'", "''")
     lower = f"'{UPPER}', '{LOWER}'"
     rule = "case"
@@ -118,9 +135,8 @@ def _sql() -> str:
         at = name.index("/")
         rule += f" when (host = '{name[:at]}' or ends_with(host, '.{name[:at]}')) and starts_with(path, '{name[at:]}') then '{name}'"
     verdict = "case rule " + " ".join(f"when '{n}' then '{v}'" for n, v in RULES) + " end"
-    rounds = ", ".join(f"r{i + 1} as (select kind, host, sum(r) as rank from (select w.kind, w.dst as host, p.rank * w.share * {DAMPING}::double as r from ways w join r{i} p on p.kind = w.kind and p.host = w.src union all select kind, host, seed * (1 - {DAMPING}::double) from start) group by kind, host)" for i in range(ROUNDS))
     return f"""
-with cut as (select page_id, html, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), {lower}), '') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+with recursive cut as (select page_id, html, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), {lower}), '') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
 ruled as (select *, {rule} end as rule from cut), judged as (select *, {verdict} as by_rule from ruled), named as (select * from judged where host <> ''),
 links as (select src, dst, count(*) as weight from (select host as src, translate(d, {lower}) as dst from (select host, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) as d from named)) where src <> dst and dst <> '' group by src, dst),
 hosts as (select distinct host from named), ups as (select host as src, regexp_replace(host, '^[^.]*\\.', '') as dst from hosts), up as (select src, dst from ups where src <> dst and dst in (select host from hosts)),
@@ -129,8 +145,11 @@ edges as (select src, dst, sum(weight) as weight from (select src, dst, weight f
 both_ as (select 'trust' as kind, src, dst, weight from edges union all select 'distrust', dst, src, weight from edges),
 ways as (select kind, src, dst, weight / (sum(weight) over (partition by kind, src))::double as share from both_),
 start as (select case when by_rule = 'allow' then 'trust' else 'distrust' end as kind, host, count(*)::double as seed from named where by_rule is not null group by 1, 2),
-r0 as (select kind, host, seed as rank from start), {rounds},
-ranks as (select host, coalesce(sum(case when kind = 'trust' then round(rank, 9) end), 0) as trust, coalesce(sum(case when kind = 'distrust' then round(rank, 9) end), 0) as distrust from r{ROUNDS} group by host),
+last as (select greatest(1, ceil(round(ln(greatest(coalesce(sum(seed), 0), 1) / {TOLERANCE}) / -ln({DAMPING}), 6)))::int as n from start),
+steps as (select 0 as turn, kind, host, seed as rank from start union all select turn, kind, host, sum(r) as rank from (
+  select p.turn + 1 as turn, w.kind, w.dst as host, p.rank * w.share * {DAMPING}::double as r from ways w join steps p on p.kind = w.kind and p.host = w.src where p.turn < (select n from last)
+  union all select t.turn + 1, kind, host, seed * (1 - {DAMPING}::double) from start, (select distinct turn from steps where turn < (select n from last)) t) group by turn, kind, host),
+ranks as (select host, coalesce(sum(case when kind = 'trust' then round(rank, 9) end), 0) as trust, coalesce(sum(case when kind = 'distrust' then round(rank, 9) end), 0) as distrust from steps where turn = (select n from last) group by host),
 sizes as (select host, count(*) as pages from named group by host)
 select j.page_id, j.host, j.path, j.rule, coalesce(j.by_rule, case when coalesce(k.distrust, 0) > 0 and k.distrust >= {BLOCKED} * s.pages and k.distrust > {RATIO} * k.trust then 'block' else 'allow' end) as verdict,
   coalesce(k.trust, 0)::double as trust, coalesce(k.distrust, 0)::double as distrust
