@@ -30,8 +30,48 @@ CACHE_WORDS = 800_000
 TEXTS = 1000
 #: White space as the vocabulary's normaliser sees it (fixed values).
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: Pieces of text that are encoded on their own (fixed values of this vocabulary).
-PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|(?:(?!{SPACE})[^\p{{L}}\p{{N}}])+"
+
+
+#: What Unicode 16 added to the letters and numbers of Unicode 15.1, as ranges (fixed values of the standard).
+LATER_LETTERS = (
+    "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b 1138e-1138e 11390-113b5 "
+    "113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff-18cff 1e5d0-1e5ed 1e5f0-1e5f0"
+)
+LATER_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+#: Capitals newer than Unicode 15.1, first-last:lower case of the first (fixed values of the standard).
+LATER_CAPITALS = "1c89-1c89:1c8a a7cb-a7cb:264 a7cc-a7cc:a7cd a7ce-a7ce:a7cf a7d2-a7d2:a7d3 a7d4-a7d4:a7d5 a7da-a7da:a7db a7dc-a7dc:19b 10d50-10d65:10d70 16ea0-16eb8:16ebb"
+
+
+def category(letter: str, later: str) -> str:
+    """A character class of the code points whose general category in Unicode 16 starts with letter.
+
+    It comes from Python's tables of Unicode 15.1 and what came later, so that matching depends neither on
+    the version of the regular expression module nor on code points that newer tables add.
+    """
+    extra = [[int(x, 16) for x in r.split("-")] for r in later.split()]
+    tops = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == letter]
+    ranges: list[list[int]] = []
+    for c in sorted({*tops, *(c for a, b in extra for c in range(a, b + 1))}):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+def later_lower() -> dict[int, int]:
+    out = {}
+    for r in LATER_CAPITALS.split():
+        (a, b), to = (int(x, 16) for x in r.split(":")[0].split("-")), int(r.split(":")[1], 16)
+        out |= {c: to + c - a for c in range(a, b + 1)}
+    return out
+
+
+@lru_cache(maxsize=1)
+def pieces() -> str:
+    """Pieces of text that are encoded on their own (the alternatives are fixed values of this vocabulary)."""
+    letters, numbers = category("L", LATER_LETTERS), category("N", LATER_NUMBERS)
+    return rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|(?:(?!{SPACE})[^{letters}{numbers}])+"
 
 
 def byte_letters() -> list[str]:
@@ -75,7 +115,9 @@ class WordBpe:
         self.letters = byte_letters()
         self.table = str.maketrans({chr(b): c for b, c in enumerate(self.letters)})
         self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
-        self.space, self.pieces = regex.compile(SPACE + "+"), regex.compile(PIECES)
+        self.space, self.pieces = regex.compile(SPACE + "+"), regex.compile(pieces())
+        self.later = later_lower()
+        self.has_later = regex.compile("[" + "".join(map(chr, self.later)) + "]")
         self.known: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
 
@@ -85,6 +127,8 @@ class WordBpe:
         """Normalised pieces of a text without special tokens."""
         text = unicodedata.normalize("NFC", text)
         text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+        if not text.isascii() and self.has_later.search(text):
+            text = text.translate(self.later)
         return self.pieces.findall(text)
 
     def spelled(self, word: str) -> str:
