@@ -4,14 +4,16 @@ Base spans come from three fixed patterns and always stay. A looser proposal pat
 finds every other token that could be a credential; a small convolutional network in numpy
 reads the token with the characters around it and scores it. The network is fitted on
 labelled findings: generated credentials and harmless look-alikes in generated contexts.
-Its scores are calibrated by isotonic steps on held-out findings, and the threshold is
-the highest one that still keeps RECALL of the held-out credentials.
+Its scores are calibrated by isotonic steps on held-out findings. A candidate is marked where
+its probability reaches the threshold: EVEN, or less where EVEN would not keep RECALL of
+the held-out credentials.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,8 +37,8 @@ BEFORE, INSIDE, AFTER = 16, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
 #: Findings the network is fitted on, and of these the share held out for calibration.
 FINDINGS, HELD_OUT = 6000, 3
-#: Share of held-out credentials that the threshold must keep, and the least precision it must have.
-RECALL, PRECISION = 0.97, 0.99
+#: Share of held-out credentials that the threshold must keep, and the probability from which it need not go higher.
+RECALL, EVEN = 0.97, 0.5
 CLASSES = 40
 
 
@@ -70,15 +72,21 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             joined[-1] = (joined[-1][0], max(e, joined[-1][1]))
         else:
             joined.append((s, e))
-    return [(s, e) for s, e in joined if not covered(s, e, base)]
+    starts, ends = union(base)
+    return [(s, e) for s, e in joined if not ((at := bisect_right(starts, s) - 1) >= 0 and e <= ends[at])]
 
 
-def covered(s: int, e: int, base: list[tuple[int, int, int]]) -> bool:
-    """Whether base spans (in order of their starts) leave nothing of the span."""
-    for b, _, end in base:
-        if b <= s < end:
-            s = end
-    return s >= e
+def union(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what spans in order of their starts cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, _, e in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(e, ends[-1])
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
 
 
 def pieces(s: int, e: int) -> list[tuple[int, int]]:
@@ -227,9 +235,15 @@ def calibrated(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.n
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
+def probability(z: np.ndarray, edges: np.ndarray, probs: np.ndarray) -> np.ndarray:
+    """The calibration step of each score; scores below all steps have none."""
+    at = np.searchsorted(edges, z, side="right") - 1
+    return np.where(at < 0, 0.0, probs[np.maximum(at, 0)])
+
+
 @lru_cache(maxsize=1)
 def model() -> tuple[CharCnn, float, np.ndarray, np.ndarray]:
-    """The fitted network, its threshold on the raw score, and its calibration steps."""
+    """The fitted network, its threshold as a probability, and its calibration steps."""
     made = list(findings())
     x = np.concatenate([windows(t, [(s, e)]) for t, s, e, _ in made])
     y = np.array([b for *_, b in made], float)
@@ -237,27 +251,23 @@ def model() -> tuple[CharCnn, float, np.ndarray, np.ndarray]:
     net = CharCnn().fit(x[~out], y[~out])
     z = net.scores(x[out])
     edges, probs = calibrated(z, y[out])
-    bad = np.sort(z[y[out] == 1])
-    kept = bad[int((1 - RECALL) * len(bad))]  # the highest threshold that keeps RECALL
-    order = np.argsort(-z)
-    right = np.cumsum(y[out][order]) / np.arange(1, len(z) + 1)
-    sharp = z[order][np.flatnonzero(right >= PRECISION)[-1]] if (right >= PRECISION).any() else kept
-    return net, float(min(kept, max(sharp, kept - 4))), edges, probs
+    found = np.sort(probability(z[y[out] == 1], edges, probs))
+    return net, float(min(EVEN, found[int((1 - RECALL) * len(found))])), edges, probs
 
 
 def scan(texts: list[str], fitted: tuple | None = None) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(base spans, added spans) of each text, as (start, kind, end)."""
-    net, threshold, _, _ = fitted or model()
+    net, threshold, edges, probs = fitted or model()
     base = [base_spans(t) for t in texts]
     proposed = [candidates(t, b) for t, b in zip(texts, base, strict=True)]
     read = [[[(s, e)] + (pieces(s, e) if e - s > INSIDE else []) for s, e in p] for p in proposed]  # both ends at once, then all parts
-    x = [windows(t, sum(r, [])) for t, r in zip(texts, read, strict=True) if r]
-    z = net.scores(np.concatenate(x)) if x else np.zeros(0)
+    x = [windows(t, [span for parts in r for span in parts]) for t, r in zip(texts, read, strict=True) if r]
+    p_of = probability(net.scores(np.concatenate(x)), edges, probs) if x else np.zeros(0)
     out, at = [], 0
     for b, p, r in zip(base, proposed, read, strict=True):
         added = []
         for (s, e), parts in zip(p, r, strict=True):
-            if z[at : at + len(parts)].max() >= threshold:
+            if p_of[at : at + len(parts)].max() >= threshold:
                 added.append((s, 3, e))
             at += len(parts)
         out.append((b, added))
