@@ -75,7 +75,10 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = ("do
     """
     h = F.md5(F.concat(F.lit(plan.seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("doc_id").alias("__id"), h.alias("__h"), word_count(F.col(text)).alias("size"), F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source))).alias("skey"))
-    rows = rows.withColumn("slice", F.substring("__h", 1, SLICE_DIGITS))
+    # rows without doc_id have one hash: inside its slice they go by their size, as in the order
+    null, slice_ = F.md5(F.lit(plan.seed + ":")), F.substring("__h", 1, SLICE_DIGITS)
+    parted = F.when(F.col("__h") < null, "0").when(F.col("__h") == null, F.concat(F.lit("1"), F.lpad(F.col("size").cast("string"), 12, "0"))).otherwise("2")
+    rows = rows.withColumn("slice", F.concat(slice_, F.when(slice_ == F.substring(null, 1, SLICE_DIGITS), parted).otherwise("")))
     within = Window.partitionBy("skey", "slice")
     rows = materialise(rows.withColumn("__cum", F.sum("size").over(within.orderBy("__h", "__id", "size").rowsBetween(Window.unboundedPreceding, 0))), files_for(docs))
 
