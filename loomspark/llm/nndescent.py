@@ -30,15 +30,15 @@ from pyspark.sql import functions as F
 from .common import bound_batches, discard, files_for, materialise
 
 #: Neighbours of a node in the graph, and in the lists that search walks (both directions, then random links).
-NEIGHBOURS, WALKED, RANDOM = 32, 48, 2
+NEIGHBOURS, WALKED, RANDOM = 24, 40, 2
 #: Tables of random sign patterns for the first graph, classes aimed at for one bucket, and for one random bucket.
 TABLES, BUCKET, DEALT = 6, 128, 32
 #: Members of a block, pairs a member passes on from a block, rounds at most.
-BLOCK, PASSED, ROUNDS = 128, 10, 6
+BLOCK, PASSED, ROUNDS = 128, 10, 4
 #: Nodes of a query's beam, and nodes expanded at a time.
 BEAM, STEP = 200, 100
 #: A round that renews a smaller share of the neighbours than this is the last.
-RENEWED = 0.01
+RENEWED = 0.02
 #: Queries that one task serves from one list in a step.
 SERVED = 512
 #: Nodes and queries of one block where a query is compared with everything.
@@ -163,7 +163,9 @@ def _offers(links: DataFrame, members: DataFrame, k: int, turn: int) -> DataFram
     Groups of more than two blocks, such as hubs, are split by a hash of the member.
     """
     large = links.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK)
-    large = materialise(large.select("group", F.ceil(F.col("n") / BLOCK).alias("ways")))
+    # never empty, so that the join below is planned alike with and without hubs
+    none = links.sparkSession.range(1).select(F.lit(-(1 << 63)).alias("group"), F.lit(1).cast("long").alias("ways"))
+    large = materialise(large.select("group", F.ceil(F.col("n") / BLOCK).alias("ways")).unionByName(none))
     part = F.xxhash64("group", F.pmod(F.xxhash64("id", F.lit(turn)), "ways"))
     split = links.join(large, "group", "left").select(F.when(F.col("ways").isNull(), F.col("group")).otherwise(part).alias("group"), "id")
     rows = split.join(members, "id").select("group", "id", "vec", "least")
