@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -89,6 +90,43 @@ def test_html_pages(spark):
     assert htmltext.extract_pages(df.limit(0)).count() == 0
 
 
+#: Pages written by hand, unlike those that the labeller is fitted on: (html, text of the article).
+PAGES = [
+    (
+        """<!doctype html><html><head><title>Harbour news</title><style>body{color:#222}</style></head><body>
+<div class="flex flex-col min-h-screen bg-gray-50"><div class="sticky top-0 z-50"><nav class="navbar" id=site-nav><div class="max-w-7xl mx-auto px-4"><ul class="flex gap-4"><li><a href="/">Home</a></li><li><a href="/world">World</a></li><li><a href="/sport">Sport</a></li></ul></div></nav></div>
+<main class="container mx-auto py-8"><article class="prose lg:prose-xl"><h1>The harbour opens again</h1><p>After two years of work the old harbour opens its gates to visitors this weekend.</p>
+<p>The council said that the quay wall, which dates from 1830, had to be rebuilt stone by stone.</p><div class="advertisement"><p>Buy two shoes, get one free!</p></div><p>Ferries leave every hour from the new pier.</p></article></main>
+<footer class="footer bg-black"><div class="grid grid-cols-4 gap-8"><div class="col"><p class="text-sm text-gray-500">&copy; 2024 Harbour News. All rights reserved.</p></div></div></footer></div></body></html>""",
+        "The harbour opens again\nAfter two years of work the old harbour opens its gates to visitors this weekend.\nThe council said that the quay wall, which dates from 1830, had to be rebuilt stone by stone.\nFerries leave every hour from the new pier.",
+    ),
+    (
+        """<html><body><div id="header"><a href="/">My garden diary</a></div><div id="sidebar"><h3>Archive</h3><ul><li><a href=/1>January</a><li><a href=/2>February</a></ul></div>
+<div id="content"><div class="post"><h2>Planting beans</h2><p title=Don't>Beans like warm soil, so I wait until the middle of May.<p>I soak the seeds overnight and set them two inches deep.
+<blockquote>A bean in time saves nine.</blockquote></div></div><div id="comments"><h3>2 comments</h3><div class="comment"><p>Great advice, thank you so much!</p></div><div class="comment"><p>Mine never come up.</p></div></div>
+<div id="footer">Powered by a small blog engine</div></body></html>""",
+        "Planting beans\nBeans like warm soil, so I wait until the middle of May.\nI soak the seeds overnight and set them two inches deep.\nA bean in time saves nine.",
+    ),
+]
+
+
+def test_html_of_other_layouts():
+    """All blocks of the articles, and at most one block too many."""
+    for page, want in PAGES:
+        got = htmltext.extract([page])[0].split("\n")
+        assert [x for x in got if x in want.split("\n")] == want.split("\n") and len(got) <= len(want.split("\n")) + 1
+
+
+def test_html_of_hostile_pages():
+    for page in ("<a " * 200_000, "<!" * 200_000, '<a ="' * 100_000, "<div>" * 100_000 + "x", "</p>" * 100_000 + "<div>" * 50_000 + "</p>" * 100_000, "<b>x" * 100_000, "<!--" * 100_000, "x" * 1_000_000):
+        at = time.time()
+        htmltext.blocks(page)
+        assert time.time() - at < 30
+    cut = htmltext.blocks('<div class="one two"><p id=three>a<p>b</div>')
+    assert cut.text == ["a", "b"] and cut.path(0) == ("div", ".one", ".two", "p", ".three") and cut.path(1) == ("div", ".one", ".two", "p")
+    assert htmltext.blocks("<article><p title=Don't>First.</p><p>It's here.</p><p a=\"x>y\" b='z>'>Third</p></article>").text == ["First.", "It's here.", "Third"]
+
+
 # -- 2: urls ------------------------------------------------------------------------------------------
 
 
@@ -110,6 +148,16 @@ def test_url_rules_and_graph(spark):
     assert urlfilter.judge(df).count() == len(rows) and urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_url_ranks_settle(spark):
+    """A chain of links to a large blocked host: more rounds change nothing."""
+    hosts = [f"h{i}.io" for i in range(12)]
+    edges = [(a, b, 1) for a, b in zip(hosts, [*hosts[1:], "bad.net"], strict=True)] + [(h, h, 1) for h in [*hosts, "bad.net"]]
+    edges, seeds = spark.createDataFrame(edges, "src string, dst string, weight long"), spark.createDataFrame([("distrust", "bad.net", 50)], "kind string, host string, weight long")
+    got, more = ({(x["kind"], x["host"]): x["rank"] for x in urlfilter.propagate(edges, seeds, rounds=n).collect()} for n in (None, 90))
+    assert urlfilter.rounds_for(50) == 53 and got.keys() == more.keys() and max(abs(got[k] - more[k]) for k in got) <= urlfilter.TOLERANCE
+    assert abs(sum(got.values()) - 50) < 1e-6 and got["distrust", "h0.io"] > 0.5
+
+
 # -- 3, 4, 9: against SQL ---------------------------------------------------------------------------------
 
 
@@ -409,6 +457,18 @@ def test_bpe_equals_library(spark):
     assert null["n_tokens"] == 0 and null["ids_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_bpe_of_every_code_point():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), bpe.load(path)
+    lib.no_truncation(), lib.no_padding()
+    # planes from the fourth on hold nothing but unassigned, private and tag characters: every 97th of them
+    points = [c for c in (*range(0x30000), *range(0x30000, 0x110000, 97), *range(0xE0000, 0xE0200)) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}b{chr(c)}1" for c in points[at : at + 20_000]]
+        wrong = [hex(ord(t[1])) for t, (raw, _), e in zip(texts, own.encode_many(texts), lib.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(raw, "<u4").tolist() != e.ids]
+        assert not wrong
+
+
 # -- 8: secrets -------------------------------------------------------------------------------------------------------
 
 
@@ -433,8 +493,24 @@ def test_secret_network_on_held_out_findings():
     made = list(secrets.findings(1500, seed=77))
     z = net.scores(np.concatenate([secrets.windows(t, [(s, e)]) for t, s, e, _ in made]))
     y = np.array([b for *_, b in made])
-    assert (z[y == 1] >= threshold).mean() >= 0.95 and y[z >= threshold].mean() >= 0.95
-    assert (np.diff(probabilities) >= 0).all()
+    p = secrets.probability(z, edges, probabilities)
+    assert (p[y == 1] >= threshold).mean() >= 0.95 and y[p >= threshold].mean() >= 0.95
+    assert (np.diff(probabilities) >= 0).all() and 0 < threshold <= secrets.EVEN
+    assert secrets.probability(np.array([edges[0] - 1]), edges, probabilities) == 0
+
+
+def test_secrets_of_very_long_texts():
+    text = ("password=abcdefghijkl12 ghp_aB3xK9qZ7Lm2Nw8Rt5Vy1Cd4Ef6Gh0Jk9 word word " * 60_000)[:4_000_000]
+    at = time.time()
+    ((base, added),) = secrets.scan([text])
+    assert len(base) == text.count("password=abcdefghijkl12") and len(added) > 50_000 and time.time() - at < 120
+    ((base, added),) = secrets.scan(["aB3xK9qZ" * 100_000])
+    assert added == [(0, 3, 800_000)]
+
+
+def test_secrets_of_empty_tables(spark):
+    df = docs_of(spark, ["x"]).limit(0)
+    assert secrets.scan_documents(df).count() == 0 and bpe.encode_documents(df, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
 def test_secret_scan(spark):
