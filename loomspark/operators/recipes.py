@@ -238,7 +238,11 @@ def tool_call_solution(df: DataFrame) -> DataFrame:
 @recipe
 def nested_preference(df: DataFrame) -> DataFrame:
     """context turns, chosen and rejected {text}: the chosen one closes the conversation."""
-    past = messages_of(F.col("context"), df.schema["context"].dataType.elementType.names) if "role" in df.schema["context"].dataType.elementType.names else F.transform("context", lambda t: message(F.when(t["role"] == "human", "user").otherwise("assistant"), t["text"]))
+    names = df.schema["context"].dataType.elementType.names
+    if "text" in names:
+        past = F.transform("context", lambda t: message(F.when(t["role"].isin("human", "user"), "user").otherwise("assistant"), t["text"]))
+    else:
+        past = messages_of(F.col("context"), names)
     return df.withColumn("messages", F.concat(past, F.array(message("assistant", F.col("chosen.text"))))).withColumn("rejected_response", F.col("rejected.text"))
 
 
