@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bind import let
@@ -96,10 +96,14 @@ def padded(values: Column, size: Column, pad: Column, left: bool = False) -> Col
 
 
 def collate(df: DataFrame, batch: str, ids: str = "input_ids", labels: str = "labels", pad: int = 0, multiple: int = 1) -> DataFrame:
-    """Pad every row of a batch to its longest one: ids, labels, attention mask."""
-    longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
-    size = (F.ceil(longest / multiple) * multiple).cast("int")
-    out = df.withColumn("__s", size).withColumn("attention_mask", F.transform(ids, lambda _: F.lit(1)))
+    """Pad every row of a batch to its longest one: ids, labels, attention mask.
+
+    The longest length of a batch is one pre-aggregated number that is joined back; the token
+    arrays themselves are shuffled only where that side is too large to broadcast.
+    """
+    longest = df.groupBy(F.col(batch).alias("__b")).agg(F.max(F.size(ids)).alias("__m"))
+    size = (F.ceil(F.col("__m") / multiple) * multiple).cast("int")
+    out = df.join(longest, F.col(batch).eqNullSafe(F.col("__b"))).withColumn("__s", size).drop("__b", "__m").withColumn("attention_mask", F.transform(ids, lambda _: F.lit(1)))
     for c, p in ((ids, pad), (labels, MASKED), ("attention_mask", 0)):
         out = out.withColumn(c, padded(F.col(c), F.col("__s"), F.lit(p)))
     return out.drop("__s")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sampling import ordered_positions
+from .sampling import key_blocks, ordered_positions
 
 #: Rows that are packed together; bins never cross chunks in the independent mode.
 CHUNK = 1000
@@ -101,17 +101,15 @@ def total_length(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def blocks(df: DataFrame, key: str, tokens: str, size: int, width: int = 1 << 16) -> DataFrame:
+def blocks(df: DataFrame, key: str, tokens: str, size: int) -> DataFrame:
     """All tokens in key order, cut into blocks of size; the incomplete last block goes.
 
-    Offsets come from sums over blocks of width keys, so no window runs over all rows; rows are
+    Offsets come from sums over ranges of the key, so no window runs over all rows; rows are
     then split at block edges and only the pieces are regrouped.
     """
-    rows = df.withColumn("__r", F.floor(F.col(key) / width)).withColumn("__n", F.size(tokens).cast("long"))
-    before = rows.groupBy("__r").agg(F.sum("__n").alias("s"))
-    before = before.select("__r", (F.sum("s").over(Window.orderBy("__r")) - F.col("s")).alias("__b"))
+    rows = key_blocks(df.withColumn("__n", F.size(tokens).cast("long")), key, F.col("__n"))
     inside = F.sum("__n").over(Window.partitionBy("__r").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
-    at = rows.withColumn("__i", inside).join(before, "__r").withColumn("__s", F.col("__b") + F.col("__i")).where("__n > 0")
+    at = rows.withColumn("__i", inside).withColumn("__s", F.col("__b") + F.col("__i")).where("__n > 0")
     first, last = F.floor(F.col("__s") / size), F.floor((F.col("__s") + F.col("__n") - 1) / size)
     piece = at.withColumn("block", F.explode(F.sequence(first, last)))
     lo = F.greatest(F.col("block") * size - F.col("__s"), F.lit(0))

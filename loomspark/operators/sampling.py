@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most ranges of an integer key; their sums are the only rows that one window orders.
+MOST_RANGES = 100_000
 #: Leading characters of an order key that name its range (16 ** 3 ranges).
 RANGE_CHARS = 3
 
@@ -37,13 +39,27 @@ def positions(df: DataFrame, order: Column, *ties: str, name: str = "pos", by: l
     return joined.join(before, cond).select(*[joined[c] for c in df.columns], (F.col("__i") + F.col("__b")).cast("long").alias(name))
 
 
-def ordered_positions(df: DataFrame, key: str, name: str = "pos", width: int = 1 << 16) -> DataFrame:
-    """The 0-based position by an integer key; ranges are blocks of width key values."""
-    out = df.withColumn("__r", F.floor(F.col(key) / width))
-    before = out.groupBy("__r").agg(F.count("*").alias("__n"))
-    before = before.withColumn("__b", F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")).drop("__n")
+def key_blocks(df: DataFrame, key: str, size: Column, name: str = "__b", per: int = 1 << 16) -> DataFrame:
+    """Adds __r, the range of an integer key, and the sum of size over all ranges before it.
+
+    Ranges are blocks of key values, as wide as the key's span divided by a number of ranges that follows
+    from the row count, at most MOST_RANGES: dense, sparse and hashed keys all get a bounded number of them.
+    """
+    lo, hi, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
+    ranges = min(MOST_RANGES, -(-n // per) or 1)
+    width = ((hi - lo) // ranges + 1) if n and hi is not None else 1
+    place = F.floor((F.col(key).cast("decimal(20,0)") - F.lit(lo or 0).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
+    out = df.withColumn("__r", place)
+    before = out.groupBy("__r").agg(F.sum(size).alias("__n"))  # one row for each range
+    before = before.select("__r", (F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")).alias(name))
+    return out.join(before, out["__r"].eqNullSafe(before["__r"])).drop(before["__r"])
+
+
+def ordered_positions(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
+    """The 0-based position by an integer key; the windows run inside ranges of the key."""
+    out = key_blocks(df, key, F.lit(1).cast("long"))
     inside = F.row_number().over(Window.partitionBy("__r").orderBy(key)) - 1
-    return out.withColumn("__i", inside).join(before, "__r").select(*df.columns, (F.col("__i") + F.col("__b")).cast("long").alias(name))
+    return out.select(*df.columns, (inside + F.col("__b")).cast("long").alias(name))
 
 
 def sample(df: DataFrame, n: int, key: str, seed: str = "sample") -> DataFrame:

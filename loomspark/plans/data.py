@@ -137,10 +137,10 @@ def dense_groups(spark, sf_dir):
     return combine.dense_ids(_docs(spark, sf_dir, "source"), "source", "doc_id").select("doc_id", F.col("group_id").cast("long").alias("group_id"))
 
 
-@query("select doc_id, coalesce(c.n, 0) as cached, coalesce(c.n, 0) = 2 as hit from documents d left join (select user_id, count(*) as n from events where event_type = 'view' and event_id % 7 = 0 group by user_id) c on d.doc_id = c.user_id")
+@query("select doc_id, coalesce(c.n, 0) as cached, coalesce(c.n, 0) = 2 as hit from documents d left join (select user_id, count(*) as n from events where event_type = 'view' group by user_id) c on d.doc_id = c.user_id")
 def cache_hits(spark, sf_dir):
     """Which rows a cache of results answers in full."""
-    cache = table(spark, sf_dir, "events").where("event_type = 'view' and event_id % 7 = 0").select(F.col("user_id").alias("doc_id"))
+    cache = table(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("user_id").alias("doc_id"))
     return combine.cache_probe(_docs(spark, sf_dir), cache, "doc_id", 2).select("doc_id", "cached", "hit")
 
 
@@ -168,10 +168,10 @@ def rollout_merge(spark, sf_dir):
     return combine.merge_outputs(_docs(spark, sf_dir, "lang").withColumnRenamed("doc_id", "request_id"), outputs).select("event_id", "is_truncated", "lang")
 
 
-@query("select doc_id, count(*) as n, md5(string_agg(event_id::varchar, ',' order by event_id)) as digest from documents join events on doc_id = user_id where doc_id % 3 = 0 group by doc_id")
+@query("select doc_id, count(*) as n, md5(string_agg(event_id::varchar, ',' order by event_id)) as digest from documents join events on doc_id = user_id group by doc_id")
 def request_members(spark, sf_dir):
     """All rows of the requests that are asked for."""
-    wanted = _docs(spark, sf_dir).where("doc_id % 3 = 0")
+    wanted = _docs(spark, sf_dir)
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id", "value")
     m = combine.members(wanted, rows, "doc_id", "event_id", ["value"])
     return m.select("doc_id", F.size("rows").cast("long").alias("n"), F.md5(F.array_join(F.transform("rows", lambda r: r["event_id"].cast("string")), ",")).alias("digest"))
@@ -271,7 +271,8 @@ def packed_positions(spark, sf_dir):
 @query(f"""with t as (select doc_id, doc_id // 8 as b, {IDS} as ids from documents) select doc_id, max(len(ids)) over (partition by b)::bigint as padded, list_sum(ids)::bigint as total, (max(len(ids)) over (partition by b) - len(ids))::bigint as masked from t where len(ids) > 0""")
 def collate(spark, sf_dir):
     """Batches of 8 padded to their longest row."""
-    d = _ids(spark, sf_dir).where(F.size("ids") > 0).withColumn("labels", F.col("ids")).withColumn("batch", F.floor(F.col("doc_id") / 8))
+    some = F.col("text").rlike(r"[^\x20\x09-\x0D]")  # on the text: a filter on the ids would hash every word twice
+    d = table(spark, sf_dir, "documents").where(some).select("doc_id", tokens.token_ids(F.col("text")).alias("ids")).withColumn("labels", F.col("ids")).withColumn("batch", F.floor(F.col("doc_id") / 8))
     c = tokens.collate(d, "batch", "ids", "labels")
     return c.select("doc_id", F.size("ids").cast("long").alias("padded"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size(F.filter("labels", lambda x: x == tokens.MASKED)).cast("long").alias("masked"))
 

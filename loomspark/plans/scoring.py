@@ -57,10 +57,10 @@ def reward_stats(spark, sf_dir):
     return advantage.reward_stats(_events(spark, sf_dir), "user_id", "value")
 
 
-@query("""with b as (select event_id, user_id, (event_type = 'purchase')::int as r from events where event_id < 200), g as (select user_id from b group by user_id having coalesce(stddev_samp(r), 0) > 0 order by min(event_id), user_id limit 5)
+@query("""with b as (select event_id, user_id, (event_type = 'purchase')::int as r from events), g as (select user_id from b group by user_id having coalesce(stddev_samp(r), 0) > 0 order by min(event_id), user_id limit 5)
 select event_id from b where user_id in (select user_id from g)""")
 def dynamic_filter(spark, sf_dir):
-    b = _events(spark, sf_dir).where("event_id < 200").withColumn("r", (F.col("event_type") == "purchase").cast("int"))
+    b = _events(spark, sf_dir).withColumn("r", (F.col("event_type") == "purchase").cast("int"))
     return advantage.dynamic_batch(b, "user_id", "r", "event_id", 5).select("event_id")
 
 
