@@ -3,9 +3,12 @@
 One weight vector is shared by all severity thresholds: P(grade > k) = sigmoid(w.x - t_k)
 with t_0 < t_1 < ...; a document's severity is its expected grade, the sum of these.
 The model is fitted in numpy on a bounded sample of labelled documents (LABELLED), spread
-by hash, of which near copies count once. The label table only says toxic or not; grades
-above 0 come from how densely a toxic document uses the words that set toxic documents
-apart. A document is rejected at the severity that did best on held-out parts.
+by hash, of which near copies count once. Features are all words and word beginnings that
+speak for or against toxicity more than chance allows (BY_CHANCE of them are expected by chance), with
+weights of either sign. The label table only says toxic or not; grades above 0 come from how densely a
+toxic document uses words that set toxic documents apart in the other half of the sample, so no
+document has a part in choosing the words that grade it. A document is rejected at the
+severity that did best on held-out parts.
 """
 
 from __future__ import annotations
@@ -26,14 +29,12 @@ from .common import bound_batches
 
 #: At most this many labelled documents are used for fitting.
 LABELLED = 4000
-#: Hash buckets of words, and features kept at most.
-BUCKETS, FEATURES = 1 << 20, 500
+#: Hash buckets of words.
+BUCKETS = 1 << 20
 #: Severity grades 0..GRADES-1.
 GRADES = 4
-#: Least evidence (log-likelihood ratio) for a word to become a feature, in a large and in a tiny sample.
-EVIDENCE, EVIDENCE_TINY, TINY = 25.0, 10.0, 50
-#: Least share of toxic documents among those with a word that becomes a feature.
-PURITY = 0.6
+#: Words that may become features by chance, on average.
+BY_CHANCE = 5.0
 WORDS = re.compile(r"[^\W\d_]+")
 #: Parts of the sample that are held out in turn for the threshold.
 FOLDS = 3
@@ -120,7 +121,6 @@ def fit_cuts(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 0.003, steps
         g = np.concatenate([x.T @ gz + l2 * p[:f], [tail[0]], tail[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        p[:f] = np.maximum(p[:f], 0)  # a word that speaks for toxicity never lowers the severity
     gaps = np.exp(np.clip(p[f + 1 :], -10, 5))
     return p[:f], p[f] + np.concatenate([[0.0], np.cumsum(gaps)])
 
@@ -137,6 +137,22 @@ def evidence(n1: np.ndarray, n0: np.ndarray, t1: int, t0: int) -> np.ndarray:
     return np.where(n1 * t0 > n0 * t1, g, -g)
 
 
+def least_evidence(words: int) -> float:
+    """The log-likelihood ratio that BY_CHANCE of so many unrelated words would reach (tail of chi-squared, one degree)."""
+    g = 1.0
+    for _ in range(50):
+        g = max(1.0, 2 * math.log(max(words, 1) / BY_CHANCE * math.sqrt(2 / (math.pi * g))))
+    return g
+
+
+def markers(x_at: np.ndarray, owner: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """Signed evidence of each feature in these documents, 0 below least_evidence()."""
+    n1, n0 = np.bincount(x_at, y[owner], size), np.bincount(x_at, 1 - y[owner], size)
+    docs = np.unique(owner)
+    g = evidence(n1, n0, int(y[docs].sum()), int((1 - y[docs]).sum()))
+    return np.where(np.abs(g) >= least_evidence(int((n1 + n0 > 0).sum())), g, 0)
+
+
 def fit(rows: list[tuple[int, int, list[int], list[float], list[int]]], grades: int = GRADES) -> Ordinal:
     """rows: (toxic, words, feature buckets, their values, copy keys) of each labelled document, in a fixed order."""
     seen: set[tuple[int, int]] = set()
@@ -154,37 +170,45 @@ def fit(rows: list[tuple[int, int, list[int], list[float], list[int]]], grades:
     words = np.concatenate([np.asarray(r[2], np.int32) for r in kept])
     tf = np.concatenate([np.asarray(r[3], np.float32) for r in kept])
     names, at = np.unique(words, return_inverse=True)
-    n1, n0 = np.bincount(at, y[owner], len(names)), np.bincount(at, 1 - y[owner], len(names))
-    g = evidence(n1, n0, t1, t0)
-    strong = np.flatnonzero((g >= (EVIDENCE if t1 >= TINY else EVIDENCE_TINY)) & (n1 >= PURITY * (n1 + n0)))
-    strong = strong[np.argsort(-g[strong], kind="stable")][:FEATURES]
+    g = markers(at, owner, y, len(names))
+    strong = np.flatnonzero(g)
     place = np.full(len(names), -1)
     place[strong] = np.arange(len(strong))
     use = place[at] >= 0
     x = np.zeros((len(kept), len(strong)))
     x[owner[use], place[at][use]] = tf[use]
-    # severity of toxic documents: by thirds of the marker words' density
+    # severity of toxic documents: by thirds of the density of the other half's marker words
     length = np.array([max(1, r[1]) for r in kept], float)
-    density = x.sum(1) / length
+    density = np.zeros(len(kept))
+    for half in (0, 1):
+        there = owner % 2 != half
+        if y[np.unique(owner[there])].any():
+            mark = markers(at[there], owner[there], y, len(names)) > 0
+            mine = (owner % 2 == half) & mark[at]
+            density += np.bincount(owner[mine], tf[mine], len(kept)) / length
     grade = y.copy()
     marked = (y == 1) & (density > 0)
     if marked.any():
         for q in np.quantile(density[marked], [k / (grades - 1) for k in range(1, grades - 1)]):
             grade[marked & (density > q)] += 1
     # the threshold comes from severities that each third gets from a model of the other two
-    fold, s, reject = np.arange(len(kept)) % FOLDS, np.zeros(len(kept)), 0.5
+    fold, s, reject = np.arange(len(kept)) % FOLDS, np.zeros(len(kept)), float(grades)
+    known = np.zeros(len(kept), bool)  # whether the words say more than nothing
     if all(y[fold != f].any() for f in range(FOLDS)):
         for f in range(FOLDS):
             w, cuts = fit_cuts(x[fold != f], grade[fold != f], grades)
             s[fold == f] = Ordinal({}, list(cuts), 0).severity(x[fold == f] @ w)
+            known[fold == f] = x[fold == f] @ w > 0
         order = np.argsort(-s, kind="stable")
         hit = np.cumsum(y[order])
         f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
         sorted_s = s[order]
         f1[:-1][sorted_s[:-1] == sorted_s[1:]] = 0  # a cut within equal severities is none
+        f1[~known[order]] = 0  # nor is one that rejects texts without any evidence against them
         best = int(f1.argmax())
-        below = sorted_s[best + 1] if best + 1 < len(s) else 0.0
-        reject = float((sorted_s[best] + below) / 2)
+        if f1[best] > 0:
+            below = sorted_s[best + 1] if best + 1 < len(s) else 0.0
+            reject = float((sorted_s[best] + below) / 2)
     w, cuts = fit_cuts(x, grade, grades)
     return Ordinal({int(names[i]): float(v) for i, v in zip(strong, w, strict=True)}, [float(c) for c in cuts], reject)
 

@@ -587,6 +587,18 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score_documents(df.limit(0), model).count() == 0
 
 
+def test_toxicity_without_evidence_rejects_nothing():
+    """Labels that no word explains, and words that speak against toxicity."""
+    r = random.Random(31)
+    row = lambda y, words: (y, len(words), [toxicity.bucket(w) for w in set(words)], [1.0] * len(set(words)), [r.getrandbits(60) for _ in range(4)])
+    blind = toxicity.fit([row(i % 7 == 0, [f"w{r.randint(0, 300)}" for _ in range(20)]) for i in range(200)])
+    assert not (blind.severity(np.zeros(3)) >= blind.reject).any()
+    told = toxicity.fit([row(y, ["vile" if y else "kind", *(f"w{r.randint(0, 300)}" for _ in range(20))]) for y in [0, 1] * 200])
+    assert told.weights[toxicity.bucket("vile")] > 0 > told.weights[toxicity.bucket("kind")]
+    assert told.severity(np.array([told.score("vile")]))[0] >= told.reject > told.severity(np.array([told.score("kind")]))[0]
+    assert toxicity.least_evidence(20_000) > toxicity.least_evidence(200) > 1
+
+
 # -- the pipeline ----------------------------------------------------------------------------------------------------------------
 
 
