@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -42,21 +43,21 @@ LATER_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1cc
 LATER_CAPITALS = "1c89-1c89:1c8a a7cb-a7cb:264 a7cc-a7cc:a7cd a7ce-a7ce:a7cf a7d2-a7d2:a7d3 a7d4-a7d4:a7d5 a7da-a7da:a7db a7dc-a7dc:19b 10d50-10d65:10d70 16ea0-16eb8:16ebb"
 
 
-def category(letter: str, later: str) -> str:
-    """A character class of the code points whose general category in Unicode 16 starts with letter.
-
-    It comes from Python's tables of Unicode 15.1 and what came later, so that matching depends neither on
-    the version of the regular expression module nor on code points that newer tables add.
-    """
+def category(letter: str, later: str) -> set[int]:
+    """The code points whose general category in Unicode 16 starts with letter: Python's tables of Unicode 15.1 and what came later."""
     extra = [[int(x, 16) for x in r.split("-")] for r in later.split()]
-    tops = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == letter]
-    ranges: list[list[int]] = []
-    for c in sorted({*tops, *(c for a, b in extra for c in range(a, b + 1))}):
-        if ranges and ranges[-1][1] == c - 1:
-            ranges[-1][1] = c
+    return {c for c in range(0x110000) if unicodedata.category(chr(c))[0] == letter} | {c for a, b in extra for c in range(a, b + 1)}
+
+
+def ranges(points: set[int]) -> str:
+    """The inside of a character class."""
+    out: list[list[int]] = []
+    for c in sorted(points):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
         else:
-            ranges.append([c, c])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
 def later_lower() -> dict[int, int]:
@@ -68,10 +69,18 @@ def later_lower() -> dict[int, int]:
 
 
 @lru_cache(maxsize=1)
-def pieces() -> str:
-    """Pieces of text that are encoded on their own (the alternatives are fixed values of this vocabulary)."""
+def pieces() -> tuple[str, str, str]:
+    """Patterns of the pieces that are encoded on their own (the alternatives are fixed values of this vocabulary).
+
+    The first has the classes of Unicode 16 written out, which is right for any text and slow; the second
+    takes them from the regular expression module, which may know another version; the third finds the code
+    points on which the two differ, and the capitals that Python does not know.
+    """
     letters, numbers = category("L", LATER_LETTERS), category("N", LATER_NUMBERS)
-    return rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|(?:(?!{SPACE})[^{letters}{numbers}])+"
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    differ = (letters ^ set(map(ord, regex.findall(r"\p{L}", every)))) | (numbers ^ set(map(ord, regex.findall(r"\p{N}", every)))) | set(later_lower())
+    whole = lambda a, b: rf"'s|'t|'re|'ve|'m|'ll|'d|[{a}]+|[{b}]|(?:(?!{SPACE})[^{a}{b}])+"
+    return whole(ranges(letters), ranges(numbers)), whole(r"\p{L}", r"\p{N}"), f"[{ranges(differ)}]"
 
 
 def byte_letters() -> list[str]:
@@ -115,9 +124,11 @@ class WordBpe:
         self.letters = byte_letters()
         self.table = str.maketrans({chr(b): c for b, c in enumerate(self.letters)})
         self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
-        self.space, self.pieces = regex.compile(SPACE + "+"), regex.compile(pieces())
+        exact, usual, differ = pieces()
+        self.space, self.exact, self.usual, self.differ = regex.compile(SPACE + "+"), regex.compile(exact), regex.compile(usual), regex.compile(differ)
+        # no text without these bytes holds code points from U+1000 on; the versions agree below
+        self.far = re.compile(b"[\xe1-\xf4]") if not regex.search(differ, "".join(map(chr, range(0x1000)))) else re.compile(b"")
         self.later = later_lower()
-        self.has_later = regex.compile("[" + "".join(map(chr, self.later)) + "]")
         self.known: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
 
@@ -127,9 +138,9 @@ class WordBpe:
         """Normalised pieces of a text without special tokens."""
         text = unicodedata.normalize("NFC", text)
         text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
-        if not text.isascii() and self.has_later.search(text):
-            text = text.translate(self.later)
-        return self.pieces.findall(text)
+        if not text.isascii() and self.far.search(text.encode("utf-8", "surrogatepass")) and self.differ.search(text):
+            return self.exact.findall(text.translate(self.later))
+        return self.usual.findall(text)
 
     def spelled(self, word: str) -> str:
         return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.table)
