@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,9 @@ from .bind import let
 from .policy import log_softmax, total
 from .tokens import MASKED
 
+#: Ranges of values that average_rank orders apart.
+RANK_RANGES = 1000
+
 
 def mean_or(x: Column, empty: float = 0.0) -> Column:
     return F.coalesce(F.avg(x), F.lit(empty))
@@ -65,13 +69,20 @@ def similarities(a: Column, b: Column) -> dict[str, Column]:
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Ranks with ties at their mean.
+    """Ranks with ties at their mean; rows whose value is null or NaN go.
 
-    Distinct values are counted first, so only as many rows as there are distinct values are ordered.
+    Distinct values are counted first and dealt to at most RANK_RANGES ranges by their quantiles, so a
+    window orders the values of one range only.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy(value)) - F.col("__n")
-    ranks = counts.select(F.col(value).alias("__v"), (before + (F.col("__n") + 1) / 2).alias(name))
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(value).agg(F.count("*").alias("__n"))
+    marks = [i / RANK_RANGES for i in range(1, RANK_RANGES)]
+    cuts = counts.agg(F.percentile_approx(F.col(value).cast("double"), marks, 4 * RANK_RANGES)).first()[0] or [0.0]
+    ends = [float("-inf"), *sorted({x for x in cuts if abs(x) < float("inf")} or {0.0}), float("inf")]
+    dealt = Bucketizer(splits=ends, inputCol="__v", outputCol="__r").transform(counts.withColumn("__v", F.col(value).cast("double")))
+    sums = dealt.groupBy("__r").agg(F.sum("__n").alias("__m"))  # one row for each range
+    sums = sums.select("__r", (F.sum("__m").over(Window.orderBy("__r")) - F.col("__m")).alias("__b"))
+    before = F.sum("__n").over(Window.partitionBy("__r").orderBy(value)) - F.col("__n") + F.col("__b")
+    ranks = dealt.join(sums, "__r").select(F.col(value).alias("__v"), (before + (F.col("__n") + 1) / 2).alias(name))
     return df.join(ranks, df[value] == ranks["__v"]).drop("__v")
 
 
@@ -112,16 +123,40 @@ def infonce_stats(pairs: DataFrame, batch: str, anchor: str, document: str, key:
     return per.groupBy(batch).agg(F.avg("pos").alias("mean_pos"), F.avg("neg").alias("mean_neg"), F.avg(F.col("pos") - F.col("hard")).alias("margin"), F.avg(F.ln("z") - F.col("pos") / temperature).alias("loss"))
 
 
-def infonce_loss(sims: Column, positive: Column, temperature: float = 0.1, fake_margin: float | None = None) -> Column:
-    """Cross entropy of the positive among similarities; negatives above positive + margin can be left out."""
+def infonce_loss(sims: Column, positive: Column, temperature: float = 0.1, fake_margin: float | None = None, queries: Column | None = None, query: Column | None = None, documents: Column | None = None) -> Column:
+    """Cross entropy of the positive among similarities; negatives above positive + margin can be left out.
+
+    queries: similarities of the row's query to all queries, where place query is its own and counts nothing.
+    documents: similarities of its positive to all documents; the margin leaves none of these out.
+    """
+
+    def others(values: Column, own: Column, most: Column | None) -> Column:
+        fine = lambda s, i: (i != own) if most is None else (i != own) & (s <= most)
+        return F.filter(F.transform(values, lambda s, i: F.when(fine(s, i), s)), lambda s: s.isNotNull())
 
     def of(own: Column) -> Column:
-        kept = sims if fake_margin is None else F.filter(F.transform(sims, lambda s, i: F.when((i == positive) | (s <= own + fake_margin), s)), lambda s: s.isNotNull())
-        return let(lambda k, top: F.ln(total(F.transform(k, lambda s: F.exp((s - top) / temperature)))) + (top - own) / temperature, kept, F.array_max(kept))
+        most = None if fake_margin is None else own + fake_margin
+        parts = [F.array(own), others(sims, positive, most)]
+        if queries is not None:
+            parts.append(others(queries, query, most))
+        if documents is not None:
+            parts.append(others(documents, positive, None))
+        loss = lambda k, top: F.ln(total(F.transform(k, lambda s: F.exp((s - top) / temperature)))) + (top - own) / temperature
+        return let(lambda k: let(lambda top: loss(k, top), F.array_max(k)), F.concat(*parts))
 
     return let(of, F.get(sims, positive))
 
 
+def in_batches(pairs: DataFrame, batch: str, anchor: str, document: str, key: str) -> DataFrame:
+    """Adds place (in its batch, by key) and the similarities qd, qq and dd of each pair to its whole, bounded batch."""
+    lists = pairs.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(anchor).alias("q"), F.col(document).alias("d")))).alias("__l"))
+    rows = pairs.join(lists, batch)
+    scores = lambda a, of: F.transform("__l", lambda x: dot(a, x[of]))
+    q, d = F.col(anchor), F.col(document)
+    place = (F.array_position(F.col("__l.k"), F.col(key)) - 1).cast("int")
+    return rows.select(*pairs.columns, place.alias("place"), scores(q, "d").alias("qd"), scores(q, "q").alias("qq"), scores(d, "d").alias("dd"))
+
+
 def pair_losses(df: DataFrame, a: str, b: str, label: str, margin: float = 0.5) -> DataFrame:
     """Cosine mean squared error, contrastive loss and online contrastive loss of a batch."""
     rows = df.select(cosine(F.col(a), F.col(b)).alias("c"), F.col(label).cast("double").alias("y")).withColumn("d", 1 - F.col("c"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sampling import draw_order, positions
+from .sampling import draw_order, key_blocks, positions
 
 #: Most rows of a lookup side that is broadcast without looking at sizes.
 LOOKUP_ROWS = 10_000
@@ -46,9 +46,10 @@ def distinct_by(df: DataFrame, column: str) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, column: str, order: str, name: str = "group_id") -> DataFrame:
-    """Dense 0-based ids of distinct values in order of first appearance."""
-    first = df.groupBy(column).agg(F.min(order).alias("__first"))
-    ids = first.select(column, (F.dense_rank().over(Window.orderBy("__first")) - 1).alias(name))
+    """Dense 0-based ids of distinct values in order of first appearance; order is an integer column, ties go by value."""
+    first = key_blocks(df.groupBy(column).agg(F.min(order).alias("__first")), "__first", F.lit(1).cast("long"))
+    inside = F.row_number().over(Window.partitionBy("__r").orderBy("__first", column)) - 1
+    ids = first.select(column, (inside + F.col("__b")).cast("long").alias(name))
     return df.join(ids, df[column].eqNullSafe(ids[column])).drop(ids[column])
 
 

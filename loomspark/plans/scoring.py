@@ -229,7 +229,6 @@ h as (select doc_id, list_filter(range(2, len(x) + 1), lambda i: x[i] <> 4) as k
 select sum(c) / sum(n)::double as token_acc, avg((c = n)::int) as seq_acc from s where n > 0""")
 def token_accuracy(spark, sf_dir):
     """Each token predicts the next one; tokens of value 4 are masked."""
-    d = table(spark, sf_dir, "documents").select("doc_id", tokens.token_ids(F.col("text")).alias("t")).select("doc_id", F.transform("t", lambda x: x).alias("t"))
     d = table(spark, sf_dir, "documents").select(F.transform(tokens.words(F.col("text")), lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long") % 5).cast("int")).alias("t"))
     d = d.select("t", F.transform("t", lambda x: F.when(x == 4, tokens.MASKED).otherwise(x)).alias("l"))
     return metrics.token_accuracy(d, "t", "l")
@@ -249,6 +248,22 @@ def infonce(spark, sf_dir):
     return metrics.infonce_stats(p, "batch", "embedding", "other", "vec_id")
 
 
+DOTS = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::double * {1}[i]::double))"
+
+
+@query(f"""with p as (select vec_id // 16 as batch, vec_id, a, b from ({PAIRS})),
+s as (select p.batch, p.vec_id, p.vec_id = q.vec_id as own, {DOTS.format('p.a', 'q.b')} as qd, {DOTS.format('p.a', 'q.a')} as qq, {DOTS.format('p.b', 'q.b')} as dd from p join p q on p.batch = q.batch),
+t as (select *, max(case when own then qd end) over (partition by vec_id) as pos from s),
+k as (select vec_id, any_value(pos) as pos, max(greatest(qd, qq, dd)) as top from t group by vec_id)
+select t.vec_id, ln(sum(exp((pos - top) / 0.1::double) * own::int + case when own then 0 else exp((dd - top) / 0.1::double) + case when qd <= pos + 0.1::double then exp((qd - top) / 0.1::double) else 0 end + case when qq <= pos + 0.1::double then exp((qq - top) / 0.1::double) else 0 end end)) + (any_value(top) - any_value(pos)) / 0.1::double as loss
+from t join (select vec_id, top from k) using (vec_id) group by t.vec_id""")
+def infonce_terms(spark, sf_dir):
+    """Loss of each pair against the documents and queries of its batch, and of its document against the others."""
+    p = _pairs(spark, sf_dir).withColumn("batch", F.floor(F.col("vec_id") / 16))
+    b = metrics.in_batches(p.select("batch", "vec_id", "embedding", "other"), "batch", "embedding", "other", "vec_id")
+    return b.select("vec_id", metrics.infonce_loss(F.col("qd"), F.col("place"), 0.1, 0.1, F.col("qq"), F.col("place"), F.col("dd")).alias("loss"))
+
+
 @query(f"""with d as (select y, {DOT} / (sqrt({DOT.replace('b[i]', 'a[i]')}) * sqrt({DOT.replace('a[i]', 'b[i]')})) as c from ({PAIRS})), e as (select y, c, 1 - c as d from d),
 t as (select max(case when y = 1 then d end) as pmax, min(case when y = 0 then d end) as nmin from e)
 select avg((c - y) * (c - y)) as cosine_mse, avg(0.5::double * (y * d * d + (1 - y) * greatest(0.5::double - d, 0) * greatest(0.5::double - d, 0))) as contrastive,

@@ -292,3 +292,39 @@ def test_own_catalog_and_prompts(spark):
     assert 0.7 < sum(g != "z" for g in got) / 400 < 0.9 and len(set(got)) == 3
     call = spark.createDataFrame([('{"a": "1"}',)], "a string").select(tools.coder_calls(F.array(F.lit("f")), F.array("a")).alias("t"))
     assert [tuple(x) for x in call.select(tools.tool_calls(F.col("t"), "qwen_coder")).first()[0]] == [("f", '{"a":"1"}')]
+
+
+def test_ranks_over_many_ranges(spark):
+    values = [float(i * 7919 % 3001) for i in range(5000)] + [float("inf"), float("-inf"), None, float("nan"), -0.5, -0.5]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
+    got = {r["id"]: r["k"] for r in metrics.average_rank(df, "v", "k").collect()}
+    fine = {i: v for i, v in enumerate(values) if v is not None and v == v}
+    places: dict = {}
+    for at, v in enumerate(sorted(fine.values()), 1):
+        places.setdefault(v, []).append(at)
+    assert got == {i: sum(places[v]) / len(places[v]) for i, v in fine.items()}
+    assert metrics.average_rank(df.limit(0), "v", "k").count() == 0
+
+
+def test_dense_ids_of_ties_and_nulls(spark):
+    df = spark.createDataFrame([(5, "b"), (5, "a"), (1, None), (9, "c"), (2, "c")], "at long, v string")
+    got = {(r["at"], r["v"]): r["group_id"] for r in combine.dense_ids(df, "v", "at").collect()}
+    assert got == {(1, None): 0, (2, "c"): 1, (9, "c"): 1, (5, "a"): 2, (5, "b"): 3}
+    assert combine.dense_ids(df.limit(0), "v", "at").count() == 0
+
+
+def test_infonce_terms(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    q, d = rng.normal(size=(2, 6, 4))
+    q, d = q / np.linalg.norm(q, axis=1, keepdims=True), d / np.linalg.norm(d, axis=1, keepdims=True)
+    df = spark.createDataFrame([(0, i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(q, d, strict=True))], "b int, k long, q array<double>, d array<double>")
+    own = np.eye(6, dtype=bool)
+    qd, qq, dd = q @ d.T, np.where(own, -np.inf, q @ q.T), np.where(own, -np.inf, d @ d.T)
+    most = np.diag(qd)[:, None] + 0.1
+    for margin, parts in ((None, [qd, qq, dd]), (0.1, [np.where(qd > most, -np.inf, qd), np.where(qq > most, -np.inf, qq), dd])):
+        want = np.log(np.exp(np.concatenate(parts, 1) / 0.1).sum(1)) - np.diag(qd) / 0.1
+        loss = metrics.infonce_loss(F.col("qd"), F.col("place"), 0.1, margin, F.col("qq"), F.col("place"), F.col("dd"))
+        got = metrics.in_batches(df, "b", "q", "d", "k").select("k", loss.alias("loss")).orderBy("k").collect()
+        assert np.allclose([r["loss"] for r in got], want)
