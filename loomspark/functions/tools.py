@@ -138,28 +138,6 @@ def described_tool(tool: Column) -> Column:
     return F.concat(F.get_json_object(inner, "$.name"), F.lit(": "), F.coalesce(F.get_json_object(inner, "$.description"), F.lit("")))
 
 
-def react_prompt(tools: Column) -> Column:
-    """A system prompt that lists tools and the Action form."""
-    names = F.array_join(F.transform(tools, lambda t: F.get_json_object(F.coalesce(F.get_json_object(t, "$.function"), t), "$.name")), ",")
-    return F.concat(
-        F.lit("Answer the following questions as best you can. You have access to the following tools:\n\n"), F.array_join(F.transform(tools, described_tool), "\n\n"),
-        F.lit("\n\nUse the following format:\n\nQuestion: the input question you must answer\nThought: you should always think about what to do\nAction: the action to take, should be one of ["), names,
-        F.lit("]\nAction Input: the input to the action\nObservation: the result of the action\n... (this can be repeated zero or more times)\nThought: I now know the final answer\nFinal Answer: the final answer to the original input question\n\nBegin!\n"),
-    )
-
-
-def hermes_prompt(tools: Column, system: Column) -> Column:
-    """The system text followed by tool signatures inside <tools> tags."""
-    return F.concat(system, F.lit("\n\n# Tools\n\nYou may call one or more functions to assist with the user query.\n\n<tools>\n"), F.array_join(F.transform(tools, wrapped_tool), "\n"), F.lit("\n</tools>\n\nFor each call, return a JSON object with name and arguments inside <tool_call></tool_call> tags."))
-
-
-def qwen_prompt(tools: Column, system: Column, parallel: bool = False) -> Column:
-    """The system text with function descriptions and the keyword form of calls."""
-    each = F.transform(tools, lambda t: F.concat(F.lit("### "), described_tool(t), F.lit("\nParameters: "), F.coalesce(F.get_json_object(F.coalesce(F.get_json_object(t, "$.function"), t), "$.parameters"), F.lit("{}"))))
-    form = "\n".join(f"{k} ..." for k in (QWEN_KEYS[:2] * (2 if parallel else 1) + QWEN_KEYS[2:]))
-    return F.concat(system, F.lit("\n\n# Tools\n\n"), F.array_join(each, "\n\n"), F.lit(f"\n\nCall functions in this form:\n\n{form}"))
-
-
 def qwen_calls(names: Column, arguments: Column) -> Column:
     return react_calls(names, arguments, QWEN_KEYS)
 

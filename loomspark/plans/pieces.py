@@ -6,7 +6,7 @@ import asyncio
 
 from pyspark.sql import functions as F
 
-from ..functions import encode, extend, lossmask, metrics, render, rewards, tokens, tools
+from ..functions import encode, extend, lossmask, metrics, prompts, render, rewards, tokens, tools
 from ..operators import advantage, combine, expand, filters, normalize, packing, sampling
 from ..streaming import streams
 from .chat import CONV, REST, conversations
@@ -252,13 +252,42 @@ def tool_prompts(spark, sf_dir):
     """System prompts name every tool; a choice with its thinking."""
     tool = words('{"name":"', LANG(), '","description":"', SRC(), '","parameters":{"a":1}}')
     has = lambda text, *parts: F.contains(text, words(*parts))
-    react, qwen, hermes = tools.react_prompt(F.array(tool)), tools.qwen_prompt(F.array(tool), H(), True), tools.hermes_prompt(F.array(tool), H())
+    react, qwen, hermes = prompts.react_prompt(F.array(tool)), prompts.qwen_prompt(F.array(tool), H(), True), prompts.hermes_prompt(F.array(tool), H())
     return docs(spark, sf_dir).select(
-        "doc_id", (has(react, LANG(), ": ", SRC()) & has(react, "should be one of [", LANG(), "]")).alias("react"), (qwen.startswith(H()) & has(qwen, "### ", LANG(), ": ", SRC(), "\nParameters: ", '{"a":1}') & (F.regexp_count(qwen, F.lit("✿ARGS✿")) == 2)).alias("qwen"),
-        (hermes.startswith(H()) & has(hermes, "<tools>\n", tools.wrapped_tool(tool), "\n</tools>")).alias("hermes"), rewards.thought_choice(LANG(), H()).alias("thought"),
+        "doc_id", (has(react, LANG(), " API useful for? ", SRC()) & has(react, "should be one of [", LANG(), "]")).alias("react"), (qwen.startswith(H()) & has(qwen, "### ", LANG(), "\n\n", LANG(), ": ", SRC(), " Parameters: ", '{"a": 1}') & (F.regexp_count(qwen, F.lit("✿ARGS✿")) == 3)).alias("qwen"),
+        (hermes.startswith(H()) & has(hermes, "<tools>\n", prompts.wrapped_tool(tool), "\n</tools>")).alias("hermes"), rewards.thought_choice(LANG(), H()).alias("thought"),
     )
 
 
+def _sql_prompt(text: str, tools_: str, system: str = "''") -> str:
+    """Digest of a fixed prompt text in SQL, with its places filled in."""
+    return f"md5(replace(replace(replace('{text.replace("'", "''")}', '{{system}}', {system}), '{{names}}', a || ',' || b), '{{tools}}', {tools_}))"
+
+
+def _sql_tools(form: str) -> str:
+    one = lambda name, human, about, parameters: f"replace(replace(replace(replace('{form}', '{{name}}', {name}), '{{human}}', {human}), '{{about}}', {about}), '{{parameters}}', {parameters})"
+    return f"{one('a', 'a', 's', 'p')} || {NL} || {NL} || {one('b', 'h', 's', QUOTED_EMPTY)}"
+
+
+QUOTED_EMPTY = "'{}'"
+TWO = """w as (select '{"type": "function", "function": ' || j || '}' as x, '{"type": "function", "function": ' || k || '}' as y, * from t)"""
+
+
+@query(f"""with {DOCS}, s as (select doc_id, h, source as s, 'f_' || lang as a, 'g_' || source as b, '{{"type": "object", "properties": {{"a,b": ["c:d", 1], "e": ' || '"' || h || '"' || '}}}}' as p from d),
+t as (select *, '{{"name": "' || a || '", "description": "' || s || '", "parameters": ' || p || '}}' as j, '{{"name": "' || b || '", "name_for_human": "' || h || '", "description": "' || s || '"}}' as k from s), {TWO}
+select doc_id, {_sql_prompt(prompts.REACT_EN, _sql_tools(prompts.REACT_TOOL["en"]))} as react_en, {_sql_prompt(prompts.REACT_ZH, _sql_tools(prompts.REACT_TOOL["zh"]))} as react_zh, {_sql_prompt(prompts.REACT_GRPO, _sql_tools(prompts.REACT_TOOL["en"]))} as react_grpo,
+{_sql_prompt(prompts.QWEN_EN, _sql_tools(prompts.QWEN_TOOL["en"]), "h")} as qwen_en, {_sql_prompt(prompts.QWEN_ZH, _sql_tools(prompts.QWEN_TOOL["zh"]), "h")} as qwen_zh, {_sql_prompt(prompts.QWEN_EN_PARALLEL, _sql_tools(prompts.QWEN_TOOL["en"]), "h")} as qwen_en_many, {_sql_prompt(prompts.QWEN_ZH_PARALLEL, _sql_tools(prompts.QWEN_TOOL["zh"]), "h")} as qwen_zh_many,
+{_sql_prompt(prompts.HERMES, f"x || {NL} || y", "h")} as hermes, {_sql_prompt(prompts.YOUTU, f"'```json' || {NL} || x || {NL} || '```' || {NL} || '```json' || {NL} || y || {NL} || '```'", f"h || {NL} || {NL}")} as youtu, {_sql_prompt(prompts.TOOLBENCH, "'[' || j || ', ' || k || ']'")} as toolbench from w""")
+def tool_prompt_texts(spark, sf_dir):
+    """Whole texts of all tool prompts, as digests; one tool is wrapped, one has a name for readers and no parameters."""
+    first = words('{"type":"function","function":{"name":"f_', LANG(), '","description":"', SRC(), '","parameters":{"type":"object","properties":{"a,b":["c:d",1],"e":"', H(), '"}}}}')
+    second = words('{"name":"g_', SRC(), '", "name_for_human":"', H(), '","description":"', SRC(), '"}')
+    t, s = F.array(first, second), H()
+    texts = {"react_en": prompts.react_prompt(t), "react_zh": prompts.react_prompt(t, "zh"), "react_grpo": prompts.react_prompt(t, "grpo"), "hermes": prompts.hermes_prompt(t, s), "youtu": prompts.youtu_prompt(t, s), "toolbench": prompts.toolbench_prompt(t)}
+    texts |= {f"qwen_{lang}{'_many' if many else ''}": prompts.qwen_prompt(t, s, many, lang) for lang in ("en", "zh") for many in (False, True)}
+    return docs(spark, sf_dir).select("doc_id", *[F.md5(x).alias(name) for name, x in texts.items()])
+
+
 # -- user code, metrics ------------------------------------------------------------------------
 
 

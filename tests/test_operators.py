@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.functions import lossmask, metrics, policy, render, tokens, tools
+from loomspark.functions import lossmask, metrics, policy, prompts, render, tokens, tools
 from loomspark.operators import combine, expand, filters, normalize, packing, recipes, sampling
 from loomspark.sources import catalog, sinks
 
@@ -328,3 +328,22 @@ def test_infonce_terms(spark):
         loss = metrics.infonce_loss(F.col("qd"), F.col("place"), 0.1, margin, F.col("qq"), F.col("place"), F.col("dd"))
         got = metrics.in_batches(df, "b", "q", "d", "k").select("k", loss.alias("loss")).orderBy("k").collect()
         assert np.allclose([r["loss"] for r in got], want)
+
+
+def test_tool_prompts_of_odd_descriptions(spark):
+    wrapped = {"type": "function", "function": {"name": "f", "description": 'say "a, b: c"', "parameters": {"k": ["x:y", 1.5, None], "中": {}}}}
+    plain = {"name": "g", "name_for_model": "m", "name_for_human": "G", "description_for_model": "d", "parameters": "a: b,c"}
+    none = {"name": "n", "parameters": {}}
+    texts = [json.dumps(t, indent=1) for t in (wrapped, plain, none)]
+    t = F.array(*map(F.lit, texts))
+    dump = lambda x: json.dumps(x, ensure_ascii=False)
+    row = spark.range(1).select(prompts.react_prompt(t).alias("react"), prompts.hermes_prompt(t, F.lit(None).cast("string")).alias("hermes"), prompts.toolbench_prompt(t).alias("bench"), prompts.youtu_prompt(t, F.lit("")).alias("youtu"), prompts.qwen_prompt(t, F.lit("S"), lang="zh").alias("qwen")).first()
+    inner = wrapped["function"]
+    assert f'What is the f API useful for? {inner["description"]} Parameters: {dump(inner["parameters"])} Format' in row["react"]
+    assert "m: Call this tool to interact with the G API. What is the G API useful for? d Parameters: a: b,c Format" in row["react"]
+    assert "useful for? None Parameters: {} Format" in row["react"] and "one of [f,m,n]\n" in row["react"]
+    shown = [dump(wrapped), *(dump({"type": "function", "function": x}) for x in (plain, none))]
+    assert row["hermes"].startswith("\n\n# Tools") and "<tools>\n" + "\n".join(shown) + "\n</tools>" in row["hermes"]
+    assert row["bench"].endswith("APIs: " + dump([inner, plain, none]))
+    assert row["youtu"].startswith("<|begin_of_tool_description|>") and "\n".join(f"```json\n{x}\n```" for x in shown) in row["youtu"]
+    assert row["qwen"].startswith("S\n\n# 工具\n\n") and "### G\n\nm: d 输入参数：a: b,c 此工具的输入应为JSON对象。" in row["qwen"]
