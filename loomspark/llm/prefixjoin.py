@@ -36,6 +36,8 @@ WORDS_EACH = 3
 PERCENT = 90
 #: Bytes of input for a bucket of hash values (about two million shingles).
 BUCKET_BYTES = 8 << 20
+#: A plan that does not know its size says this or more.
+UNKNOWN = 1 << 60
 #: Members of a path that are compared in a step.
 PIECE = 64
 #: Bits of the hash below the rarity class.
@@ -270,6 +272,8 @@ def candidates(docs: DataFrame, percent: int, k: int, text: str = "text") -> tup
     spark, files = docs.sparkSession, files_for(docs)
     bound_batches(spark)
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0] // 2
     buckets = min(1 << 20, max(2 * spark.sparkContext.defaultParallelism, size // BUCKET_BYTES))
     done = materialise(sketch(docs, buckets, k, text), 0)
     rows = done.where("bucket is null").select("batch", "doc_id", "text_key", "n", "set_key", "key", "own")
