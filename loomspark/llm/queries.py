@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balltree, bpe, htmltext, mixing, neardup, nndescent, prefixjoin, repeats, secrets, spotsigs, toxicity, urlfilter
+from . import balltree, bpe, htmltext, mixing, neardup, nndescent, prefixjoin, repeats, secrets, spelling, spotsigs, toxicity, urlfilter
 from .common import table
 
 #: The vocabulary of the registered query; any other file is a parameter of the operator.
@@ -63,8 +63,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html, op2_url, op3_spotsigs, op4_repeats, op5_neardup, op6_neighbours, op7_bpe, op8_secrets, op9_mixing, op10_toxicity, op11_ngram_join, op12_hard_negatives)
+    f.__name__: f for f in (op1_html, op2_url, op3_spotsigs, op4_repeats, op5_neardup, op6_neighbours, op7_bpe, op8_secrets, op9_mixing, op10_toxicity, op11_ngram_join, op12_hard_negatives, op13_spelling)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_url": urlfilter.SQL, "op3_spotsigs": spotsigs.SQL, "op4_repeats": repeats.SQL, "op5_neardup": neardup.SQL, "op9_mixing": mixing.SQL, "op11_ngram_join": prefixjoin.SQL, "op12_hard_negatives": balltree.SQL}

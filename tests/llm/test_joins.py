@@ -1,13 +1,16 @@
 """Joins on sets, vectors and words against brute force."""
 
+import collections
 import itertools
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm import balltree, clusters, prefixjoin, queries
+from loomspark.llm import balltree, clusters, prefixjoin, queries, spelling
 
 from ..compare import DATA, same
 from .test_corpus import ODD, WORD, docs_of, prose
@@ -177,6 +180,85 @@ def test_ball_trees_prune(monkeypatch):
     assert (np.sort(scores, 1)[:, :-6:-1] == q.score).all() and sum(seen) < 0.3 * 50 * 4000 / 3
 
 
+# -- 13: spelling variants ---------------------------------------------------------------------------------------
+
+
+def brute_variants(rows):
+    n = collections.Counter()
+    for id_, text in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            w = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if id_ is None else id_}:{w}".encode())
+            if h % 97 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            n[w] += 1
+    n = {w: k for w, k in n.items() if len(w) >= 5 and k >= 3}
+    by = collections.defaultdict(set)  # words that agree but for one place
+    for w in n:
+        by[w].add(w)
+        for i in range(len(w)):
+            by[w[:i] + w[i + 1 :]].add(w)
+    near = collections.defaultdict(set)
+    for s in by.values():
+        for a, b in itertools.permutations(s, 2):
+            if one_edit(a, b):
+                near[a].add(b)
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, n[w], len(near[w]), form[w], n[form[w]] if form[w] else None, root))
+    return sorted(out)
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spelled(df):
+    return sorted(tuple(x) for x in df.select("word", "n", "n_near", "form", "form_n", "root").collect())
+
+
+def test_spelling_equals_brute_force(spark):
+    r = random.Random(5)
+    texts = []
+    for letters, length in (("ab", 6), ("abc", 7), ("aé\u00D7Z", 5), ("abcdefghijklmnopqrstuvwxyzÿ", 5)):
+        for _ in range(60):
+            texts.append(" ".join("".join(r.choice(letters) for _ in range(r.randint(4, length + 2))) for _ in range(200)))
+    family = "interoperability"
+    texts += [" ".join(family[:i] + c + family[i + d :] for i in range(len(family)) for d in (0, 1) for c in "éxyi" for _ in range(r.randint(2, 9))) for _ in range(3)]
+    texts += ["aaaaa aaaaaa aaaaaaa aaaaaaaa " * 40, "WORDS words Words1 2words _words-words", "日本 Straße straße STRASSE naïve Naïve\u0131 naïve\u00d7", None, "", "x" * 50000, "prolonged " * 20000]
+    rows = [(i if i % 50 else None, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[4])]
+    df = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    want = brute_variants(rows)
+    assert spelled(spelling.variants(df)) == want and len(want) > 2000 and sum(x[5] != x[3] and x[3] is not None for x in want) > 10
+    more = df.repartition(3).withColumns({c: F.lit("z") for c in ("word", "n", "at", "node", "letter", "copy", "root")})
+    assert spelled(spelling.variants(more)) == want
+    assert spelling.variants(df.limit(0)).count() == 0
+
+
+def test_spelling_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    assert spelled(queries.QUERIES["op13_spelling"](spark, DATA)) == brute_variants(docs)
+
+
+def test_words_per_light_edge(spark):
+    """No word has more light edges than the logarithm of the number of words, twice for ends of words."""
+    r = random.Random(6)
+    words = {"".join(r.choice("abcd") for _ in range(r.randint(5, 12))) for _ in range(1000)}
+    df = spark.createDataFrame([(w, 3) for w in words], "word string, n long")
+    most = spelling.light_edges(df, 4).where("letter != ''").groupBy("word").count().agg(F.max("count")).first()[0]
+    assert most <= 10
+
+
 @pytest.mark.parametrize("name", ["op11_ngram_join", "op12_hard_negatives"])
 def test_join_queries_equal_sql(spark, name):
     same(queries.QUERIES[name](spark, DATA), queries.ORACLE_SQL[name])
