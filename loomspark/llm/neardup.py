@@ -7,12 +7,7 @@
    never its pairs. Connected components of the stars are clusters; a true link lies
    inside a cluster unless all bands miss it (bands_for keeps that below MISSED at the threshold; < 1e-6 at 0.85).
 4. Inside a cluster, centres are compared with all members that are not yet connected to
-   them: the collision-corrected estimate from registers first, then the full sets. Small
-   clusters take every member as a centre in one pass. Large ones go in rounds over blocks
-   of members, a few central centres first, four times as many each round, until no two
-   members that were never centres are unconnected. No pair is skipped, and a large group of
-   near copies needs a round or two, not its square. A task holds BLOCK members and as many
-   centres at most (twice that where the hash is uneven), however large the cluster.
+   them (clusters.py): the collision-corrected estimate from registers first, then the full sets.
 """
 
 from __future__ import annotations
@@ -24,10 +19,11 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, discard, files_for, materialise
+from .clusters import clusters_of, settle
+from .common import bound_batches, discard, files_for, materialise
 from .textvec import shingle_set, words
 
 REGISTERS = 80
@@ -36,8 +32,6 @@ ROWS, MISSED = (4, 2, 1), 5e-5
 MANTISSA = 10
 #: Estimates this far below the threshold are not checked on full sets: six standard errors and more.
 SLACK = 0.25
-#: Clusters up to this size are finished by one task; larger ones in rounds over blocks of so many members.
-SMALL, BLOCK, CENTRES = 200, 1000, 16
 #: Odd multipliers of the register hash functions, from a fixed generator.
 MULTIPLIERS = np.random.default_rng(20).integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = np.random.default_rng(21).integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2)
@@ -137,24 +131,6 @@ def bands_for(percent: int) -> tuple[int, int]:
     raise ValueError(f"{REGISTERS} registers cannot find links at {percent} percent")
 
 
-def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups of a stream that is sorted by the given columns."""
-    rest: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        keys = pdf[by].to_numpy()
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(pdf)]
-        for i, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if i or (rest and tuple(rest[-1][by].iloc[-1]) != tuple(keys[s])):
-                if rest:
-                    yield pd.concat(rest) if len(rest) > 1 else rest[0]
-                rest = []
-            rest.append(pdf.iloc[s:e])
-    if rest:
-        yield pd.concat(rest) if len(rest) > 1 else rest[0]
-
-
 def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
@@ -177,36 +153,6 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, text_key string, n_shingles long, set_key binary, regs binary")
 
 
-def _links(members: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """Exact links (a, b) inside groups (cluster, block, part); rows: id, cluster, block, part, label, centre, regs, hashes.
-
-    With whole, the groups are whole clusters with all members as centres, and the links are
-    those of each member to the least one of its component.
-    """
-    by = ["cluster", "block", "part"]
-    ordered = members.repartition(*by).sortWithinPartitions(*by)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, by):
-            g = g.sort_values(["id", "centre"]).drop_duplicates("id", keep="last")
-            if len(g) < 2:
-                continue
-            regs = np.stack([np.frombuffer(r, np.uint16) for r in g["regs"]])
-            sets = [np.frombuffer(s, np.uint64) for s in g["hashes"]]
-            ids, centre = g["id"].to_numpy(), g["centre"].to_numpy()
-            found, of = _compare(regs, sets, g["label"].tolist(), np.flatnonzero(centre > 0).tolist(), percent)
-            if whole:
-                least = np.full(of.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(least, of, ids)
-                hangs = least[of] != ids
-                yield pd.DataFrame({"a": ids[hangs], "b": least[of][hangs]})
-            elif found:
-                a, b = np.array(found).T
-                yield pd.DataFrame({"a": ids[a], "b": ids[b]})
-
-    return ordered.mapInPandas(run, "a long, b long")
-
-
 def near_classes(docs: DataFrame, percent: int = 85, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, classes): sketch() of every row, and set_key, doc (least doc_id), component of each distinct set.
 
@@ -219,19 +165,16 @@ def near_classes(docs: DataFrame, percent: int = 85, text: str = "text") -> tupl
     done = materialise(sketch(docs, text), 0)  # one task for each piece that is read
     whole = done.where("set_key is not null and doc_id is not null")
     # one row stands for the class; the number is fixed once it is written
-    classes = whole.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("regs").alias("regs"))
-    classes = keep(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", F.col("row.doc_id").alias("doc"), F.col("row.text_key").alias("text_key"), "regs"))
+    classes = whole.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("regs").alias("regs"), F.first("n_shingles").alias("n_shingles"))
+    classes = keep(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", F.col("row.doc_id").alias("doc"), F.col("row.text_key").alias("text_key"), "regs", "n_shingles"))
 
     width = 2 * rows
     bands = classes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.substring(F.col("regs"), i * width + 1, F.lit(width)))).alias("band", "part"))
     bands = bands.select("id", F.xxhash64("part", "band").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     stars = keep(bands.join(buckets, "key").groupBy("id", "least").agg(F.sum("n").alias("weight")))
-    clusters = keep(components(stars.select(F.col("id").alias("a"), F.col("least").alias("b")), files))
-    central = stars.groupBy("id").agg(F.sum("weight").alias("weight"))
-    members = clusters.withColumnRenamed("component", "cluster").join(central, "id", "left").na.fill(0, ["weight"])
-    counts = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    members = keep(members.join(counts, "cluster").join(classes, "id"))
+    members = clusters_of(stars, classes.select("id", (8 * F.col("n_shingles")).alias("bytes")), files)
+    members = keep(members.join(classes.select("id", "doc", "text_key", "regs"), "id"))
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -247,43 +190,17 @@ def near_classes(docs: DataFrame, percent: int = 85, text: str = "text") -> tupl
             yield pdf
 
     with_text = docs.select(F.col("doc_id").cast("long").alias("doc"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("t")).join(members, ["doc", "text_key"])
-    columns = ["id", "cluster", "weight", "n", "regs", "t"]
+    columns = ["id", "cluster", "weight", "n", "blocks", "regs", "t"]
     # as many tasks as the join has: merged partitions of whole texts come out uneven
-    sets = materialise(with_text.select(columns).mapInPandas(hashes, "id long, cluster long, weight long, n long, regs binary, hashes binary"), 0)
-    for old in (stars, clusters, members):
+    sets = materialise(with_text.select(columns).mapInPandas(hashes, "id long, cluster long, weight long, n long, blocks int, regs binary, hashes binary"), 0)
+    for old in (stars, members):
         discard(old)
 
-    one = F.lit(0)
-    small = sets.where(F.col("n") <= SMALL).select("id", "cluster", one.alias("block"), one.alias("part"), F.col("id").alias("label"), F.lit(1).alias("centre"), "regs", "hashes")
-    found = keep(_links(small, percent, True)).select(F.col("a").alias("id"), F.col("b").alias("component"))
-    large = sets.where(F.col("n") > SMALL)
-    state = keep(large.select("id", "cluster", "weight", "n", F.col("id").alias("label"), F.lit(False).alias("was")).dropDuplicates(["id"]))
-    links, last, take = None, None, CENTRES
-    while not state.isEmpty():
-        top = Window.partitionBy("cluster").orderBy(F.desc("weight"), "id")
-        centres = state.where("not was").withColumn("place", F.row_number().over(top)).where(F.col("place") <= take)
-        centres = keep(centres.select("id", "cluster", "n", "label", F.floor((F.col("place") - 1) / BLOCK).cast("int").alias("part")))
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        parts = centres.groupBy("cluster").agg((F.max("part") + 1).alias("parts"))
-        every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
-        targets = state.join(parts, "cluster").select("id", "cluster", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), every(F.col("parts")).alias("part"), "label", F.lit(0).alias("centre"))
-        sent = centres.select("id", "cluster", every(blocks).alias("block"), "part", "label", F.lit(1).alias("centre"))
-        pairs = targets.unionByName(sent).join(large.select("id", "regs", "hashes"), "id")
-        new = keep(_links(pairs, percent, False))
-        links = new if links is None else links.unionByName(new)
-        joined = keep(components(links, files))
-        now = state.drop("label").join(joined.withColumnRenamed("component", "label"), "id", "left").join(centres.select("id", F.lit(True).alias("new")), "id", "left")
-        now = now.select("id", "cluster", "weight", "n", F.coalesce("label", "id").alias("label"), (F.col("was") | F.coalesce("new", F.lit(False))).alias("was"))
-        open_ = now.where("not was").groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cluster")
-        rest = keep(now.join(open_, "cluster", "left_semi"))
-        for old in (state, centres, last):
-            if old is not None:
-                discard(old)
-        state, last = rest, joined
-        take *= 4
-    if links is not None:
-        found = found.unionByName(last)
+    def compare(g: pd.DataFrame, label: np.ndarray, centres: list[int]) -> tuple[list[tuple[int, int]], np.ndarray]:
+        regs = np.stack([np.frombuffer(r, np.uint16) for r in g["regs"]])
+        return _compare(regs, [np.frombuffer(s, np.uint64) for s in g["hashes"]], label, centres, percent)
 
+    found = settle(sets, ["regs", "hashes"], compare, files)
     named = keep(classes.select("id", "set_key", "doc").join(found, "id", "left").select("set_key", "doc", F.coalesce("component", "id").alias("component")))
     discard(sets)
     return done, named
@@ -318,9 +235,10 @@ def without_near_copies(docs: DataFrame, percent: int = 80, text: str = "text")
     stay = linked.groupBy("component").agg(F.min(row).alias("row")).select("row.doc_id", "row.text_key")
     empty = done.where("doc_id is not null and set_key is null").select("doc_id", "text_key")
     stay = materialise(stay.unionByName(empty).distinct(), files_for(docs)).withColumnsRenamed({"doc_id": "__doc", "text_key": "__key"})
-    whole = docs.where("doc_id is not null").withColumns({"__doc": F.col("doc_id").cast("long"), "__key": text_key(F.col(text))})
+    # columns of docs may have any name, so they travel inside a struct
+    whole = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__doc"), text_key(F.col(text)).alias("__key"), F.struct(docs.columns).alias("__row"))
     # rows that repeat merge before the shuffle; should other columns differ, the least row stays
-    once = whole.groupBy("__doc", "__key").agg(F.min(F.struct(docs.columns)).alias("__row"))
+    once = whole.groupBy("__doc", "__key").agg(F.min("__row").alias("__row"))
     return once.join(stay, ["__doc", "__key"], "left_semi").select("__row.*").unionByName(docs.where("doc_id is null"))
 
 

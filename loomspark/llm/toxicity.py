@@ -216,13 +216,16 @@ def fit(rows: list[tuple[int, int, list[int], list[float], list[int]]], grades:
 def fit_from(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Ordinal:
     """Fit on at most limit labelled documents; only their features reach the driver.
 
-    Labels without doc_id or toxic, and labels of absent documents, count for nothing;
+    Of the rows that share a labelled doc_id, the one whose text has the least md5 counts, so that no
+    more than limit rows leave the executors however often an id is repeated. Labels without doc_id or toxic, and labels of absent documents, count for nothing;
     without both classes the model rejects nothing.
     """
     bound_batches(docs.sparkSession)
     some = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most limit rows
+    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    # one row for each id, chosen before the shuffle where a task has several: at most limit rows
+    joined = joined.groupBy("doc_id", "toxic").agg(F.min_by("text", F.md5(F.coalesce("text", F.lit("")))).alias("text"))
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomspark.llm import bpe, common, htmltext, mixing, neardup, nndescent, queries, repeats, secrets, spotsigs, textvec, toxicity, urlfilter
+from loomspark.llm import bpe, clusters, common, htmltext, mixing, neardup, nndescent, queries, repeats, secrets, spotsigs, textvec, toxicity, urlfilter
 
 from ..compare import DATA, same
 
@@ -276,8 +276,8 @@ def changed(r, text, n):
 
 
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 30)
-    monkeypatch.setattr(neardup, "BLOCK", 40)
+    monkeypatch.setattr(clusters, "SMALL", 30)
+    monkeypatch.setattr(clusters, "BLOCK", 40)
     r = random.Random(5)
     texts = [*ODD, "A B c D e", "f g h i", "F G h i"]
     base = prose(r, 150, 5000)
