@@ -3,7 +3,7 @@
 1. Each text becomes the set of its hashed three-word shingles; equal sets are one class.
 2. Only a set of which nearly all members occur in other sets can have a link. Every batch
    counts what its own sets share and sends the other members, packed, to buckets of hash values, where
-   one sort counts distinct sets; what comes back is one number for each set and bucket. A member that half of all
+   one sort counts distinct sets; what comes back is a number for each set, packed by batch. A member that half of all
    documents hold leaves each batch twice at most. False agreements of the 32 bits sent
    only let a set through.
 3. The sets that stay are ordered by how rare their members are among them, then by hash. Of
@@ -252,8 +252,8 @@ def sketch(docs: DataFrame, buckets: int, k: int, text: str = "text") -> DataFra
     return rows.mapInPandas(run, "bucket int, ask boolean, packed binary, batch long, doc_id long, text_key string, n long, set_key binary, key long, own long")
 
 
-def _answers(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """How many of the members that each set of each batch asked about occur in another set too."""
+def _answers(bucket: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """For each batch, how many of the members that its sets asked about occur in another set too: keys, then counts."""
     parts = [_unpacked(x) for x in rows["packed"]]
     count = [len(p[1]) for p in parts]
     owner, low = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -264,7 +264,17 @@ def _answers(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     shared = np.empty(len(by), bool)
     shared[by] = np.repeat(lo != hi, np.diff(np.append(at, len(by))))
     told = pd.DataFrame({"batch": batch, "key": owner.view(np.int64)})[shared & ask]
-    return told.groupby(["batch", "key"], as_index=False).size().rename(columns={"size": "told"})
+    told = told.groupby(["batch", "key"]).size().reset_index(name="n")
+    out = [(b, g["key"].to_numpy(np.int64).tobytes() + g["n"].to_numpy(np.int32).tobytes()) for b, g in told.groupby("batch")]
+    return pd.DataFrame(out, columns=["batch", "answers"])
+
+
+def _heard(batch: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The answers to one batch, added up: one row for each of its sets."""
+    data = [np.frombuffer(x, np.uint8) for x in rows["answers"]]
+    keys, at = np.unique(np.concatenate([x[: len(x) // 3 * 2].view(np.int64) for x in data]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([x[len(x) // 3 * 2 :].view(np.int32) for x in data]), len(keys))
+    return pd.DataFrame({"batch": batch[0], "key": keys, "told": n.astype(np.int64)})
 
 
 def candidates(docs: DataFrame, percent: int, k: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -277,8 +287,8 @@ def candidates(docs: DataFrame, percent: int, k: int, text: str = "text") -> tup
     buckets = min(1 << 20, max(2 * spark.sparkContext.defaultParallelism, size // BUCKET_BYTES))
     done = materialise(sketch(docs, buckets, k, text), 0)
     rows = done.where("bucket is null").select("batch", "doc_id", "text_key", "n", "set_key", "key", "own")
-    told = done.where("bucket is not null").select("bucket", "ask", "packed", "batch").groupBy("bucket").applyInPandas(_answers, "batch long, key long, told long")
-    told = told.groupBy("batch", "key").agg(F.sum("told").alias("told"))
+    told = done.where("bucket is not null").select("bucket", "ask", "packed", "batch").groupBy("bucket").applyInPandas(_answers, "batch long, answers binary")
+    told = told.groupBy("batch").applyInPandas(_heard, "batch long, key long, told long")  # a batch's own members bound its answers
     heard = rows.where("set_key is not null and doc_id is not null").join(told, ["batch", "key"], "left")
     shared = F.max(F.col("own") + F.coalesce("told", F.lit(0))).alias("shared")
     classes = heard.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n").alias("n"), shared)
