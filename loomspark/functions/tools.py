@@ -6,10 +6,13 @@ format holds JSON); formats that find nothing fall back to the Action / Action I
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bind import let
 from .delimit import by_keywords, stripped
@@ -17,6 +20,9 @@ from .delimit import by_keywords, stripped
 # Keywords of the formats.
 REACT_KEYS = ("Action:", "Action Input:", "Observation:")
 QWEN_KEYS = ("✿FUNCTION✿:", "✿ARGS✿:", "✿RESULT✿:")
+TURN = r"<\|assistant\|>"
+
+JSON = json.JSONDecoder()
 
 
 def call(name: Column, arguments: Column) -> Column:
@@ -41,13 +47,52 @@ def _json_calls(found: Column, arguments: str = "arguments") -> Column:
     return F.filter(calls, lambda c: c["name"].isNotNull() & c["arguments"].isNotNull())
 
 
+# Fixed values in the patterns below: the marks of the formats.
+
+
 def hermes(text: Column) -> Column:
     return _json_calls(F.regexp_extract_all(text, F.lit("(?s)<tool_call>(.+?)</tool_call>"), 1))
 
 
+def objects(text: str) -> list[tuple[int, int]]:
+    """Start and end of every outermost JSON object in a text, in order."""
+    found, at = [], text.find("{")
+    while at >= 0:
+        try:
+            value, end = JSON.raw_decode(text, at)
+        except (ValueError, RecursionError):
+            end = 0
+        if end:
+            found.append((at, end))
+        at = text.find("{", max(end, at + 1))
+    return found
+
+
+def _object_texts(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else [t[s:e] for s, e in objects(t)])
+
+
+def _named_objects(turns: pd.Series) -> pd.Series:
+    """The first object of each turn that stands below a line, with that line as its name."""
+
+    def one(turn: str) -> dict | None:
+        for s, e in objects(turn):
+            above, broken, before = turn[:s].rpartition("\n")
+            name = above.rpartition("\n")[2].strip(" `\t\r")
+            if broken and not before.strip() and name:
+                return {"name": name, "arguments": turn[s:e]}
+        return None
+
+    return turns.map(lambda row: None if row is None else [x for x in map(one, row) if x])
+
+
+object_texts = F.pandas_udf(_object_texts, T.ArrayType(T.StringType()))
+named_objects = F.pandas_udf(_named_objects, T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("arguments", T.StringType())])))
+
+
 def llama(text: Column) -> Column:
-    body = F.regexp_replace(text, r"<\|eom_id\|>$", "")
-    return _json_calls(F.regexp_extract_all(body, F.lit(r'(?s)(\{[^{]*?"name":.*?"parameters":\s*?\{.*?\}\s*?\})'), 1), "parameters")
+    """Objects with a name and parameters."""
+    return _json_calls(object_texts(text), "parameters")
 
 
 def mistral(text: Column) -> Column:
@@ -56,10 +101,8 @@ def mistral(text: Column) -> Column:
 
 
 def glm4(text: Column) -> Column:
-    pattern = r"(?s)([^\n`]*?)\n(\{.*?\})(?=\w*\n|$)"
-    turns = F.transform(F.split(text, r"<\|assistant\|>"), lambda t: F.replace(t, F.lit("<|observation|>"), F.lit("")))
-    calls = F.transform(turns, lambda t: call(F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)))
-    return F.filter(calls, lambda c: c["arguments"] != "")
+    """A turn of the model is the name on one line and the arguments, an object, below it."""
+    return named_objects(F.split(text, TURN))
 
 
 def _tagged(bodies: Column, name: Callable[[Column], Column], keys: Callable[[Column], Column], values: Callable[[Column], Column], fits: Callable[[Column], Column]) -> Column:
@@ -128,7 +171,7 @@ def hermes_replies(replies: Column) -> Column:
 
 
 def wrapped_tool(tool: Column) -> Column:
-    """A function description as {"type": "function", "function": ...} unless it is wrapped already."""
+    """A function description as {"type": "function", "function": ...} unless it is wrapped already; its text stays as it is."""
     return F.when(F.get_json_object(tool, "$.function").isNotNull(), tool).otherwise(F.concat(F.lit('{"type": "function", "function": '), tool, F.lit("}")))
 
 

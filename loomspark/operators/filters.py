@@ -61,9 +61,9 @@ def alias_present(tags: Column, known: list[str]) -> Column:
 
 def redraw(df: DataFrame, good: Column, key: str, seed: str = "redraw", tries: int = 10) -> DataFrame:
     """Bad rows are replaced by good ones drawn by hash; the number of rows stays."""
-    from .sampling import draw_order
+    from .sampling import draw_order, first_positions
 
     flagged = df.withColumn("__good", F.coalesce(good, F.lit(False)))
     fine = flagged.where("__good").drop("__good")
     short = flagged.where("not __good").count()
-    return fine if not short else fine.unionByName(fine.orderBy(draw_order(seed, key)).limit(short))
+    return fine if not short else fine.unionByName(first_positions(fine, draw_order(seed, key), short, key))

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sampling import key_blocks, ordered_positions
+from .sampling import even_split, key_blocks, ordered_positions
 
 #: Rows that are packed together; bins never cross chunks in the independent mode.
 CHUNK = 1000
+#: Rows of a segment that is packed in order.
+SEGMENT_ROWS = 200_000
 
 
 def best_fit(items: list[tuple[int, int]], volume: int) -> list[list[tuple[int, int]]]:
@@ -50,28 +53,44 @@ def pack(df: DataFrame, key: str, length: str, volume: int, chunk: int = CHUNK)
     return rows.groupBy("chunk").applyInPandas(run, kind)
 
 
-def pack_in_order(df: DataFrame, key: str, length: str, volume: int, chunk: int = CHUNK) -> DataFrame:
-    """Like pack(), but the last bin of a chunk is carried into the next, which makes it sequential."""
-    rows = ordered_positions(df.select(key, length), key).coalesce(1).sortWithinPartitions("pos").select(key, length)
+def packed_in_turns(rows: Iterator[list[tuple[int, int]]], volume: int, chunk: int) -> Iterator[tuple[int, list[list[tuple[int, int]]]]]:
+    """(turn, bins): every turn packs chunk new rows with the last bin of the turn before, which comes out with the next."""
+    held: list[tuple[int, int]] = []
+    fresh: list[tuple[int, int]] = []
+    turn = 0
+    for part in rows:
+        fresh += part
+        while len(fresh) > chunk:  # one row more than the chunk: it is not the last
+            *bins, held = best_fit(held + fresh[:chunk], volume)
+            yield turn, bins
+            turn, fresh = turn + 1, fresh[chunk:]
+    if held or fresh:
+        yield turn, best_fit(held + fresh, volume)
+
+
+def pack_in_order(df: DataFrame, key: str, length: str, volume: int, chunk: int = CHUNK, segments: int | None = None) -> DataFrame:
+    """(segment, chunk, bin, members, lengths, total): like pack(), but the last bin of a chunk is carried into the next.
+
+    Carrying makes chunks depend on each other, so the rows in key order are cut into segments of equal size, each of
+    which is packed in one task from first to last, as a stream: a task holds a chunk and a bin. The result depends
+    on the number of segments (one for SEGMENT_ROWS rows unless it is given), not on partitions or workers.
+    """
+    total = df.count()
+    segments = segments or max(1, -(-total // SEGMENT_ROWS))
+    rows = even_split(df.select(key, length), key, segments).repartitionById(segments, F.col("part").cast("int")).sortWithinPartitions("part", key)
+    kind = "segment int, chunk long, bin int, members array<long>, lengths array<long>, total long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, int]] = []
-        turn = 0
-
-        def out(bins, turn):
-            return pd.DataFrame([(turn, i, [k for k, _ in b], [n for _, n in b], sum(n for _, n in b)) for i, b in enumerate(bins)], columns=["chunk", "bin", "members", "lengths", "total"])
-
-        for pdf in batches:
-            held += zip(pdf[key].tolist(), pdf[length].tolist(), strict=True)
-            while len(held) >= chunk:
-                bins = best_fit(held[:chunk], volume)
-                held = bins[-1] + held[chunk:]
-                yield out(bins[:-1], turn)
-                turn += 1
-        if held:
-            yield out(best_fit(held, volume), turn)
-
-    return rows.mapInPandas(run, "chunk long, bin int, members array<long>, lengths array<long>, total long")
+        def parts() -> Iterator[tuple[int, list[tuple[int, int]]]]:
+            for pdf in batches:
+                for segment, g in pdf.groupby("part"):
+                    yield int(segment), list(zip(g[key].tolist(), g[length].tolist(), strict=True))
+
+        for segment, own in groupby(parts(), lambda x: x[0]):
+            for turn, bins in packed_in_turns((x for _, x in own), volume, chunk):
+                yield pd.DataFrame([(segment, turn, i, [k for k, _ in b], [n for _, n in b], sum(n for _, n in b)) for i, b in enumerate(bins)], columns=["segment", "chunk", "bin", "members", "lengths", "total"])
+
+    return rows.mapInPandas(run, kind)
 
 
 def packed_positions(lengths: Column) -> Column:

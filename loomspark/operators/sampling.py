@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Most ranges of an integer key; their sums are the only rows that one window orders.
 MOST_RANGES = 100_000
+#: Parts that a range with too many rows is cut into.
+SPLIT = 128
 #: Leading characters of an order key that name its range (16 ** 3 ranges).
 RANGE_CHARS = 3
 
@@ -39,20 +41,45 @@ def positions(df: DataFrame, order: Column, *ties: str, name: str = "pos", by: l
     return joined.join(before, cond).select(*[joined[c] for c in df.columns], (F.col("__i") + F.col("__b")).cast("long").alias(name))
 
 
-def key_blocks(df: DataFrame, key: str, size: Column, name: str = "__b", per: int = 1 << 16) -> DataFrame:
-    """Adds __r, the range of an integer key, and the sum of size over all ranges before it.
+def key_ranges(df: DataFrame, key: str, size: Column, per: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """(df with __r, table of __r, __g, __n, __before): ranges of an integer key that hold about per rows each.
 
-    Ranges are blocks of key values, as wide as the key's span divided by a number of ranges that follows
-    from the row count, at most MOST_RANGES: dense, sparse and hashed keys all get a bounded number of them.
+    Ranges start as equal parts of the key's span. One with more than per rows is cut into SPLIT parts of the
+    span that its keys really have, and so on, until none is larger or it is a single key; neighbours are then
+    joined up to per rows (__g), so no group has more than twice that, however the keys clump. __before is the sum of
+    size before the group, __r the least key a range may hold. Rows without a key are one group, before all others.
     """
     lo, hi, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    ranges = min(MOST_RANGES, -(-n // per) or 1)
-    width = ((hi - lo) // ranges + 1) if n and hi is not None else 1
-    place = F.floor((F.col(key).cast("decimal(20,0)") - F.lit(lo or 0).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
-    out = df.withColumn("__r", place)
-    before = out.groupBy("__r").agg(F.sum(size).alias("__n"))  # one row for each range
-    before = before.select("__r", (F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")).alias(name))
-    return out.join(before, out["__r"].eqNullSafe(before["__r"])).drop(before["__r"])
+    per = max(per, -(-n // MOST_RANGES))
+    lo, hi = int(lo or 0), int(hi or 0)
+    width = -(-(hi - lo + 1) // max(1, -(-n // per)))
+    whole = "decimal(38,0)"
+
+    def part(start: Column, width: Column) -> Column:
+        """The least key of the part that the row's key is in; whole numbers only, so that no rounding moves a key."""
+        steps = F.call_function("div", F.col(key).cast(whole) - start.cast(whole), width.cast(whole))
+        return (start.cast(whole) + steps.cast("decimal(20,0)") * width.cast("decimal(20,0)")).cast("long")
+
+    out = df.withColumn("__r", F.when(F.col(key).isNotNull(), part(F.lit(str(lo)), F.lit(str(width)))))
+    while True:
+        counts = out.groupBy("__r").agg(F.count("*").alias("__n"), F.sum(size).alias("__size"), F.min(key).alias("__lo"), F.max(key).alias("__hi"))
+        heavy = counts.where((F.col("__n") > per) & (F.col("__lo") < F.col("__hi")))
+        if heavy.isEmpty():
+            break
+        span = F.col("__hi").cast(whole) - F.col("__lo").cast(whole)
+        heavy = heavy.select("__r", "__lo", F.ceil((span + 1) / SPLIT).cast(whole).alias("__w"))  # at most n / per rows
+        out = out.join(heavy, "__r", "left").withColumn("__r", F.when(F.col("__w").isNotNull(), part(F.col("__lo"), F.col("__w"))).otherwise(F.col("__r"))).drop("__lo", "__w")
+    order = Window.orderBy(F.asc_nulls_first("__r"))  # one row for each range
+    before = counts.withColumn("__at", F.sum("__n").over(order) - F.col("__n")).withColumn("__sum", F.sum("__size").over(order) - F.col("__size"))
+    before = before.withColumn("__g", F.when(F.col("__r").isNotNull(), F.floor(F.col("__at") / per)).otherwise(-1))
+    return out, before.select("__r", "__g", "__n", F.min("__sum").over(Window.partitionBy("__g")).alias("__before"))
+
+
+def key_blocks(df: DataFrame, key: str, size: Column, name: str = "__b", per: int = 1 << 16) -> DataFrame:
+    """Adds __r, the range of an integer key, and the sum of size over all ranges before it."""
+    out, ranges = key_ranges(df, key, size, per)
+    ranges = ranges.select(F.col("__r").alias("__least"), F.col("__g"), F.col("__before").alias(name))
+    return out.join(ranges, out["__r"].eqNullSafe(ranges["__least"])).drop("__least", "__r").withColumnRenamed("__g", "__r")
 
 
 def ordered_positions(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
@@ -175,15 +202,21 @@ def best_worst(df: DataFrame, group: str, score: str, tie: str, n: int = 1) -> D
     return df.withColumn("rank", F.row_number().over(order)).withColumn("best", F.col("rank") <= n).withColumn("worst", F.row_number().over(back) == 1)
 
 
+def first_positions(df: DataFrame, order: Column, n: int, *ties: str) -> DataFrame:
+    """The first n rows in hash order, by positions: no task or driver holds n rows."""
+    return positions(df, order, *ties, name="__pos").where(F.col("__pos") < n).drop("__pos")
+
+
 def topped_up(df: DataFrame, backup: DataFrame, good: Column, key: str, n: int, seed: str = "backup") -> DataFrame:
     """Good rows first, then good backup rows in hash order, n in all; fewer is an error."""
-    fine = df.where(good).withColumn("__from", F.lit(0))
-    more = backup.where(good).withColumn("__from", F.lit(1))
-    both = fine.unionByName(more)
-    out = both.orderBy("__from", draw_order(seed, key), key).limit(n).drop("__from")
-    if out.count() < n:
-        raise ValueError(f"only {out.count()} of {n} rows are good")
-    return out
+    fine, more = df.where(good), backup.where(good)
+    have = fine.count()
+    if have >= n:
+        return first_positions(fine, draw_order(seed, key), n, key)
+    spare = more.count()
+    if have + spare < n:
+        raise ValueError(f"only {have + spare} of {n} rows are good")
+    return fine.unionByName(first_positions(more, draw_order(seed, key), n - have, key))
 
 
 # -- frames and tiles ------------------------------------------------------------------------

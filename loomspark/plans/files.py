@@ -3,29 +3,17 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import normalize
 from ..sources import catalog, sinks
+from ..sources.scratch import folder
 from .registry import query, table
 from .sets import DOCS, digest, docs
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that all executors see; on a local master without spark.checkpoint.dir a temporary one."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not conf.get("spark.master", "").startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='loom-')}"
-    return f"{base.rstrip('/')}/query-{uuid.uuid4().hex}"
-
-
 def plain(spark, sf_dir) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", "source", "lang", "h")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encode, extend, lossmask, metrics, prompts, render, rewards, tokens, tools
 from ..operators import advantage, combine, expand, filters, normalize, packing, sampling
+from ..sources.scratch import folder
 from ..streaming import streams
 from .chat import CONV, REST, conversations
 from .data import IDS, WORDS, _ids
@@ -15,6 +16,8 @@ from .registry import query, table
 from .sets import DOCS, EVEN, H, ID, LANG, NL, SRC, digest, docs, pair, shown, words
 from .streams import _stream
 
+#: Shards of the streams with state.
+SHARDS = 16
 #: Tokens of one bin in the packing queries.
 PACK = 4096
 IDS_OF = f"t as (select doc_id, {IDS} as ids from documents)"
@@ -364,19 +367,34 @@ def stream_take(spark, sf_dir):
 
 @query(f"select sum(len({WORDS}))::bigint as tokens, count(*) as rows, true as fits from documents")
 def stream_pack(spark, sf_dir):
-    """A stream packed with its last bin carried over, each batch in hash order."""
-    total_, rows, fits = 0, 0, True
-
-    def sink(bins):
-        nonlocal total_, rows, fits
-        for b in bins:
-            rows, total_, fits = rows + len(b), total_ + sum(n for _, n in b), fits and (len(b) == 1 or sum(n for _, n in b) <= PACK)
-
-    packer, order = streams.Packer("doc_id", "n", PACK, sink), streams.shuffled("order", "doc_id")
-    source = _stream(spark, sf_dir, "documents").select("doc_id", F.size(tokens.words(F.col("text"))).alias("n"))
-    streams.each(source, lambda batch, i: packer(order(batch), i))
-    packer.finish()
-    return spark.createDataFrame([(total_, rows, fits)], "tokens long, rows long, fits boolean")
+    """A stream packed by shards, each with its open bin as state; the open bins come last."""
+    source = _stream(spark, sf_dir, "documents").select("doc_id", F.size(tokens.words(F.col("text"))).alias("n"), (F.col("doc_id") % SHARDS).alias("shard"))
+    base = folder(spark)
+    bins = streams.run(streams.packed(source, "shard", "doc_id", "n", PACK), checkpoint=f"{base}/checkpoint")
+    bins = bins.unionByName(streams.packed_rest(spark, f"{base}/checkpoint"))
+    fits = F.bool_and((F.col("total") <= PACK) | (F.size("members") == 1))
+    return bins.agg(F.sum("total").alias("tokens"), F.sum(F.size("members")).cast("long").alias("rows"), fits.alias("fits"))
+
+
+@query(f"select doc_id % {SHARDS} as shard, count(*) as rows, count(*) as places, 0::bigint as first, count(*) - 1 as last, md5(string_agg(doc_id::varchar, ',' order by doc_id)) as ids from documents group by all")
+def stream_shuffle(spark, sf_dir):
+    """A stream shuffled through buffers of a thousand rows: every row once, at a place of its own."""
+    source = _stream(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % SHARDS).alias("shard"))
+    base = folder(spark)
+    rows = streams.run(streams.shuffled(source, "shard", "doc_id"), checkpoint=f"{base}/checkpoint")
+    rows = rows.unionByName(streams.shuffled_rest(spark, f"{base}/checkpoint")).withColumn("id", F.get_json_object("row", "$.doc_id").cast("long"))
+    ids = F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ","))
+    return rows.groupBy("shard").agg(F.count("*").alias("rows"), F.countDistinct("pos").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"), ids.alias("ids"))
+
+
+@query(f"with d as (select len({WORDS}) as n, ntile({SHARDS}) over (order by doc_id) - 1 as segment from documents) select segment, count(*) as rows, count(*) as members, sum(n)::bigint as tokens, true as fits from d group by segment")
+def packed_in_order(spark, sf_dir):
+    """Segments of consecutive rows, packed with the last bin of a chunk carried into the next."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.size(tokens.words(F.col("text"))).cast("long").alias("n"))
+    p = packing.pack_in_order(d, "doc_id", "n", PACK, chunk=100, segments=SHARDS)
+    fits = F.bool_and((F.col("total") <= PACK) | (F.size("members") == 1))
+    each = p.select("segment", F.explode("members").alias("id")).groupBy("segment").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("members"))
+    return p.groupBy("segment").agg(F.sum("total").alias("tokens"), fits.alias("fits")).join(each, "segment").select("segment", "rows", "members", "tokens", "fits")
 
 
 @query("select doc_id, doc_id % 2 = 0 as complete from documents")

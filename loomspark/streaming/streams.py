@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.packing import best_fit
-from ..operators.sampling import draw_order
+from ..sources.scratch import exists, folder
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType | str, kind: str = "parquet", files: int | None = None) -> DataFrame:
@@ -21,13 +21,34 @@ def read(spark: SparkSession, path: str, schema: T.StructType | str, kind: str =
     return (reader.option("maxFilesPerTrigger", files) if files else reader).load(path)
 
 
-def run(df: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Everything that is there now, as a batch table (memory sink; for results that fit a report)."""
-    name = f"out_{uuid.uuid4().hex}"
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+class FileSink:
+    """Writes each micro-batch into a folder of its own id, once: a batch that is there whole is left alone.
+
+    A stream that was killed runs its last batch again under the same id and with the same rows, so a
+    restarted stream gives the rows of one that was never stopped.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        to = f"{self.path}/batch={number}"
+        if not exists(batch.sparkSession, f"{to}/_SUCCESS"):
+            batch.write.mode("overwrite").parquet(to)
+
+    def read(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        """All rows so far, without the batch they came in."""
+        if not exists(spark, self.path):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(self.path).select(schema.fieldNames())
+
+
+def run(df: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Everything that is there now, as a batch table of files; new folders of the shared one unless they are given."""
+    base = folder(df.sparkSession)
+    sink = FileSink(path or f"{base}/rows")
+    each(df, sink, checkpoint or f"{base}/checkpoint")
+    return sink.read(df.sparkSession, df.schema)
 
 
 def each(df: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
@@ -54,32 +75,93 @@ class Take:
         self.seen += got
 
 
-def shuffled(seed: str, key: str) -> Callable[[DataFrame], DataFrame]:
-    """Order within each micro-batch: the buffer of a stream shuffle is the batch."""
-    return lambda batch: batch.orderBy(draw_order(seed, key), key)
+# -- operators with state -----------------------------------------------------------------------
 
 
-class Packer:
-    """Packs a stream into bins of a volume; the last bin waits for the next batch.
+def left_over(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a stopped stream still holds: its state store as a table of key and value."""
+    held = spark.read.format("statestore").load(checkpoint)
+    return held.select("key.*", "value.groupState.*")
 
-    sink(bins, last) gets lists of (id, length). A micro-batch is bounded by the trigger.
+
+def packed(df: DataFrame, shard: str, key: str, length: str, volume: int) -> DataFrame:
+    """(shard, turn, bin, members, lengths, total) of a stream, packed shard by shard.
+
+    A shard's rows of a micro-batch are packed with its open bin, in order of key; the last bin stays open as state and
+    the others come out. packed_rest() gives the open bins of a stream that has ended. A shard
+    is one group, so shards should be many; its state is one bin.
     """
+    rows = df.select(F.col(shard).cast("long").alias("shard"), F.col(key).cast("long").alias("id"), F.col(length).cast("long").alias("n"))
 
-    def __init__(self, key: str, length: str, volume: int, sink: Callable[[list], None]):
-        self.key, self.length, self.volume, self.sink = key, length, volume, sink
-        self.held: list[tuple[int, int]] = []
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        turn, ids, lengths = state.get if state.exists else (0, [], [])
+        new = pd.concat(list(parts)).sort_values("id")
+        bins = best_fit([*zip(ids, lengths, strict=True), *zip(new["id"].tolist(), new["n"].tolist(), strict=True)], volume)
+        last = bins.pop()
+        state.update((turn + 1, [x for x, _ in last], [n for _, n in last]))
+        yield pd.DataFrame([(k[0], turn, i, [x for x, _ in b], [n for _, n in b], sum(n for _, n in b)) for i, b in enumerate(bins)], columns=["shard", "turn", "bin", "members", "lengths", "total"])
 
-    def __call__(self, batch: DataFrame, _: int) -> None:
-        rows = batch.select(self.key, self.length).orderBy(self.key).toLocalIterator()
-        self.held += [(r[0], r[1]) for r in rows]
-        bins = best_fit(self.held, self.volume)
-        self.held = bins.pop() if bins else []
-        self.sink(bins)
-
-    def finish(self) -> None:
-        if self.held:
-            self.sink([self.held])
-            self.held = []
+    return rows.groupBy("shard").applyInPandasWithState(step, PACKED, "turn long, members array<long>, lengths array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def packed_rest(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The open bins at the end of a stream of packed(), one for each shard."""
+    held = left_over(spark, checkpoint)
+    total = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    return held.select("shard", "turn", F.lit(0).alias("bin"), "members", "lengths", total.alias("total"))
+
+
+PACKED = "shard long, turn long, bin int, members array<long>, lengths array<long>, total long"
+
+
+def buffered(rows: list, seen: int, buffer: list, size: int, seed: str) -> Iterator[object]:
+    """A shuffle through a buffer: once it is full, each new row takes the place of one drawn by hash, which comes out.
+
+    rows go in from place seen on; the buffer is changed. What is left at the end comes out by drain().
+    """
+    for at, row in enumerate(rows, seen):
+        if len(buffer) < size:
+            buffer.append(row)
+        else:
+            place = zlib.crc32(f"{seed}:{at}".encode()) % size
+            out, buffer[place] = buffer[place], row
+            yield out
+
+
+def drain(buffer: list, seed: str) -> list:
+    """The rest of a buffer in hash order of its places."""
+    return [buffer[i] for i in sorted(range(len(buffer)), key=lambda i: (zlib.crc32(f"{seed}:end:{i}".encode()), i))]
+
+
+def shuffled(df: DataFrame, shard: str, key: str, size: int = 1000, seed: str = "shuffle") -> DataFrame:
+    """(shard, pos, row) of a stream, shuffled shard by shard through a buffer of size rows that outlives micro-batches.
+
+    A shard's rows of a micro-batch go in by key; row is the whole row as JSON, pos its place in the new order.
+    shuffled_rest() gives what the buffers hold when the stream has ended.
+    """
+    rows = df.select(F.col(shard).cast("long").alias("shard"), F.col(key).alias("id"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, buffer = state.get if state.exists else (0, [])
+        buffer, new = list(buffer), pd.concat(list(parts)).sort_values(["id", "row"])["row"].tolist()
+        first = max(0, seen - size)
+        out = list(buffered(new, seen, buffer, size, seed))
+        state.update((seen + len(new), buffer))
+        yield pd.DataFrame({"shard": k[0], "pos": range(first, first + len(out)), "row": out})
+
+    return rows.groupBy("shard").applyInPandasWithState(step, "shard long, pos long, row string", "seen long, buffer array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def shuffled_rest(spark: SparkSession, checkpoint: str, seed: str = "shuffle") -> DataFrame:
+    """The rows that the buffers of shuffled() hold at the end, after those that came out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for shard, seen, buffer in pdf.itertuples(index=False):
+                out = drain(list(buffer), seed)
+                yield pd.DataFrame({"shard": shard, "pos": range(seen - len(out), seen), "row": out})
+
+    return left_over(spark, checkpoint).select("shard", "seen", "buffer").mapInPandas(run, "shard long, pos long, row string")
 
 
 def sessions(df: DataFrame, key: str, order: str, start: Column) -> DataFrame:

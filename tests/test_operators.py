@@ -229,10 +229,11 @@ def test_stream_packer_and_take(spark, tmp_path):
 
     src = str(tmp_path / "in")
     spark.range(0, 40).selectExpr("id", "id % 9 + 1 as n").repartition(4).write.parquet(src)
-    bins, parts = [], []
-    packer = streams.Packer("id", "n", 12, lambda b: bins.extend(b))
-    streams.each(streams.read(spark, src, "id long, n long", files=1), packer)
-    packer.finish()
+    parts = []
+    source = streams.read(spark, src, "id long, n long", files=1).withColumn("shard", F.col("id") % 2)
+    checkpoint = str(tmp_path / "checkpoint")
+    out = streams.run(streams.packed(source, "shard", "id", "n", 12), str(tmp_path / "rows"), checkpoint)
+    bins = [list(zip(r["members"], r["lengths"], strict=True)) for r in out.unionByName(streams.packed_rest(spark, checkpoint)).collect()]
     assert sorted(i for b in bins for i, _ in b) == list(range(40)) and all(sum(n for _, n in b) <= 12 for b in bins)
     streams.each(streams.read(spark, src, "id long, n long", files=1), streams.Take(15, 5, "id", lambda df: parts.extend(df.collect())))
     assert len(parts) == 15 and sum(r["part"] == "val" for r in parts) == 5
