@@ -34,8 +34,8 @@ from .textvec import shingle_set, words
 
 WORDS_EACH = 3
 PERCENT = 90
-#: Bytes of input for a bucket of hash values (about two million shingles).
-BUCKET_BYTES = 8 << 20
+#: Bytes of input for a bucket of hash values (about a million shingles).
+BUCKET_BYTES = 4 << 20
 #: A plan that does not know its size says this or more.
 UNKNOWN = 1 << 60
 #: Members of a path that are compared in a step.
@@ -193,10 +193,9 @@ def _packed(keys: np.ndarray, owner: np.ndarray, low: np.ndarray) -> bytes:
     return np.uint32(len(cut)).tobytes() + keys[owner[cut]].tobytes() + runs.tobytes() + low.astype(np.uint32).tobytes()
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int(np.frombuffer(data, np.uint32, 1)[0])
-    keys, runs = np.frombuffer(data, np.uint64, n, 4), np.frombuffer(data, np.uint32, n, 4 + 8 * n)
-    return np.repeat(keys, runs), np.frombuffer(data, np.uint32, -1, 4 + 12 * n)
+    return np.frombuffer(data, np.uint64, n, 4), np.frombuffer(data, np.uint32, n, 4 + 8 * n), np.frombuffer(data, np.uint32, -1, 4 + 12 * n)
 
 
 def sketch(docs: DataFrame, buckets: int, k: int, text: str = "text") -> DataFrame:
@@ -254,18 +253,21 @@ def sketch(docs: DataFrame, buckets: int, k: int, text: str = "text") -> DataFra
 
 def _answers(bucket: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """For each batch, how many of the members that its sets asked about occur in another set too: keys, then counts."""
-    parts = [_unpacked(x) for x in rows["packed"]]
-    count = [len(p[1]) for p in parts]
-    owner, low = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    batch, ask = np.repeat(rows["batch"].to_numpy(), count), np.repeat(rows["ask"].to_numpy(bool), count)
+    keys, runs, low = zip(*(_unpacked(x) for x in rows["packed"]), strict=True)
+    ends = np.cumsum([len(k) for k in keys])
+    keys, low = np.concatenate(keys), np.concatenate(low)
+    run = np.repeat(np.arange(len(keys), dtype=np.int32), np.concatenate(runs))
     by = np.argsort(low, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], low[by][1:] != low[by][:-1]]))
-    lo, hi = np.minimum.reduceat(owner[by], at), np.maximum.reduceat(owner[by], at)
-    shared = np.empty(len(by), bool)
-    shared[by] = np.repeat(lo != hi, np.diff(np.append(at, len(by))))
-    told = pd.DataFrame({"batch": batch, "key": owner.view(np.int64)})[shared & ask]
-    told = told.groupby(["batch", "key"]).size().reset_index(name="n")
-    out = [(b, g["key"].to_numpy(np.int64).tobytes() + g["n"].to_numpy(np.int32).tobytes()) for b, g in told.groupby("batch")]
+    low, run = low[by], run[by]
+    at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    owner = keys[run]
+    several = np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)
+    told = np.bincount(run[np.repeat(several, np.diff(np.append(at, len(low))))], minlength=len(keys)).astype(np.int32)
+    out = []
+    for batch, ask, end, n in zip(rows["batch"], rows["ask"], ends, np.diff(ends, prepend=0), strict=True):
+        some = np.flatnonzero(told[end - n : end]) + (end - n)
+        if ask and len(some):
+            out.append((batch, keys[some].tobytes() + told[some].tobytes()))
     return pd.DataFrame(out, columns=["batch", "answers"])
 
 
