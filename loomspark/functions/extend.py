@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import asyncio
+import hashlib
 import importlib.util
 import inspect
+import pickle
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REWARDS: dict[str, Callable[..., Any]] = {}
+#: States of a metric that one task merges.
+FAN = 16
 
 
 
@@ -82,29 +88,47 @@ def scored(df: DataFrame, names: list[str], completion: str, columns: tuple[str,
 
 
 class Metric:
-    """A metric with state that merges: start, update with a batch, merge, result. Fixed-size state only."""
+    """A metric with state that merges: start, update with a batch, merge two states, result.
 
-    def start(self) -> list[float]:
+    A state is any value that can be pickled and that stays small however many rows it has seen; by default
+    a list of numbers whose merge is their sum.
+    """
+
+    def start(self) -> Any:
         raise NotImplementedError
 
-    def update(self, state: list[float], batch: pd.DataFrame) -> list[float]:
+    def update(self, state: Any, batch: pd.DataFrame) -> Any:
         raise NotImplementedError
 
-    def result(self, state: list[float]) -> float:
+    def merge(self, a: Any, b: Any) -> Any:
+        return [x + y for x, y in zip(a, b, strict=True)]
+
+    def result(self, state: Any) -> Any:
         raise NotImplementedError
 
-    def over(self, df: DataFrame) -> float | None:
-        """States of partitions are summed by Spark; only their sum comes back."""
-        n = len(self.start())
+    def over(self, df: DataFrame) -> Any:
+        """Each task makes one state; FAN states at a time merge in tasks until one is left, which comes back."""
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state = self.start()
             for pdf in batches:
-                state = self.update(state, pdf)
-            yield pd.DataFrame([state], columns=[f"s{i}" for i in range(n)])
+                if len(pdf):
+                    state = self.update(state, pdf)
+            yield pd.DataFrame({"at": [TaskContext.get().partitionId()], "state": [pickle.dumps(state)]})
 
-        total = df.mapInPandas(run, ", ".join(f"s{i} double" for i in range(n))).agg(*[F.sum(f"s{i}") for i in range(n)]).first()
-        return self.result([x or 0.0 for x in total])
+        def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # by place, so that a merge that is not commutative gives one result
+            rows = sorted((at, state) for pdf in batches for at, state in pdf.itertuples(index=False))
+            if rows:
+                merged = reduce(self.merge, (pickle.loads(state) for _, state in rows))
+                yield pd.DataFrame({"at": [rows[0][0] // FAN], "state": [pickle.dumps(merged)]})
+
+        states, parts = df.mapInPandas(make, "at long, state binary"), df.rdd.getNumPartitions()
+        while parts > 1:
+            parts = -(-parts // FAN)
+            states = states.repartitionById(parts, F.floor(F.col("at") / FAN).cast("int")).mapInPandas(join, "at long, state binary")
+        rows = states.collect()  # one
+        return self.result(pickle.loads(rows[0]["state"]) if rows else self.start())
 
 
 class Mean(Metric):
@@ -123,6 +147,44 @@ class Mean(Metric):
         return state[0] / state[1] if state[1] else self.empty
 
 
+class Largest(Metric):
+    """The n largest values of a column, largest first: a state that is no sum."""
+
+    def __init__(self, column: str, n: int):
+        self.column, self.n = column, n
+
+    def start(self) -> list:
+        return []
+
+    def update(self, state: list, batch: pd.DataFrame) -> list:
+        return self.merge(state, batch[self.column].dropna().nlargest(self.n).tolist())
+
+    def merge(self, a: list, b: list) -> list:
+        return sorted(a + b, reverse=True)[: self.n]
+
+    def result(self, state: list) -> list:
+        return state
+
+
+class Distinct(Metric):
+    """The number of distinct texts of a column from its k least hashes: exact up to k, else an estimate of about 1 / sqrt(k)."""
+
+    def __init__(self, column: str, k: int = 1024):
+        self.column, self.k = column, k
+
+    def start(self) -> list[int]:
+        return []
+
+    def update(self, state: list[int], batch: pd.DataFrame) -> list[int]:
+        return self.merge(state, [int.from_bytes(hashlib.blake2b(str(x).encode(), digest_size=8).digest(), "big") for x in batch[self.column].dropna().unique()])
+
+    def merge(self, a: list[int], b: list[int]) -> list[int]:
+        return sorted({*a, *b})[: self.k]
+
+    def result(self, state: list[int]) -> float:
+        return float(len(state)) if len(state) < self.k else (self.k - 1) * 2.0**64 / (state[-1] + 1)
+
+
 def load_file(path: str):
     """Run a user's file for its registrations."""
     spec = importlib.util.spec_from_file_location("loom_user", path)

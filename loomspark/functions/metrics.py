@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bind import let
 from .policy import log_softmax, total
@@ -12,6 +17,10 @@ from .tokens import MASKED
 
 #: Ranges of values that average_rank orders apart.
 RANK_RANGES = 1000
+#: Pairs of a block of a batch, and anchors that meet a block at a time.
+BATCH_BLOCK, TILE = 4096, 512
+#: Pairs of a batch that in_batches() takes.
+IN_BATCH = 1024
 
 
 def mean_or(x: Column, empty: float = 0.0) -> Column:
@@ -112,15 +121,103 @@ def ranking_metrics(df: DataFrame, group: list[str], order: str, score: str, lab
     return per.agg(mean_or(F.col("rr")).alias("mrr"), mean_or(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0)).alias("ndcg"))
 
 
+def _blocks(pairs: DataFrame, batch: str, anchor: str, document: str, key: str) -> DataFrame:
+    """Every block of a batch's pairs (side 1) beside every block of it (side 0), sorted by b, x, y and side.
+
+    A batch of n pairs gives 2 * n * blocks rows, each with one pair; blocks have BATCH_BLOCK pairs on average.
+    """
+    vector = lambda c: F.col(c).cast("array<double>")
+    rows = pairs.select(F.col(batch).alias("b"), F.col(key).alias("k"), vector(anchor).alias("q"), vector(document).alias("d"))
+    counts = rows.groupBy("b").agg(F.ceil(F.count("*") / BATCH_BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(counts, "b").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    there = rows.select("b", every.alias("x"), F.col("own").alias("y"), F.lit(0).alias("side"), "k", "q", "d")
+    here = rows.select("b", F.col("own").alias("x"), every.alias("y"), F.lit(1).alias("side"), "k", "q", "d")
+    by = ["b", "x", "y"]
+    return there.unionByName(here).repartition(*by).sortWithinPartitions(*by, "side")
+
+
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """(pairs, the block that they meet): TILE pairs at most at a time."""
+    at, block = None, []
+    for pdf in batches:
+        for name, g in pdf.groupby(["b", "x", "y", "side"], sort=False, dropna=False):
+            if at != name[:3]:
+                at, block = name[:3], []
+            if name[3] == 0:
+                block.append(g)
+            else:
+                block = [pd.concat(block)] if len(block) > 1 else block
+                for i in range(0, len(g), TILE):
+                    yield g.iloc[i : i + TILE], block[0]
+
+
+def _summed(s: np.ndarray, counts: np.ndarray, temperature: float) -> tuple[np.ndarray, np.ndarray]:
+    """Largest value of each row among those that count (-inf: none), and the sum of exp((value - it) / temperature)."""
+    top = np.where(counts, s, -np.inf).max(1, initial=-np.inf)
+    base = np.where(np.isfinite(top), top, 0.0)
+    return top, np.where(counts, np.exp((s - base[:, None]) / temperature), 0.0).sum(1)
+
+
+def _total(parts: DataFrame, by: list[str], temperature: float, *more: Column) -> DataFrame:
+    """Logarithm lse of the whole sum of exp(value / temperature), from tops and sums of blocks; no list is gathered."""
+    most = parts.groupBy(*by).agg(F.max("top").alias("__most"))
+    both = parts.join(most, by).withColumn("__z", F.when(F.col("top") > float("-inf"), F.col("z") * F.exp((F.col("top") - F.col("__most")) / temperature)).otherwise(0.0))
+    return both.groupBy(*by).agg((F.ln(F.sum("__z")) + F.max("__most") / temperature).alias("lse"), *more)
+
+
 def infonce_stats(pairs: DataFrame, batch: str, anchor: str, document: str, key: str, temperature: float = 0.1) -> DataFrame:
     """Per batch: mean positive and negative similarity, margin to the hardest negative, and the InfoNCE loss.
 
-    Every anchor meets the documents of its own batch only; batches are bounded.
+    Every anchor meets the documents of its own batch, in blocks: a product of matrices gives what each
+    anchor has in a block (largest, sums, hardest), so there is neither a row for each two nor a row that holds a batch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for a, d in _met(batches):
+            s = np.stack(a["q"]) @ np.stack(d["d"]).T
+            own = a["k"].to_numpy()[:, None] == d["k"].to_numpy()
+            top, z = _summed(s, np.ones_like(own), temperature)
+            pos, hard = (np.where(m, s, -np.inf).max(1) for m in (own, ~own))
+            yield pd.DataFrame({"b": a["b"], "k": a["k"], "top": top, "z": z, "pos": pos, "hard": hard, "neg": np.where(own, 0.0, s).sum(1), "n": (~own).sum(1)})
+
+    rows = _blocks(pairs, batch, anchor, document, key)
+    kinds = f"b {rows.schema['b'].dataType.simpleString()}, k {rows.schema['k'].dataType.simpleString()}"
+    parts = rows.mapInPandas(run, f"{kinds}, top double, z double, pos double, hard double, neg double, n long")
+    finite = lambda c: F.when(F.col(c) > float("-inf"), F.col(c))
+    per = _total(parts, ["b", "k"], temperature, F.max(finite("pos")).alias("pos"), F.max(finite("hard")).alias("hard"), (F.sum("neg") / F.nullif(F.sum("n"), F.lit(0))).alias("neg"))
+    return per.groupBy(F.col("b").alias(batch)).agg(F.avg("pos").alias("mean_pos"), F.avg("neg").alias("mean_neg"), F.avg(F.col("pos") - F.col("hard")).alias("margin"), F.avg(F.col("lse") - F.col("pos") / temperature).alias("loss"))
+
+
+def infonce_terms(pairs: DataFrame, batch: str, anchor: str, document: str, key: str, temperature: float = 0.1, fake_margin: float | None = None, queries: bool = True, documents: bool = True) -> DataFrame:
+    """(key, loss) of every pair in its batch: infonce_loss() over similarities that are never held, block by block.
+
+    Its own similarity is the positive. Negatives are other documents, other queries, and other documents as the
+    positive sees them; the margin leaves out those of the first two kinds above positive + margin.
     """
-    docs = pairs.select(F.col(batch), F.col(key).alias("__k"), F.col(document).alias("__d"))
-    sims = pairs.join(docs, batch).select(batch, key, (F.col(key) == F.col("__k")).alias("own"), dot(F.col(anchor), F.col("__d")).alias("s"))
-    per = sims.groupBy(batch, key).agg(F.max(F.when(F.col("own"), F.col("s"))).alias("pos"), F.avg(F.when(~F.col("own"), F.col("s"))).alias("neg"), F.max(F.when(~F.col("own"), F.col("s"))).alias("hard"), F.max("s").alias("top"), F.sum(F.exp(F.col("s") / temperature)).alias("z"))
-    return per.groupBy(batch).agg(F.avg("pos").alias("mean_pos"), F.avg("neg").alias("mean_neg"), F.avg(F.col("pos") - F.col("hard")).alias("margin"), F.avg(F.ln("z") - F.col("pos") / temperature).alias("loss"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for a, d in _met(batches):
+            q, p, to = np.stack(a["q"]), np.stack(a["d"]), np.stack(d["d"])
+            own = a["k"].to_numpy()[:, None] == d["k"].to_numpy()
+            pos = (q * p).sum(1)
+            most = np.inf if fake_margin is None else pos[:, None] + fake_margin
+            qd = q @ to.T
+            kinds = [np.where(own | (qd > most), -np.inf, qd)]
+            if queries:
+                qq = q @ np.stack(d["q"]).T
+                kinds.append(np.where(own | (qq > most), -np.inf, qq))
+            if documents:
+                kinds.append(np.where(own, -np.inf, p @ to.T))
+            kinds.append(np.where(own.any(1), pos, -np.inf)[:, None])  # itself, once: where its block is
+            s = np.concatenate(kinds, 1)
+            top, z = _summed(s, np.isfinite(s), temperature)
+            yield pd.DataFrame({"b": a["b"], "k": a["k"], "top": top, "z": z, "pos": pos})
+
+    rows = _blocks(pairs, batch, anchor, document, key)
+    kinds = f"b {rows.schema['b'].dataType.simpleString()}, k {rows.schema['k'].dataType.simpleString()}"
+    per = _total(rows.mapInPandas(run, f"{kinds}, top double, z double, pos double"), ["b", "k"], temperature, F.max("pos").alias("pos"))
+    return per.select(F.col("k").alias(key), (F.col("lse") - F.col("pos") / temperature).alias("loss"))
 
 
 def infonce_loss(sims: Column, positive: Column, temperature: float = 0.1, fake_margin: float | None = None, queries: Column | None = None, query: Column | None = None, documents: Column | None = None) -> Column:
@@ -148,8 +245,12 @@ def infonce_loss(sims: Column, positive: Column, temperature: float = 0.1, fake_
 
 
 def in_batches(pairs: DataFrame, batch: str, anchor: str, document: str, key: str) -> DataFrame:
-    """Adds place (in its batch, by key) and the similarities qd, qq and dd of each pair to its whole, bounded batch."""
-    lists = pairs.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(anchor).alias("q"), F.col(document).alias("d")))).alias("__l"))
+    """Adds place (in its batch, by key) and the similarities qd, qq and dd of each pair to its whole batch.
+
+    For batches of IN_BATCH pairs or fewer, where a larger one is an error; infonce_terms() takes any.
+    """
+    few = F.assert_true(F.count("*") <= IN_BATCH, F.lit(f"a batch has more than {IN_BATCH} pairs"))
+    lists = pairs.groupBy(batch).agg(few.alias("__few"), F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(anchor).alias("q"), F.col(document).alias("d")))).alias("__l")).where("__few is null")
     rows = pairs.join(lists, batch)
     scores = lambda a, of: F.transform("__l", lambda x: dot(a, x[of]))
     q, d = F.col(anchor), F.col(document)
@@ -212,16 +313,29 @@ def rouge_n(got: Column, want: Column, n: int) -> Column:
     return F.when(F.size(a) + F.size(b) > 0, 2.0 * common / (F.size(a) + F.size(b))).otherwise(0.0)
 
 
-def rouge_l(got: Column, want: Column) -> Column:
-    """F1 of the longest common subsequence of word arrays, one fold over rows of the table."""
-    zero = F.transform(F.concat(F.array(F.lit("")), want), lambda _: F.lit(0))
+def common_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence; the rows of its table are bits of one number."""
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for x in b:
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & whole
+    return len(a) - row.bit_count()
 
-    def row(prev: Column, g: Column) -> Column:
-        start = F.array(F.lit(0))
-        return F.aggregate(F.sequence(F.lit(1), F.size(want)), start, lambda cur, j: F.concat(cur, F.array(F.when(F.get(want, j - 1) == g, F.get(prev, j - 1) + 1).otherwise(F.greatest(F.get(prev, j), F.element_at(cur, -1))))))
 
-    lcs = F.element_at(F.aggregate(got, zero, row), -1)
-    return F.when((F.size(got) > 0) & (F.size(want) > 0), 2.0 * lcs / (F.size(got) + F.size(want))).otherwise(0.0)
+def _common_lengths(got: pd.Series, want: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else common_length(list(a), list(b)) for a, b in zip(got, want, strict=True)], dtype="Int64")
+
+
+common_lengths = F.pandas_udf(_common_lengths, T.LongType())
+
+
+def rouge_l(got: Column, want: Column) -> Column:
+    """F1 of the longest common subsequence of word arrays."""
+    return F.when((F.size(got) > 0) & (F.size(want) > 0), 2.0 * common_lengths(got, want) / (F.size(got) + F.size(want))).otherwise(0.0)
 
 
 def bleu(got: Column, want: Column, n: int = 4) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .bind import let
 
 BOUND = 20.0
+#: Parts of a range in one round of a quantile, and values that the driver may sort at the end.
+BINS, LAST = 4096, 10_000
 
 
 def total(x: Column) -> Column:
@@ -125,10 +127,53 @@ def weight_metrics(df: DataFrame, weights: str, mask: str, most: float = 2.0) ->
     return out.select("is_weight_mean", (1 / F.greatest(F.col("m2") / ((F.col("mc") + 1e-8) * (F.col("mc") + 1e-8)), F.lit(1e-10))).alias("ess"), "zero_frac")
 
 
+def _ranked(values: DataFrame, rank: int, lo: float, hi: float, n: int) -> tuple[float, float | None]:
+    """The value of a 0-based rank among n values v from lo to hi, and the next one if it is among those read last.
+
+    Rounds of histograms: each cuts the part that holds the rank into BINS, of which the driver reads counts and
+    ends, until the part has LAST values at most or only one.
+    """
+    before = 0
+    part = values
+    while lo < hi and n > LAST:
+        # halves, so that the span is finite for any two finite doubles
+        place = F.least(F.floor((F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2) * BINS), F.lit(BINS - 1))
+        bins = sorted(part.groupBy(place.alias("at")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())  # BINS rows at most
+        for b in bins:
+            if before + b["n"] > rank:
+                lo, hi, n = b["lo"], b["hi"], b["n"]
+                break
+            before += b["n"]
+        part = values.where(F.col("v").between(lo, hi))
+    if lo == hi:
+        return lo, lo if rank + 1 < before + n else None
+    found = sorted(r[0] for r in part.collect())  # LAST values at most
+    at = rank - before
+    return found[at], found[at + 1] if at + 1 < len(found) else None
+
+
+def exact_quantile(df: DataFrame, value: Column, q: float) -> float | None:
+    """The exact quantile, linear between neighbours; nulls and NaN do not count. None without values.
+
+    No task or driver holds the values: the range that has the rank is narrowed until LAST are left.
+    """
+    values = df.select(value.cast("double").alias("v")).where("v is not null and not isnan(v)")
+    n, lo, hi = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    rank, rest = divmod(q * (n - 1), 1)
+    first, after = _ranked(values, int(rank), lo, hi, n)
+    if not rest:
+        return first
+    if after is None:
+        after = values.where(F.col("v") > first).agg(F.min("v")).first()[0]
+    return first + rest * (after - first)
+
+
 def entropy_threshold(df: DataFrame, entropy: str, mask: str, top: float) -> DataFrame:
     """The exact quantile (linear between neighbours) above which the top share of tokens lies."""
     t = df.select(F.explode(F.arrays_zip(F.col(entropy).alias("e"), F.col(mask).alias("m"))).alias("x")).where("x.m > 0")
-    return t.agg(F.percentile("x.e", 1 - top).alias("threshold"))
+    return df.sparkSession.createDataFrame([(exact_quantile(t, F.col("x.e"), 1 - top),)], "threshold double")
 
 
 def chord_weight(step: Column, warmup: int, decay: int, peak: float, valley: float) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import algebra
 from .bind import let
 from .delimit import stripped
 from .tokens import SPACE
@@ -88,9 +91,20 @@ def clean_math(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\\dfrac|\\tfrac", r"\\frac"), r"\\text\{([^{}]*)\}", "$1")
 
 
+def _same_formulas(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else float(algebra.same(x, y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+same_formulas = F.pandas_udf(_same_formulas, T.DoubleType())
+
+
 def same_answer(a: Column, b: Column) -> Column:
-    """Equality of cleaned formulas: weaker than symbolic equality, which needs an algebra system."""
-    return _flag(clean_math(a) == clean_math(b))
+    """1.0 where cleaned formulas are equal as texts, or as quotients of polynomials with rational coefficients.
+
+    So 1/2, 0.5 and \\frac{1}{2} agree, and 2(x+1) and 2x+2. Roots and functions are compared as texts.
+    """
+    x, y = clean_math(a), clean_math(b)
+    return F.when(x == y, 1.0).otherwise(F.coalesce(same_formulas(x, y), F.lit(0.0)))
 
 
 def judged(text: Column) -> Column:

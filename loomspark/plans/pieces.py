@@ -335,6 +335,14 @@ def user_metrics(spark, sf_dir):
     return state.crossJoin(plain).crossJoin(d.where("n_chars < 0").agg(metrics.mean_or(F.col("n_chars"), -1.0).alias("none")))
 
 
+@query("select list(n_chars order by n_chars desc)[1:3] as longest, count(distinct lang)::double as langs, count(distinct source)::double as sources from documents")
+def merged_metrics(spark, sf_dir):
+    """Metrics whose states are no sums: the largest values, and distinct values by their least hashes."""
+    d = docs(spark, sf_dir).select("n_chars", "lang", "source")
+    row = (extend.Largest("n_chars", 3).over(d), extend.Distinct("lang").over(d), extend.Distinct("source").over(d))
+    return spark.createDataFrame([row], "longest array<long>, langs double, sources double")
+
+
 @query("select conv_id, turn, 1.0::double as same_rouge, 1.0::double as same_bleu, 0.0::double as other from conversations where regexp_matches(text, '[^\\x20\\x09-\\x0D]')")
 def equal_texts_score(spark, sf_dir):
     """ROUGE-L and BLEU of a text against itself and against none of its words."""

@@ -260,8 +260,7 @@ from t join (select vec_id, top from k) using (vec_id) group by t.vec_id""")
 def infonce_terms(spark, sf_dir):
     """Loss of each pair against the documents and queries of its batch, and of its document against the others."""
     p = _pairs(spark, sf_dir).withColumn("batch", F.floor(F.col("vec_id") / 16))
-    b = metrics.in_batches(p.select("batch", "vec_id", "embedding", "other"), "batch", "embedding", "other", "vec_id")
-    return b.select("vec_id", metrics.infonce_loss(F.col("qd"), F.col("place"), 0.1, 0.1, F.col("qq"), F.col("place"), F.col("dd")).alias("loss"))
+    return metrics.infonce_terms(p, "batch", "embedding", "other", "vec_id", 0.1, 0.1)
 
 
 @query(f"""with d as (select y, {DOT} / (sqrt({DOT.replace('b[i]', 'a[i]')}) * sqrt({DOT.replace('a[i]', 'b[i]')})) as c from ({PAIRS})), e as (select y, c, 1 - c as d from d),
