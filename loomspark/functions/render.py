@@ -33,6 +33,15 @@ class Template:
             raise ValueError("a system prefix needs {{SYSTEM}}")
 
 
+def template_faults(prompt: Column, system_prefix: Column, prefix: Column) -> Column:
+    """What is wrong with templates that a table holds, as Template() judges them: an array of faults, empty if none."""
+    faults = F.array(
+        F.when(~F.coalesce(prompt, F.lit("")).contains("{{QUERY}}"), "a prompt needs {{QUERY}}"), F.when(system_prefix.isNotNull() & ~system_prefix.contains("{{SYSTEM}}"), "a system prefix needs {{SYSTEM}}"),
+        F.when(prefix.contains("{{SYSTEM}}"), "the prefix is for rows without a system"),
+    )
+    return F.array_compact(faults)
+
+
 # Two public template formats.
 CHATML = Template("chatml", "<|im_start|>user\n{{QUERY}}<|im_end|>\n<|im_start|>assistant\n", "<|im_end|>\n", "<|im_end|>\n", "", "<|im_start|>system\n{{SYSTEM}}<|im_end|>\n")
 PLAIN = Template("generate", "{{QUERY}}", "", "", "", "{{SYSTEM}}")

@@ -90,7 +90,7 @@ def dynamic_batch(df: DataFrame, group: str, reward: str, order: str, groups: in
     """The first groups with spread, in order; the original rows if there are not enough."""
     per = df.groupBy(group).agg(F.coalesce(F.stddev_samp(reward), F.lit(0.0)).alias("s"), F.min(order).alias("o")).where("s > 0")
     chosen = per.orderBy("o", group).limit(groups).select(group)
-    return df if chosen.count() < groups else df.join(F.broadcast(chosen), group, "left_semi")
+    return df if chosen.count() < groups else df.join(chosen, group, "left_semi")
 
 
 def normalised(df: DataFrame, group: str, score: str, name: str = "score_norm") -> DataFrame:

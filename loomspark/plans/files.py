@@ -18,13 +18,17 @@ def plain(spark, sf_dir) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", "source", "lang", "h")
 
 
-@query("""select * from (values ('hf::a/b:x/y#20', 'hf', 'a/b', 'x,y', 20, 'hf::a/b:x/y#20'), ('MS::a#5', 'ms', 'a', '', 5, 'ms::a#5'), ('a/b.jsonl', null, 'a/b.jsonl', '', null, 'a/b.jsonl'),
-('c: all ', null, 'c', 'all', null, 'c:all'), ('x::y', null, 'y', '', null, 'y'), ('kept#1:2', null, 'kept#1:2', '', null, 'kept#1:2')) t(text, hub, name, subsets, n, back)""")
+TEXT = "case doc_id % 5 when 0 then 'HF::' || source || '/' || lang || ':' || lang || '/ b #' || doc_id when 1 then 'zz::' || source when 2 then ' ' || lang || '#5#' || doc_id when 3 then source || ':all' else 'kept#1:' || source end"
+
+
+@query(f"""with t as (select doc_id, source, lang, {TEXT} as text from documents)
+select doc_id, text, case when doc_id % 5 = 0 then 'hf' end as hub, case doc_id % 5 when 0 then source || '/' || lang when 1 then source when 2 then lang || '#5' when 3 then source else text end as name,
+case doc_id % 5 when 0 then lang || ',b' when 3 then 'all' else '' end as subsets, case when doc_id % 5 in (0, 2) then doc_id::int end as n from t""")
 def source_strings(spark, sf_dir):
-    """hub::name:subset/subset#count, and a path that exists."""
-    texts = ["hf::a/b:x/y#20", "MS::a#5", "a/b.jsonl", "c: all ", "x::y", "kept#1:2"]
-    rows = [(t, s.hub, s.name, ",".join(s.subsets), s.count, str(s)) for t in texts for s in [catalog.Source.parse(t, lambda x: x == "kept#1:2")]]
-    return spark.createDataFrame(rows, "text string, hub string, name string, subsets string, n int, back string")
+    """hub::name:subset/subset#count in a table's rows, and paths that exist."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(TEXT).alias("text"))
+    s = d.select("doc_id", "text", catalog.parsed(F.col("text"), lambda t: t.startswith("kept")).alias("s"))
+    return s.select("doc_id", "text", "s.hub", "s.name", F.array_join("s.subsets", ",").alias("subsets"), F.col("s.count").alias("n"))
 
 
 @query(f"with {DOCS} select 'documents' as name, count(*) as n, count(distinct source) as n_channels from d union all select 'benchmark', count(*), 0 from benchmark")
@@ -86,10 +90,13 @@ def jsonl_with_schema(spark, sf_dir):
     return digest(normalize.normalize(catalog.read_jsonl(spark, at, "doc_id long, query string, response string"), keep=("doc_id",)))
 
 
-@query("select * from (values (1, 'x', null), (null, null, 2.5::double)) t(a, b, c)")
+@query("select case when doc_id % 2 = 0 then doc_id end as a, case when doc_id % 2 = 0 then lang end as b, case when doc_id % 2 = 1 then n_chars + 0.5::double end as c from documents")
 def rows_with_unequal_keys(spark, sf_dir):
-    got = catalog.from_rows(spark, [{"a": 1, "b": "x"}, {"c": 2.5}])
-    return got.select(F.col("a").cast("int").alias("a"), "b", F.col("c").cast("double").alias("c"))
+    """JSON objects whose keys differ from row to row, as columns."""
+    d = table(spark, sf_dir, "documents")
+    even = F.to_json(F.struct(F.col("doc_id").alias("a"), F.col("lang").alias("b")))
+    rows = d.select(F.when(F.col("doc_id") % 2 == 0, even).otherwise(F.to_json(F.struct((F.col("n_chars") + F.lit(0.5).cast("double")).alias("c")))).alias("j"))
+    return catalog.rows_of_json(rows, "j").select("a", "b", F.col("c").cast("double").alias("c"))
 
 
 @query("select part, count(*) as n from (select case when doc_id % 4 = 0 then 'val' else 'train' end as part from documents) group by part")

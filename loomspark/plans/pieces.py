@@ -6,7 +6,7 @@ import asyncio
 
 from pyspark.sql import functions as F
 
-from ..functions import encode, extend, lossmask, metrics, prompts, render, rewards, tokens, tools
+from ..functions import encode, extend, jsonfix, lossmask, metrics, prompts, render, rewards, tokens, tools
 from ..operators import advantage, combine, expand, filters, normalize, packing, sampling
 from ..sources.scratch import folder
 from ..streaming import streams
@@ -97,13 +97,13 @@ def rows_with_files(spark, sf_dir):
     return got.where(filters.alias_present(F.array("lang"), ["en", "fr"])).select("doc_id", "lang")
 
 
-@query("select count(*) as n, true as good, true as strict from documents")
+@query("""with g as (select doc_id, source, row_number() over (order by md5('redraw:' || doc_id), doc_id) as r from documents where doc_id % 2 = 0), bad as (select count(*) as n from documents where doc_id % 2 = 1)
+select doc_id, count(*) as times from (select doc_id from g union all select doc_id from g, bad where r <= n) group by doc_id""")
 def redrawn_rows(spark, sf_dir):
-    """Bad rows are replaced by good ones; a strict check passes them all."""
+    """Bad rows are replaced by good ones in hash order, and a strict check passes them all."""
     d = docs(spark, sf_dir).select("doc_id", F.when(EVEN(), normalize.message("user", SRC())).alias("m")).select("doc_id", F.array("m").alias("messages"))
-    got = filters.redraw(d, filters.valid_messages(F.col("messages")), "doc_id")
-    strict = filters.drop_bad(got, strict=True)
-    return strict.agg(F.count("*").alias("n"), F.bool_and(filters.valid_messages(F.col("messages"))).alias("good"), (F.count("messages") == F.count("*")).alias("strict"))
+    got = filters.drop_bad(filters.redraw(d, filters.valid_messages(F.col("messages")), "doc_id"), strict=True)
+    return got.groupBy("doc_id").agg(F.count("*").alias("times"))
 
 
 @query(f"with {DOCS} select doc_id, source, lang as word, 0 as i from d union all select doc_id, source, h, 1 from d")
@@ -351,6 +351,39 @@ def equal_texts_score(spark, sf_dir):
     return c.select("conv_id", "turn", F.round(metrics.rouge_l(F.col("w"), F.col("w")), 9).alias("same_rouge"), F.round(metrics.bleu(F.col("w"), F.col("w")), 9).alias("same_bleu"), metrics.rouge_l(F.col("w"), other).alias("other"))
 
 
+@query(f"with {DOCS} select doc_id, md5('user:' || source || '|assistant:' || h) as first, md5('user:' || source || '|user:' || lang) as second, md5('user:' || source || '|assistant:' || lang) as negative from d")
+def attached_answers(spark, sf_dir):
+    """Positives and negatives, each as a conversation of its own after the one it belongs to."""
+    turn = lambda role, c: F.array(F.array(F.struct(F.lit(role).alias("role"), c.alias("content"))))
+    d = docs(spark, sf_dir).select("doc_id", turn("user", SRC())[0].alias("messages"), F.concat(turn("assistant", H()), turn("user", LANG())).alias("positive_messages"), turn("assistant", LANG()).alias("negative_messages"))
+    got = encode.attached(encode.attached(d), "negative")
+    return got.select("doc_id", F.md5(shown(F.col("positive_messages")[0])).alias("first"), F.md5(shown(F.col("positive_messages")[1])).alias("second"), F.md5(shown(F.col("negative_messages")[0])).alias("negative"))
+
+
+@query(f"with {DOCS} select doc_id, case when doc_id % 3 = 0 then 1 else 0 end + case when doc_id % 5 = 0 then 1 else 0 end + case when doc_id % 7 = 0 then 1 else 0 end as n, doc_id % 3 = 0 as query, doc_id % 5 = 0 as system from d")
+def checked_templates(spark, sf_dir):
+    """Templates in a table's rows, and what is wrong with them."""
+    bad = lambda n: F.col("doc_id") % n == 0
+    faults = render.template_faults(words(SRC(), F.when(bad(3), "{{ASK}}").otherwise("{{QUERY}}")), words(LANG(), F.when(bad(5), "").otherwise("{{SYSTEM}}")), words(LANG(), F.when(bad(7), "{{SYSTEM}}").otherwise("")))
+    d = docs(spark, sf_dir).select("doc_id", faults.alias("f"))
+    has = lambda t: F.exists("f", lambda x: x.contains(t))
+    return d.select("doc_id", F.size("f").alias("n"), has("{{QUERY}}").alias("query"), has("prefix needs").alias("system"))
+
+
+@query(f"with {DOCS} select doc_id, source as name, n_chars as n, lang as last from d")
+def repaired_arguments(spark, sf_dir):
+    """Arguments of tool calls that are no JSON, each broken in its own way, and what they were meant to be."""
+    n = F.col("n_chars").cast("string")
+    forms = [
+        words("{'name': '", SRC(), "', 'n': ", n, ", 'tags': ['", LANG(), "']}"), words('```json\n{"name": "', SRC(), '", "n": ', n, ', "tags": ["x", "', LANG(), '",],}\n```'), words('{name: "', SRC(), '" n: ', n, ", tags: [", LANG(), "]}"),
+        words('{"name": "', SRC(), '", // it\n"n": ', n, ', "ok": True, "tags": ["', LANG(), '"'), words('{"name": "', SRC(), '", "n": ', n, ', "tags": ["', LANG()), words('{"name": "', SRC(), '", "n": ', n, ', "tags": ["', LANG(), '"]}'),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("doc_id") % len(forms) + 1).cast("int"))
+    j = docs(spark, sf_dir).select("doc_id", jsonfix.repair(text).alias("j"))
+    tags = F.from_json(F.get_json_object("j", "$.tags"), "array<string>")
+    return j.select("doc_id", F.get_json_object("j", "$.name").alias("name"), F.get_json_object("j", "$.n").cast("long").alias("n"), F.element_at(tags, -1).alias("last"))
+
+
 # -- packing, streams --------------------------------------------------------------------------
 
 

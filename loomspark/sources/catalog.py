@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.combine import concat
@@ -46,6 +46,25 @@ class Source:
         return (f"{self.hub}::" if self.hub else "") + self.name + (f":{'/'.join(self.subsets)}" if self.subsets else "") + (f"#{self.count}" if self.count is not None else "")
 
 
+def parsed(text: Column, exists: Callable[[Column], Column] = lambda _: F.lit(False)) -> Column:
+    """Source.parse() of a column of source strings: struct of hub, name, subsets and count (null where it is no number)."""
+
+    def cut(t: Column, sign: str, last: bool = False) -> tuple[Column, Column, Column]:
+        """Whether the sign splits t, what is before it, and what is after it."""
+        has = ~exists(t) & t.contains(sign)
+        before = F.substring_index(t, sign, 1) if not last else F.substr(t, F.lit(1), F.char_length(t) - F.char_length(F.substring_index(t, sign, -1)) - len(sign))
+        return has, before, F.substr(t, F.char_length(before) + len(sign) + 1)
+
+    has, head, rest = cut(text, "::")
+    hub = F.when(has & F.lower(head).isin(*HUBS), F.lower(head))
+    text = F.when(has, rest).otherwise(text)
+    has, rest, n = cut(text, "#", True)
+    count, text = F.when(has, n).try_cast("int"), F.when(has, rest).otherwise(text)
+    has, rest, names = cut(text, ":")
+    subsets = F.when(has, F.transform(F.split(names, "/"), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
+    return F.struct(hub.alias("hub"), F.trim(F.when(has, rest).otherwise(text)).alias("name"), subsets.alias("subsets"), count.alias("count"))
+
+
 @dataclass(frozen=True)
 class Subset:
     name: str = "default"
@@ -164,6 +183,18 @@ def from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], names)
 
 
+def rows_of_json(df: DataFrame, text: str) -> DataFrame:
+    """The columns of a column of JSON objects with unequal keys; missing values are null.
+
+    The types come from one pass over all rows, in which Spark merges the schemas of the objects.
+    """
+    schema = df.agg(F.schema_of_variant_agg(F.try_parse_json(text))).first()[0]
+    if not schema.startswith("OBJECT<"):
+        raise ValueError(f"rows are no objects: {schema}")
+    schema = schema.replace("OBJECT<", "STRUCT<").replace(": VOID", ": STRING")
+    return df.select(F.from_json(text, schema).alias("r")).select("r.*")
+
+
 def read_cached(spark: SparkSession, path: str, count: int | None = None, most: int | None = None, key: str = "id", length: str = "length") -> DataFrame:
     """A written data set again: sampled if a count is given, without rows longer than most."""
     from ..operators.filters import by_length

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import exists
+
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     """JSON lines in UTF-8; nulls are kept so that all rows have the same keys."""
@@ -36,18 +38,13 @@ def write_batches(df: DataFrame, path: str, batch: str) -> list[int]:
     Each batch is one overwrite of one partition, so a run that broke off goes on where it was.
     Gives the batches that were written.
     """
-    spark = df.sparkSession
-    try:
-        done = {r[0] for r in spark.read.parquet(path).select(batch).distinct().collect()}  # one row for each batch
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        done = set()
-    todo = sorted(r[0] for r in df.select(batch).distinct().collect() if r[0] not in done)
-    if todo:
-        out = df.where(F.col(batch).isin(todo))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch).parquet(path)
-    return todo
+    spark, todo = df.sparkSession, df
+    if exists(spark, path):
+        todo = df.join(spark.read.parquet(path).select(F.col(batch).cast(df.schema[batch].dataType)).distinct(), batch, "left_anti")
+    new = sorted(r[0] for r in todo.select(batch).distinct().collect())  # one name for each batch that is written
+    if new:
+        todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch).parquet(path)
+    return new
 
 
 def state_json(batches: list[int]) -> str:

@@ -1,5 +1,6 @@
 """Exact results against plain versions: quantiles, in-batch losses, subsequences, formulas, metrics with state."""
 
+import json
 import math
 import random
 
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark import plans
-from loomspark.functions import algebra, extend, metrics, policy, rewards
+from loomspark.functions import algebra, extend, jsonfix, metrics, policy, rewards
+from loomspark.sources import catalog
 
 from .compare import DATA
 
@@ -121,3 +123,20 @@ def test_metric_states_merge(spark):
     assert extend.Distinct("t").over(df) == 700.0
     assert abs(extend.Distinct("t", 128).over(df) / 700 - 1) < 0.3
     assert extend.Mean("id").over(df) == 2499.5
+
+
+@pytest.mark.parametrize(("text", "value"), [
+    ('{"a": 1}', {"a": 1}), ("{'a': 'it\\'s', \"b\": [1, 2,],}", {"a": "it's", "b": [1, 2]}), ("{a: true, b: None, c: NaN}", {"a": True, "b": None, "c": None}), ('{"a": "b', {"a": "b"}), ('[1 2, "x"', ["1 2", "x"]), ('say {"a": {"b": [1, {"c": 2}}', {"a": {"b": [1, {"c": 2}]}}),
+    ('{"a" "b"}', {"a": None, "b": None}), ('{"a": , "b": -1.5e3}', {"a": None, "b": -1500.0}), ('{"a": "\\u00e9\\n" /* no */}', {"a": "é\n"}), ("none at all", None), ("", None), ("[" * 3000, None), ("{" + ":" * 2000, {}),
+])
+def test_repaired_json(text, value):
+    got = jsonfix.repaired(text)
+    assert (None if got is None else json.loads(got)) == value
+
+
+def test_source_columns_equal_source_strings(spark):
+    texts = ["hf::a/b:x/y#20", "MS::a#5", "a/b.jsonl", "c: all ", "x::y", "kept#1:2", "a#1#2", "::", "a::b::c:d:e", "", " hf::x"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", catalog.parsed(F.col("t"), lambda t: t == "kept#1:2").alias("s")).collect()
+    for t, s in got:
+        want = catalog.Source.parse(t, lambda x: x == "kept#1:2")
+        assert (s["hub"], s["name"], tuple(s["subsets"]), s["count"]) == (want.hub, want.name, want.subsets, want.count)
