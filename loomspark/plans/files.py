@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import normalize
+from ..operators import normalize, recipes
 from ..sources import catalog, sinks
 from ..sources.scratch import folder
 from .registry import query, table
@@ -48,7 +48,16 @@ def catalog_chats(spark, sf_dir):
     return m.select(F.md5(F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
 
 
-@query(f"with {DOCS} select part, count(*) as n, md5(string_agg(k, ',' order by k)) as digest from (select 'user:' || source || '|assistant:' || h as k, 'default' as part from d union all select 'user:' || lang || '|assistant:' || h, 'b' from d union all select 'user:' || lang || '|assistant:' || h, 'a' from d) group by part")
+@query(f"with {DOCS}, t as (select source, lang from d) select md5('user:' || source || '|assistant:' || lang) as digest, count(*) as n from t group by 1")
+def configured_entry(spark, sf_dir):
+    """A registered table whose transform is a recipe with its settings filled in."""
+    known = catalog.register_tables(sf_dir, catalog.Catalog())
+    catalog.configured(known, "tables/documents", recipes.query_response, query="source", response="lang")
+    m = catalog.load_one(spark, "tables/documents", known)
+    return m.select(F.md5(F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
+
+
+@query(f"with {DOCS} select part, count(*) as n, sum(('0x' || md5(k)[1:8])::bigint)::bigint as digest from (select 'user:' || source || '|assistant:' || h as k, 'default' as part from d union all select 'user:' || lang || '|assistant:' || h, 'b' from d union all select 'user:' || lang || '|assistant:' || h, 'a' from d) group by part")
 def catalog_subsets(spark, sf_dir):
     """Subsets by default, by name and all that are not weak, with files and renamed columns of their own."""
     at = folder(spark)
@@ -61,7 +70,7 @@ def catalog_subsets(spark, sf_dir):
     for text, part in (("x", "default"), ("org/x:two", "b"), ("sets/x:two", "a")):
         got = catalog.load_one(spark, text, known).select(F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|").alias("k"), F.lit(part).alias("part"))
         out = got if out is None else out.unionByName(got)
-    return out.groupBy("part").agg(F.count("*").alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("k")), ",")).alias("digest"))
+    return out.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5("k"), 1, 8), 16, 10).cast("long")).alias("digest"))  # a sum does not depend on order
 
 
 @query(f"with {DOCS} select doc_id, kind, md5(source || '|' || case when kind = 'csv' and lang = 'fr' then '' else lang end || '|' || h) as digest from d, (select unnest(['jsonl', 'json', 'csv', 'orc', 'parquet']) as kind)")

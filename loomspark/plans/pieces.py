@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import asyncio
+import tempfile
 
 from pyspark.sql import functions as F
 
@@ -326,6 +327,26 @@ def user_rewards(spark, sf_dir):
     return extend.scored(docs(spark, sf_dir).select("doc_id", "lang"), ["plain", "late"], "lang", ("doc_id",)).select("doc_id", "plain", "late")
 
 
+USER_FILE = """from loomspark.functions import extend
+
+
+@extend.reward("starts")
+def starts(completions, source, **more):
+    return [float(s.endswith(t[-1:])) if t else None for t, s in zip(completions, source)]
+"""
+
+
+@query("select doc_id, case when lang <> '' then (right(source, 1) = right(lang, 1))::int::double end as starts from documents")
+def loaded_rewards(spark, sf_dir):
+    """A reward that a user's own file registers when it is run."""
+    with tempfile.TemporaryDirectory() as at:  # only the driver reads the file; its function travels with the job
+        path = f"{at}/mine.py"
+        with open(path, "w") as f:
+            f.write(USER_FILE)
+        extend.load_file(path)
+    return extend.scored(docs(spark, sf_dir).select("doc_id", "lang", "source"), ["starts"], "lang", ("source",)).select("doc_id", "starts")
+
+
 @query("select avg(n_chars) as by_state, avg(n_chars) as plain, -1.0::double as none from documents")
 def user_metrics(spark, sf_dir):
     """A metric with a state that merges, and a mean with a value for no rows."""
