@@ -274,6 +274,27 @@ def scan(texts: list[str], fitted: tuple | None = None) -> list[tuple[list[tuple
     return out
 
 
+def value_of(text: str, span: tuple[int, int, int]) -> tuple[int, int]:
+    """What the network reads of a base span: the value of an assignment, else the whole span."""
+    s, kind, e = span
+    return ASSIGN.match(text, s, e).span(2) if kind == 0 else (s, e)
+
+
+def probabilities(texts: list[str], spans: list[list[tuple[int, int, int]]], fitted: tuple | None = None) -> list[list[float]]:
+    """The network's calibrated probability of every span, base ones included, in the order of listed()."""
+    net, _, edges, probs = fitted or model()
+    read = [[(value_of(t, x) if x[1] == 0 else (x[0], x[2])) for x in sorted(own)] for t, own in zip(texts, spans, strict=True)]
+    parts = [[pieces(s, e) if e - s > INSIDE else [(s, e)] for s, e in r] for r in read]
+    whole = [[[span, *p] for span, p in zip(r, own, strict=True)] for r, own in zip(read, parts, strict=True)]
+    x = [windows(t, [span for p in w for span in p]) for t, w in zip(texts, whole, strict=True) if w]
+    p_of, at, out = probability(net.scores(np.concatenate(x)), edges, probs) if x else np.zeros(0), 0, []
+    for w in whole:
+        ends = at + np.cumsum([len(p) for p in w]).astype(int)
+        out.append([float(p_of[b:e].max()) for b, e in zip([at, *ends[:-1]], ends, strict=True)] if w else [])
+        at = int(ends[-1]) if w else at
+    return out
+
+
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
@@ -292,6 +313,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 def scan_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), redact: bool = False) -> DataFrame:
     """Spans of every whole text; a narrow transformation, no shuffle.
 
+    probabilities has what the network gives to each of spans, in their order: base spans stay whatever it says.
     A null text counts as empty: no spans. With redact, the text comes back with each span
     replaced (null stays null), beside the kept columns.
     """
@@ -308,11 +330,13 @@ def scan_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
                 pdf[f"n_{name}"] = np.array([sum(s[1] == k for s in b + a) for b, a in found], np.int64)
             pdf["base_sha256"] = [hashlib.sha256(listed(b).encode()).hexdigest() for b, _ in found]
             pdf["spans"] = [listed(b + a) for b, a in found]
+            scored = probabilities(["" if t is None else t for t in texts], [b + a for b, a in found], fitted.value)
+            pdf["probabilities"] = [",".join(f"{p:.3f}" for p in own) for own in scored]
             if redact:
                 pdf["redacted"] = [None if t is None else redacted(t, b + a) for t, (b, a) in zip(texts, found, strict=True)]
             yield pdf
 
-    return kept.mapInPandas(run, f"{fields}, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string" + ", redacted string" * redact)
+    return kept.mapInPandas(run, f"{fields}, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string, probabilities string" + ", redacted string" * redact)
 
 
 def redacted_column(text: Column) -> Column:

@@ -63,7 +63,7 @@ def shown(sigs: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Jaccard of two signature sets; sets that share no length bound are not intersected."""
+    """Jaccard of two signature sets."""
     return _let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
 
 
