@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, policy, tokens
 from ..operators import advantage, combine
+from .data import WORDS
 from .registry import query, table
 
 
@@ -310,9 +311,23 @@ def rouge(spark, sf_dir):
     return p.select("conv_id", "turn", metrics.rouge_n(F.col("a"), F.col("b"), 1).alias("rouge1"), metrics.rouge_n(F.col("a"), F.col("b"), 2).alias("rouge2"))
 
 
-@query()
+def _grams(words: str, k: int) -> str:
+    return f"case when len({words}) < {k} then []::varchar[] else list_transform(range(1, len({words}) - {k - 2}), lambda i: array_to_string({words}[i : i + {k - 1}], ' ')) end"
+
+
+def _precision(k: int) -> str:
+    hits = f"coalesce(list_sum(list_transform(list_distinct(a{k}), lambda g: least(len(list_filter(a{k}, lambda x: x = g)), len(list_filter(b{k}, lambda x: x = g))))), 0)"
+    return f"ln(greatest(({hits} + {int(k > 1)})::double / greatest(len(a{k}) + {int(k > 1)}, 1), 1e-12::double)) / 4"
+
+
+@query(f"""with recursive c as (select conv_id, turn, {WORDS} as a from conversations), p as (select x.conv_id, x.turn, x.a, y.a as b from c x join c y on x.conv_id = y.conv_id and y.turn = x.turn + 1),
+table_ as (select conv_id, turn, 0 as i, list_transform(range(len(b) + 1), lambda j: 0) as r from p union all
+  select r.conv_id, r.turn, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: case when k > 1 and b[k - 1] = a[i + 1] then r[k - 1] + 1 else r[k] end))) from table_ r join p using (conv_id, turn) where i < len(a)),
+g as (select *, {", ".join(f"{_grams(x, k)} as {x}{k}" for k in range(1, 5) for x in "ab")} from p)
+select conv_id, turn, case when len(a) > 0 and len(b) > 0 then 2.0::double * r[len(b) + 1] / (len(a) + len(b)) else 0.0 end as rouge_l,
+case when len(a) = 0 then 0.0 else exp({" + ".join(map(_precision, range(1, 5)))} + least(0.0::double, 1 - len(b)::double / greatest(len(a), 1))) end as bleu from g join table_ using (conv_id, turn) where i = len(a)""")
 def rouge_l_bleu(spark, sf_dir):
-    """ROUGE-L and BLEU-4 of each turn against the next (checked against plain Python in the tests)."""
+    """ROUGE-L and BLEU-4 of each turn against the next; SQL fills the table of subsequences row by row."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", tokens.words(F.col("text")).alias("a"))
     p = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
     return p.select("conv_id", "turn", metrics.rouge_l(F.col("a"), F.col("b")).alias("rouge_l"), metrics.bleu(F.col("a"), F.col("b")).alias("bleu"))
