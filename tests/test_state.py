@@ -2,13 +2,17 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomspark import plans
 from loomspark.operators import packing, sampling
 from loomspark.streaming import streams
 
+from .compare import DATA
+
 
 class Broken:
     """A sink that loses one batch half written, once."""
@@ -119,3 +123,27 @@ def test_first_rows_of_an_order(spark):
     assert sampling.topped_up(df, df, F.col("good"), "id", 7).count() == 7
     with pytest.raises(ValueError):
         sampling.topped_up(df, df, F.col("good"), "id", 201)
+
+
+def plain_bins(items, volume):
+    """Longest first, each into the fullest bin with room, by looking at every bin."""
+    bins = []
+    for item in sorted(items, key=lambda x: (-x[1], x[0])):
+        room = [(volume - sum(n for _, n in b) - item[1], i) for i, b in enumerate(bins)]
+        fits = [x for x in room if x[0] >= 0 and x[0] + item[1] > 0]
+        if fits:
+            bins[min(fits)[1]].append(item)
+        else:
+            bins.append([item])
+    return bins
+
+
+def test_packed_documents_equal_their_plain_version(spark):
+    """The query over whole texts, chunk by chunk."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    lengths = [(x["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", x["text"] or ""))) for x in docs]
+    want = {}
+    for c in range(0, len(lengths), packing.CHUNK):
+        want |= {(c // packing.CHUNK, i): b for i, b in enumerate(plain_bins(lengths[c : c + packing.CHUNK], 4096))}
+    got = {(x["chunk"], x["bin"]): list(zip(x["members"], x["lengths"], strict=True)) for x in plans.QUERIES["pack_bins"](spark, DATA).collect()}
+    assert got == want
