@@ -14,7 +14,7 @@ from ..streaming import streams
 from .chat import CONV, REST, conversations
 from .data import IDS, WORDS, _ids
 from .registry import query, table
-from .sets import DOCS, EVEN, H, ID, LANG, NL, SRC, digest, docs, pair, shown, words
+from .sets import DOCS, EVEN, H, ID, LANG, NL, SRC, digest, docs, shown, words
 from .streams import _stream
 
 #: Shards of the streams with state.
