@@ -1,8 +1,10 @@
 """Exact results against plain versions: quantiles, in-batch losses, subsequences, formulas, metrics with state."""
 
+import hashlib
 import json
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -102,6 +104,17 @@ def test_rouge_and_bleu_of_whole_turns(spark):
         assert x["bleu"] == pytest.approx(math.exp(sum(logs) + min(0.0, 1 - len(b) / max(len(a), 1))) if a else 0.0)
 
 
+def test_subsets_hold_every_row(spark):
+    """Each row of each subset, whole digests and copies counted, against a plain version."""
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    want = Counter()
+    for x in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        for part, said in (("default", x["source"]), ("a", x["lang"]), ("b", x["lang"])):
+            want[part, md5(f"user:{said}|assistant:{md5(x['text'] or '')}")] += 1
+    got = plans.QUERIES["catalog_subsets"](spark, DATA).collect()
+    assert {(x["part"], x["digest"]): x["n"] for x in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize(("a", "b", "equal"), [
     ("1/2", "0.5", True), (r"\frac{1}{2}", "0.50", True), (r"\dfrac12", ".5", True), ("2(x+1)", "2x+2", True), ("(x+1)^2", "x^2+2x+1", True), (r"\frac{x^2-1}{x-1}", "x+1", True), ("50%", "1/2", True),
     ("-3^2", "-9", True), ("(-3)^2", "9", True), ("2^{-1}", r"\frac{1}{2}", True), (r"3\cdot x\times y", "3yx", True), ("1/2x", "x/2", True), ("6/-2", "-3", True), ("x", "y", False), ("1/3", "0.333", False), ("1/0", "1/0", True), ("1/0", "2/0", False),
