@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ RANK_RANGES = 1000
 BATCH_BLOCK, TILE = 4096, 512
 #: Pairs of a batch that in_batches() takes.
 IN_BATCH = 1024
+#: Words that one number of common_length() stands for.
+BITS = 4096
 
 
 def mean_or(x: Column, empty: float = 0.0) -> Column:
@@ -314,23 +317,30 @@ def rouge_n(got: Column, want: Column, n: int) -> Column:
 
 
 def common_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence; the rows of its table are bits of one number."""
-    at: dict = {}
-    for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << i
-    whole = (1 << len(a)) - 1
-    row = whole
-    for x in b:
-        hit = row & at.get(x, 0)
-        row = (row + hit | row - hit) & whole
-    return len(a) - row.bit_count()
+    """Length of the longest common subsequence; the rows of its table are bits of one number for each BITS words of a.
 
-
-def _common_lengths(got: pd.Series, want: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else common_length(list(a), list(b)) for a, b in zip(got, want, strict=True)], dtype="Int64")
-
-
-common_lengths = F.pandas_udf(_common_lengths, T.LongType())
+    What leaves a number at its top comes in at the foot of the next, so that memory grows with the words, not with their square.
+    """
+    carried, out = bytearray(len(b)), 0
+    for start in range(0, len(a), BITS):
+        part = a[start : start + BITS]
+        at: dict = {}
+        for i, x in enumerate(part):
+            at[x] = at.get(x, 0) | 1 << i
+        row = whole = (1 << len(part)) - 1
+        for j, x in enumerate(b):
+            hit = row & at.get(x, 0)
+            more = row + hit + carried[j]
+            carried[j] = more >> len(part)
+            row = (more | row - hit) & whole
+        out += len(part) - row.bit_count()
+    return out
+
+
+@F.arrow_udf(T.LongType())
+def common_lengths(got: pa.Array, want: pa.Array) -> pa.Array:
+    """common_length() of each two arrays; only one row at a time is made of Python's objects."""
+    return pa.array([common_length(a.as_py(), b.as_py()) if a.is_valid and b.is_valid else None for a, b in zip(got, want, strict=True)], pa.int64())
 
 
 def rouge_l(got: Column, want: Column) -> Column:

@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -88,6 +89,26 @@ def test_common_subsequences():
         assert metrics.common_length(a, b) == table_length(a, b)
 
 
+@pytest.mark.parametrize("bits", [1, 7, 64])
+def test_common_subsequences_over_several_numbers(monkeypatch, bits):
+    monkeypatch.setattr(metrics, "BITS", bits)
+    r = random.Random(bits)
+    for _ in range(200):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 90))] for _ in range(2))
+        assert metrics.common_length(a, b) == table_length(a, b)
+
+
+def test_common_subsequences_of_long_texts_take_little_memory():
+    """20,000 different words: no number of 20,000 bits for each of them."""
+    a = [str(i) for i in range(20_000)]
+    tracemalloc.start()
+    try:
+        assert metrics.common_length(a, a[5000:]) == 15_000
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_rouge_and_bleu_of_whole_turns(spark):
     """The query over all turns against plain versions."""
     turns = {(x["conv_id"], x["turn"]): x["text"].split() for x in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
