@@ -16,6 +16,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "word_bpe_49k.json"
 #: Percent of common five-word shingles from which two documents are near copies.
 SIMILAR = 80
+#: Words whose tokens a worker keeps; its caches stay beside the memory that earlier stages left.
+REMEMBER = 400_000
 #: SQL cannot express the fitted stages; the tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
@@ -47,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document that is left."""
-    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), keep=("doc_id", "source"))
+    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), keep=("doc_id", "source"), remember=REMEMBER)
 
 
 STAGES = [

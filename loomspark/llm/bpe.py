@@ -270,12 +270,12 @@ class WordBpe:
             return [self.words(text)]
         return [p if i % 2 else self.words(p) for i, p in enumerate(self.marks.split(text))]
 
-    def encode_many(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit integers, decoded text) of each text."""
+    def encode_many(self, texts: list[str], remember: int = CACHE_WORDS) -> Iterator[tuple[bytes, str]]:
+        """(ids as little-endian 32-bit integers, decoded text) of each text; the cache holds remember words, or those of these texts."""
         cut = [self.segments(t) for t in texts]
         every = set().union(*[p for parts in cut for p in parts if not isinstance(p, str)])
         new = [w for w in every if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if len(self.known) + len(new) > remember:
             self.known.clear()
             self.shown.clear()
             new = list(every)
@@ -306,11 +306,12 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, remember: int = CACHE_WORDS) -> DataFrame:
     """Encode and decode every whole text; a narrow transformation, no shuffle.
 
     A null text counts as empty: no tokens, the digest of nothing. Columns other than
     keep and text are not read. with_ids adds the ids (array<int>) and the decoded text.
+    remember: words whose tokens a worker keeps; fewer take less memory and more time.
     """
     bound_batches(docs.sparkSession)
     kept = docs.select(*keep, docs[text].alias("__text"))
@@ -323,7 +324,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
             texts = ["" if t is None else t for t in pdf.pop("__text")]
             n, ids_sha, text_sha, ids, decoded = [], [], [], [], []
             for at in range(0, len(texts), TEXTS):
-                for raw, out in bpe.encode_many(texts[at : at + TEXTS]):
+                for raw, out in bpe.encode_many(texts[at : at + TEXTS], remember):
                     n.append(len(raw) // 4)
                     ids_sha.append(hashlib.sha256(raw).hexdigest())
                     text_sha.append(hashlib.sha256(out.encode()).hexdigest())
